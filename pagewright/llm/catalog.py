@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP9_SQL, op9_decontaminate
+from .token_files import op10_token_files
 from .url_filter import op6_url_filter
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op6_url_filter,
+        op9_decontaminate,
+        op10_token_files,
     )
 }
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {
+    "op9_decontaminate": OP9_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,43 @@
+"""Cutting text into chunks that byte-level BPE treats separately.
+
+The public pattern never joins a non-space character with the white space after it, so
+a text may be cut before every space or newline that follows another character.  The
+pieces are far fewer distinct strings than the text has matches, so each worker encodes
+a piece once and keeps its ids; the store is emptied when it is full, so memory is bounded.
+A text with other white space goes through the encoder whole.
+"""
+
+from __future__ import annotations
+
+import re
+
+CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+
+#: White space other than space and newline, in Python's or Unicode's sense.
+OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85​﻿᠎]")
+
+
+class ChunkStore:
+    """A bounded map from chunk to what ``encode(list of chunks)`` gives for it.
+
+    ``most`` bounds the entries and ``longest`` the characters of a chunk that is kept.
+    """
+
+    def __init__(self, encode, most: int = 300_000, longest: int = 256):
+        self.encode, self.most, self.longest, self.known = encode, most, longest, {}
+
+    def of(self, chunks: list[str]) -> list:
+        known = self.known
+        out = list(map(known.get, chunks))
+        if None in out:
+            missing = list({c for c, x in zip(chunks, out, strict=True) if x is None})
+            if len(known) + len(missing) > self.most:
+                known.clear()
+            fresh = dict(zip(missing, self.encode(missing), strict=True))
+            known.update((c, x) for c, x in fresh.items() if len(c) <= self.longest)
+            out = [fresh[c] if x is None else x for c, x in zip(chunks, out, strict=True)]
+        return out
+
+
+def cut(text: str) -> list[str]:
+    return [text] if OTHER_SPACE.search(text) else CHUNK.findall(text)
