@@ -27,99 +27,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkStore, cut
 from .common import new_path, table
+from .pieces import PieceStore, ragged
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
 #: Rounds of replacement, and the pairs a round may replace.
-ROUNDS, PAIRS = 6, 2048
+ROUNDS, PAIRS = 4, 8192
 #: A pair must occur so often in a block to be replaced.
 LEAST = 16
-_HASH_BITS = 20
+_HASH_BITS = 18
 
 BLOCK_SCHEMA = "shard int, base long, n_ids long, first_new int, rules binary, lengths binary, sequence binary, doc_ids array<long>, doc_tokens array<long>"
 
 
-def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbours (as 64-bit keys, most frequent first) and their places."""
-    keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:].astype(np.uint64)
+def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs of neighbours (64-bit keys, most frequent first), and their places with each place's rank.
+
+    Pairs are counted in hashed slots; a slot stands for one pair that fell into it, and
+    that pair is then counted exactly.
+    """
+    keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
     slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
-    likely = np.bincount(slot, minlength=1 << _HASH_BITS) >= least
-    places = np.flatnonzero(likely[slot])
-    if not len(places):
-        return keys[:0], places
-    found, counts = np.unique(keys[places], return_counts=True)
-    order = np.argsort(-counts, kind="stable")[:most]
-    order = order[counts[order] >= least]
-    return found[order], places
+    counts = np.bincount(slot, minlength=1 << _HASH_BITS)
+    top = np.flatnonzero(counts >= least)
+    if len(top) > most:
+        top = top[np.argpartition(-counts[top], most)[:most]]
+    if not len(top):
+        return keys[:0], top, top
+    slot_of = np.full(1 << _HASH_BITS, -1, np.int32)
+    slot_of[top] = np.arange(len(top), dtype=np.int32)
+    at = slot_of[slot]
+    places = np.flatnonzero(at >= 0)
+    at, keys = at[places], keys[places]
+    pair = np.zeros(len(top), np.uint64)
+    pair[at] = keys
+    same = pair[at] == keys
+    places, at = places[same], at[same]
+    exact = np.bincount(at, minlength=len(top))
+    order = np.argsort(-exact, kind="stable")
+    order = order[exact[order] >= least]
+    rank = np.full(len(top), -1, np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    rank = rank[at]
+    return pair[order], places[rank >= 0], rank[rank >= 0]
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(first nonterminal, rules as pairs of symbols, expansion lengths, sequence)."""
+    """(first nonterminal, rules as pairs of symbols, expansion lengths, sequence).
+
+    Of overlapping places the more frequent pair wins; in a run of one symbol every other place does.
+    """
     seq = np.ascontiguousarray(ids, np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 1
-    rules, lengths = [], []
-    length_of = np.ones(first, np.int64)
+    rules, length_of = [], np.ones(first, np.int64)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        found, places = _frequent(seq, least, pairs)
-        if not len(found):
-            break
-        # a place is replaced by its pair's rank; of overlapping places the more frequent pair wins, then the left one
-        order = np.argsort(found)
-        keys = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1].astype(np.uint64)
-        at = np.searchsorted(found[order], keys)
-        at[at == len(found)] = 0
-        hit = found[order][at] == keys
-        places, rank = places[hit], order[at[hit]]
-        best = np.full(len(seq) + 1, len(found), np.int32)  # best[i]: rank of the pair that starts at i - 1
-        best[places + 1] = rank
-        here, before, after = best[places + 1], best[places], np.append(best, len(found))[places + 2]
-        keep = (here < before) & (here <= after)
-        same = keep & (here == after)  # runs of one symbol: take every other place from the run's start
-        places, rank = places[keep], here[keep]
-        if same.any():
-            taken, last = np.ones(len(places), bool), -2
-            close = np.flatnonzero(np.diff(places) == 1)
-            for i in close:
-                if taken[i]:
-                    taken[i + 1] = False
-            places, rank = places[taken], rank[taken]
+        found, places, rank = _frequent(seq, least, pairs)
         if not len(places):
             break
-        used = np.unique(rank)
+        best = np.full(len(seq) + 2, len(found), np.int32)  # best[i + 1]: rank of the pair that starts at i
+        best[places + 1] = rank
+        before, after = best[places], best[places + 2]
+        keep = (rank < before) & (rank <= after) | (rank == before) & (rank <= after)
+        places, rank = places[keep], rank[keep]
+        touching = np.diff(places, prepend=-2) == 1
+        if touching.any():
+            number = np.arange(len(places))
+            run_start = np.maximum.accumulate(np.where(touching, 0, number))
+            odd = (number - run_start) % 2 == 1
+            places, rank = places[~odd], rank[~odd]
+        used = np.flatnonzero(np.bincount(rank, minlength=len(found)))
         new_id = np.zeros(len(found), np.uint32)
-        new_id[used] = first + len(lengths) + np.arange(len(used), dtype=np.uint32)
+        new_id[used] = len(length_of) + np.arange(len(used), dtype=np.uint32)
         left, right = (found[used] >> np.uint64(32)).astype(np.uint32), (found[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         rules.append(np.stack([left, right], 1))
-        fresh = length_of[left] + length_of[right]
-        length_of = np.append(length_of, fresh)
-        lengths.extend(fresh.tolist())
+        length_of = np.concatenate([length_of, length_of[left] + length_of[right]])
         seq = seq.copy()
         seq[places] = new_id[rank]
         stay = np.ones(len(seq), bool)
         stay[places + 1] = False
         seq = seq[stay]
-    return first, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), np.array(lengths, np.uint32), seq
+    return first, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), length_of[first:].astype(np.uint32), seq
 
 
 def expand(first: int, rules: np.ndarray, sequence: np.ndarray) -> np.ndarray:
-    """Undo ``compress``: nonterminals are replaced until terminals are left."""
-    seq = sequence
-    while len(rules):
-        big = seq >= first
-        if not big.any():
-            break
-        size = big.astype(np.int64) + 1
-        start = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.uint32)
-        out[start[~big]] = seq[~big]
-        pair = rules[seq[big] - first]
-        out[start[big]], out[start[big] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    """Undo ``compress``: the nonterminals' whole expansions first, then one gather for the sequence."""
+    if not len(rules):
+        return sequence
+    pairs = rules.tolist()
+    full: list[tuple] = []
+    for left, right in pairs:
+        full.append((full[left - first] if left >= first else (left,)) + (full[right - first] if right >= first else (right,)))
+    lengths = np.fromiter(map(len, full), np.int64, len(full))
+    flat = np.fromiter((x for e in full for x in e), np.uint32, int(lengths.sum()))
+    big = sequence >= first
+    size = np.ones(len(sequence), np.int64)
+    size[big] = lengths[sequence[big] - first]
+    values = np.concatenate([flat, sequence[~big]])
+    starts = np.empty(len(sequence), np.int64)
+    starts[big] = (np.cumsum(lengths) - lengths)[sequence[big] - first]
+    starts[~big] = len(flat) + np.arange(int((~big).sum()))
+    return ragged(values, starts, size)
 
 
 def decode_range(first: int, rules: np.ndarray, lengths: np.ndarray, sequence: np.ndarray, start: int, stop: int) -> np.ndarray:
@@ -133,39 +143,77 @@ def decode_range(first: int, rules: np.ndarray, lengths: np.ndarray, sequence: n
     return expand(first, rules, sequence[a : b + 1])[skip : skip + stop - start]
 
 
+#: Ids that one call of the library may encode together, parted by the end-of-text token.
+_PARTING = "<|endoftext|>"
+
+
+def library_encoder(path: str):
+    """encode(list of distinct pieces) by the tokenizers library.
+
+    Short pieces go in one call, parted by the special token, which the library always
+    takes for itself; pieces that could hold its text go one by one with special tokens off.
+    """
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    plain, parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    parting = parted.token_to_id(_PARTING)
+
+    def encode(pieces: list[bytes]) -> list[np.ndarray]:
+        out: list = [None] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if len(p) <= 64 and b"<|" not in p] if parting is not None else []
+        for k in range(0, len(joined), 4096):
+            some = joined[k : k + 4096]
+            text = _PARTING.join([pieces[i].decode("utf-8", "replace") for i in some])
+            ids = np.array(parted.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            for i, x in zip(some, np.split(ids, np.flatnonzero(ids == parting)), strict=True):
+                out[i] = x if i == some[0] else x[1:]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for k in range(0, len(rest), 64):
+            some = rest[k : k + 64]
+            for i, e in zip(some, plain.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in some], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.uint32)
+        return out
+
+    return encode
+
+
 def _writer(path: str, end_id: int, block_ids: int):
     def encode(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        store = ChunkStore(lambda chunks: [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
-        end = np.array([end_id], np.uint32).tobytes()
+        store = PieceStore(library_encoder(path))
         shard, base = TaskContext.get().partitionId(), 0
         held, docs, counts, total = [], [], [], 0
 
         def block():
             nonlocal held, docs, counts, total, base
-            first, rules, lengths, sequence = compress(np.frombuffer(b"".join(held), np.uint32))
+            first, rules, lengths, sequence = compress(np.concatenate(held))
             row = {"shard": [shard], "base": [base], "n_ids": [total], "first_new": [first], "rules": [rules.tobytes()], "lengths": [lengths.tobytes()], "sequence": [sequence.tobytes()], "doc_ids": [docs], "doc_tokens": [counts]}
             base += total
             held, docs, counts, total = [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                data = b"".join(store.of(cut(text.decode("utf-8", "replace")))) + end if text else end
-                n = len(data) // 4
-                if held and total + n > block_ids:
+            ids, sizes = store.of(batch["text"])
+            ends = np.cumsum(sizes)
+            sizes = sizes + 1
+            with_end = np.insert(ids, ends, end_id).astype(np.uint32)
+            doc_ids, done, ends = batch["doc_id"].to_pylist(), 0, np.cumsum(sizes)
+            while done < len(doc_ids):
+                begin = int(ends[done - 1]) if done else 0
+                upto = max(int(np.searchsorted(ends, begin + block_ids - total, "right")), done if total else done + 1)
+                if upto > done:
+                    held.append(with_end[begin : int(ends[upto - 1])])
+                    docs += doc_ids[done:upto]
+                    counts += sizes[done:upto].tolist()
+                    total += int(ends[upto - 1]) - begin
+                    done = upto
+                if done < len(doc_ids):
                     yield block()
-                held.append(data)
-                docs.append(doc_id)
-                counts.append(n)
-                total += n
         if held:
             yield block()
 
