@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .language_id import op5_language_id
+from .license_scan import op1_license_scan
 from .token_files import op10_token_files
+from .toxicity import op2_toxicity
 from .url_filter import op6_url_filter
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
+        op2_toxicity,
+        op5_language_id,
         op6_url_filter,
         op9_decontaminate,
         op10_token_files,

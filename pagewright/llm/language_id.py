@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .pieces import texts_of
@@ -34,6 +35,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 ROWS_PER_LANGUAGE = 400
 SPANS = 6
+UNKNOWN = "und"
 
 #: A-Z are folded and digits alike.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -170,7 +172,7 @@ def _predict(net: Network):
         letter = regex.compile(r"\p{L}")
         scorer = Scorer(net)
         for batch in batches:
-            data, offsets = texts_of(batch["text"])
+            data, offsets = texts_of(batch["__bytes"])
             total = np.zeros((len(batch), len(net.names)))
             begin = 0
             while begin < len(batch):  # a few MB of text at a time
@@ -185,22 +187,25 @@ def _predict(net: Network):
             score = total / np.maximum(sizes, 1)[:, None]
             best = score.argmax(1)
             known = [bool(n) and letter.search(data[a : a + n].tobytes().decode("utf-8", "replace")) is not None for a, n in zip(offsets[:-1].tolist(), sizes.tolist(), strict=True)]
-            names = [net.names[b] if k else "und" for b, k in zip(best, known, strict=True)]
+            names = [net.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             values = np.where(known, np.clip(score[np.arange(len(best)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["__row"], pa.array(names, pa.string()), pa.array(values, pa.float64())][:: 1], names=["doc_id", "__row", "lang_pred", "score"])
+            kept = [(batch.schema.field(i), batch.column(i)) for i in range(batch.num_columns - 1)]
+            fields = [f for f, _ in kept] + [pa.field("__lang_pred", pa.string()), pa.field("__score", pa.float64())]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(names, pa.string()), pa.array(values, pa.float64())], schema=pa.schema(fields))
 
     return run
 
 
-def predict(documents: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row of documents."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("__row"), F.col("text").cast("binary").alias("text"))
+def predict(documents: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row of documents, and __lang_pred, __score."""
     if net is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_predict(net), "doc_id long, __row int, lang_pred string, score double").drop("__row")
+        return documents.select(*keep, F.lit(UNKNOWN).alias("__lang_pred"), F.lit(0.0).alias("__score"))
+    rows = documents.select(*keep, F.col("text").cast("binary").alias("__bytes"))
+    schema = T.StructType([*(f for f in rows.schema.fields[:-1]), T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
+    return rows.mapInArrow(_predict(net), schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    out = predict(documents, fit(documents))
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    out = predict(documents, fit(documents), ["doc_id"])
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
