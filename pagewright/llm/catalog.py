@@ -10,6 +10,7 @@ from .decontaminate import OP9_SQL, op9_decontaminate
 from .language_id import op5_language_id
 from .license_scan import op1_license_scan
 from .token_files import op10_token_files
+from .topk import OP8_SQL, op8_topk
 from .toxicity import op2_toxicity
 from .url_filter import op6_url_filter
 
@@ -20,12 +21,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_toxicity,
         op5_language_id,
         op6_url_filter,
+        op8_topk,
         op9_decontaminate,
         op10_token_files,
     )
 }
 
 _SQL: dict[str, str] = {
+    "op8_topk": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
 }
 
