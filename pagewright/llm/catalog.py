@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import op3_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .language_id import op5_language_id
 from .license_scan import op1_license_scan
@@ -19,6 +20,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_license_scan,
         op2_toxicity,
+        op3_byte_bpe,
         op5_language_id,
         op6_url_filter,
         op8_topk,
