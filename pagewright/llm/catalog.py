@@ -10,6 +10,7 @@ from .byte_bpe import op3_byte_bpe
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .language_id import op5_language_id
 from .license_scan import op1_license_scan
+from .ngram_join import OP4_SQL, op4_ngram_join
 from .suffix_dedup import OP7_SQL, op7_suffix_dedup
 from .token_files import op10_token_files
 from .topk import OP8_SQL, op8_topk
@@ -22,6 +23,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_license_scan,
         op2_toxicity,
         op3_byte_bpe,
+        op4_ngram_join,
         op5_language_id,
         op6_url_filter,
         op7_suffix_dedup,
@@ -32,6 +34,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _SQL: dict[str, str] = {
+    "op4_ngram_join": OP4_SQL,
     "op7_suffix_dedup": OP7_SQL,
     "op8_topk": OP8_SQL,
     "op9_decontaminate": OP9_SQL,

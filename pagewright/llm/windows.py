@@ -21,15 +21,21 @@ _BASE = np.uint64(0xD1B54A32D192ED03)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = (1 << _PLACE) + 1
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, size + 1 at least."""
+    if size <= 1 << _PLACE:
+        return _UP, _DOWN
+    return _powers(size + 1)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     up, down = np.full(n, _BASE), np.full(n, inverse)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-_UP, _DOWN = _powers()
+_UP, _DOWN = _powers((1 << _PLACE) + 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
