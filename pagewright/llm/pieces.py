@@ -59,7 +59,7 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    c = _CLASS[data]
+    c = np.frombuffer(data.tobytes().translate(_CLASS.tobytes()), np.uint8)
     kind = _CUT[(c[:-1] << 3) | c[1:]]
     at = np.flatnonzero(kind) + 1
     alone = kind[at - 1] == 2
@@ -72,8 +72,10 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         whole = np.zeros(len(offsets), bool)
         whole[np.searchsorted(offsets, odd, "right") - 1] = True
         at = at[~whole[np.searchsorted(offsets, at, "right") - 1]]
-    firsts = offsets[:-1][np.diff(offsets) > 0]
-    return np.union1d(at, firsts)
+    here = np.zeros(n, bool)
+    here[at] = True
+    here[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(here)
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -130,7 +132,9 @@ class PieceStore:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         places = np.append(starts, len(data)).astype(np.int32)
         coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        flat, begin, length = self.lookup(coded.dictionary.to_pylist())
+        held, bounds = texts_of(coded.dictionary)
+        held, bounds = held.tobytes(), bounds.tolist()
+        flat, begin, length = self.lookup([held[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
         index = np.asarray(coded.indices)
         piece_lengths = length[index]
         ends = np.concatenate([[0], np.cumsum(piece_lengths)])

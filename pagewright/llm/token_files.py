@@ -147,8 +147,20 @@ def decode_range(first: int, rules: np.ndarray, lengths: np.ndarray, sequence: n
 _PARTING = "<|endoftext|>"
 
 
-def library_encoder(path: str):
-    """encode(list of distinct pieces) by the tokenizers library.
+#: A worker's store, kept for the next tasks of the same tokenizer.
+_STORES: dict[int, PieceStore] = {}
+
+
+def _store(tokenizer: str) -> PieceStore:
+    key = hash(tokenizer)
+    if key not in _STORES:
+        _STORES.clear()
+        _STORES[key] = PieceStore(library_encoder(tokenizer))
+    return _STORES[key]
+
+
+def library_encoder(tokenizer: str):
+    """encode(list of distinct pieces) by the tokenizers library; ``tokenizer`` is its JSON text.
 
     Short pieces go in one call, parted by the special token, which the library always
     takes for itself; pieces that could hold its text go one by one with special tokens off.
@@ -158,7 +170,7 @@ def library_encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    plain, parted = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain, parted = Tokenizer.from_str(tokenizer), Tokenizer.from_str(tokenizer)
     plain.encode_special_tokens = True
     parting = parted.token_to_id(_PARTING)
 
@@ -181,11 +193,11 @@ def library_encoder(path: str):
     return encode
 
 
-def _writer(path: str, end_id: int, block_ids: int):
+def _writer(tokenizer: str, end_id: int, block_ids: int):
     def encode(batches):
         from pyspark import TaskContext
 
-        store = PieceStore(library_encoder(path))
+        store = _store(tokenizer)
         shard, base = TaskContext.get().partitionId(), 0
         held, docs, counts, total = [], [], [], 0
 
@@ -226,11 +238,16 @@ _ARROW = pa.schema(
 
 
 def write_shards(documents: DataFrame, tokenizer_path: str, path: str, shards: int | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
-    """Encode and write the shards under ``path``, in ascending order of doc_id."""
+    """Encode and write the shards under ``path``, in ascending order of doc_id.
+
+    The driver reads the tokenizer's file, so executors need not hold it.
+    """
+    with open(tokenizer_path, encoding="utf-8") as file:
+        tokenizer = file.read()
     shards = shards or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_writer(tokenizer_path, end_id, block_ids), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(_writer(tokenizer, end_id, block_ids), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def _reader(batches):
