@@ -20,7 +20,7 @@ A window of ``SPAN`` bytes that starts at two places must be found whatever text
 
 Defined results: null texts are empty; texts under ``SPAN`` bytes hold no window; a repeated
 row is another place, so both rows lose all windows; texts are bytes, so a cut may fall
-inside a character (``kept_text`` drops such halves).
+inside a character (``__kept_text`` drops such halves).
 """
 
 from __future__ import annotations
@@ -275,7 +275,7 @@ def repeated_ranges(documents: DataFrame, group: int = GROUP) -> DataFrame:
     return whole.unionByName(partly).groupBy("doc", "key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
-def _cut(n_carried: int):
+def _cut(n_carried: int, with_text: bool):
     def run(batches):
         for batch in batches:
             data, offsets = texts_of(batch["__text"])
@@ -294,23 +294,26 @@ def _cut(n_carried: int):
                 removed.append(stop - begin - len(bytes_kept))
                 spans.append(runs)
                 digests.append(hashlib.sha256(bytes_kept).hexdigest())
-                kept.append(bytes_kept)
-            fields = [batch.schema.field(i) for i in range(n_carried)] + [pa.field("__n_bytes", pa.int64()), pa.field("__n_removed", pa.int64()), pa.field("__n_spans", pa.int64()), pa.field("__sha", pa.string()), pa.field("__kept", pa.binary())]
-            columns = [batch.column(i) for i in range(n_carried)] + [pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())]
+                kept.append(bytes_kept.decode("utf-8", "ignore") if with_text else "")
+            fields = [batch.schema.field(i) for i in range(n_carried)] + [pa.field("__n_bytes", pa.int64()), pa.field("__n_removed", pa.int64()), pa.field("__n_spans", pa.int64()), pa.field("__sha", pa.string())]
+            columns = [batch.column(i) for i in range(n_carried)] + [pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
+            if with_text:
+                fields.append(pa.field("__kept_text", pa.string()))
+                columns.append(pa.array(kept, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return run
 
 
-def remove_repeats(documents: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row, and __n_bytes, __n_removed, __n_spans, __sha and __kept (the bytes left)."""
+def remove_repeats(documents: DataFrame, keep: list[str], with_text: bool = False) -> DataFrame:
+    """The columns ``keep`` of every row, and __n_bytes, __n_removed, __n_spans, __sha (of the bytes left), and, if asked, __kept_text."""
     ranges = repeated_ranges(documents)
     rows = documents.select(*keep, F.col("doc_id").cast("long").alias("__d"), F.xxhash64("text").alias("__k"), F.col("text").cast("binary").alias("__text"))
     joined = rows.join(ranges, rows["__d"].eqNullSafe(ranges["doc"]) & rows["__k"].eqNullSafe(ranges["key"]), "left")
     joined = joined.select(*[rows[c] for c in keep], "__text", F.col("ranges").alias("__ranges"))
     fields = [f for f in joined.schema.fields if f.name not in ("__text", "__ranges")]
-    extra = [T.StructField(n, t) for n, t in (("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType()), ("__sha", T.StringType()), ("__kept", T.BinaryType()))]
-    return joined.mapInArrow(_cut(len(keep)), T.StructType(fields + extra))
+    extra = [T.StructField(n, t) for n, t in (("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType()), ("__sha", T.StringType()))] + [T.StructField("__kept_text", T.StringType())] * with_text
+    return joined.mapInArrow(_cut(len(keep), with_text), T.StructType(fields + extra))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
