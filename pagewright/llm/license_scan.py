@@ -76,7 +76,7 @@ class Scanner:
         for piece, seeds in seeds_of(phrases).items():
             self.automaton.add_word(piece, (len(piece), seeds))
         self.automaton.make_automaton()
-        self.patterns = [regex.compile(rf"(?<= )(?:{regex.escape(p)}){{e<={edits_of(p)}}}(?= )") for p, _, _ in phrases]
+        self.patterns = [regex.compile(rf"(?e)(?<= )(?:{regex.escape(p)}){{e<={edits_of(p)}}}(?= )") for p, _, _ in phrases]
 
     def spans(self, spaced: str) -> list[tuple[int, int, int, int]]:
         """(phrase, start, end, edits) in a text of words with one space around each."""

@@ -307,10 +307,10 @@ def _cut(n_carried: int, with_text: bool):
 
 def remove_repeats(documents: DataFrame, keep: list[str], with_text: bool = False) -> DataFrame:
     """The columns ``keep`` of every row, and __n_bytes, __n_removed, __n_spans, __sha (of the bytes left), and, if asked, __kept_text."""
-    ranges = repeated_ranges(documents)
+    ranges = repeated_ranges(documents).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("ranges").alias("__ranges"))
     rows = documents.select(*keep, F.col("doc_id").cast("long").alias("__d"), F.xxhash64("text").alias("__k"), F.col("text").cast("binary").alias("__text"))
-    joined = rows.join(ranges, rows["__d"].eqNullSafe(ranges["doc"]) & rows["__k"].eqNullSafe(ranges["key"]), "left")
-    joined = joined.select(*[rows[c] for c in keep], "__text", F.col("ranges").alias("__ranges"))
+    joined = rows.join(ranges, rows["__d"].eqNullSafe(ranges["__doc"]) & rows["__k"].eqNullSafe(ranges["__key"]), "left")
+    joined = joined.select(*[rows[c] for c in keep], "__text", "__ranges")
     fields = [f for f in joined.schema.fields if f.name not in ("__text", "__ranges")]
     extra = [T.StructField(n, t) for n, t in (("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType()), ("__sha", T.StringType()))] + [T.StructField("__kept_text", T.StringType())] * with_text
     return joined.mapInArrow(_cut(len(keep), with_text), T.StructType(fields + extra))
