@@ -1,4 +1,4 @@
-"""Named queries over the provided tables, with the same results as plain SQL."""
+"""Named queries over the provided tables, each with the same result in plain SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,15 +7,429 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import functions as X
+from . import plans, sources, streaming
+from .operators import checks, html_blocks, line_joins, page_layout, text_quality
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _in(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+# --- text quality -----------------------------------------------------------------------------------
+
+_STATISTICS_SQL = rf"""
+WITH ew AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}{{2,}}')) AS w FROM documents WHERE regexp_matches(lower(lang), '^(en|eng)([-_].*)?$')) WHERE regexp_matches(lower(w), '^[a-z]{{2,}}$')),
+cp AS (SELECT pair FROM (SELECT substring(w, i, 2) AS pair FROM (SELECT w, unnest(range(1, length(w))) AS i FROM ew)) GROUP BY pair ORDER BY count(*) DESC, pair LIMIT {text_quality.COMMON_PAIRS}),
+w AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '\p{{L}}{{2,}}'))) AS w FROM documents),
+a AS (SELECT doc_id, count(*) AS words, count(*) FILTER (w IN ({_in(text_quality.STOP_WORDS)})) AS stops FROM w GROUP BY doc_id),
+p AS (SELECT doc_id, substring(w, i, 2) AS pair FROM (SELECT doc_id, w, unnest(range(1, length(w))) AS i FROM w WHERE regexp_matches(w, '^[a-z]+$'))),
+b AS (SELECT doc_id, count(*) AS pairs, count(*) FILTER (pair NOT IN (SELECT pair FROM cp)) AS rare FROM p GROUP BY doc_id),
+s AS (SELECT d.doc_id, d.lang, coalesce(words, 0) AS words, round(CASE WHEN coalesce(words, 0) > 0 THEN stops / words ELSE 0.0 END, 9) AS stop_rate,
+  round(CASE WHEN coalesce(pairs, 0) > 0 THEN rare / pairs ELSE 0.0 END, 9) AS rare_rate FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id))
+"""
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = sources.table(spark, sf_dir, "documents")
+    return text_quality.encoding_statistics(documents, text_quality.common_pairs(documents))
+
+
+@query(_STATISTICS_SQL + "SELECT * FROM s")
+def encoding_statistics(spark, sf_dir):
+    return _statistics(spark, sf_dir)
+
+
+@query(_STATISTICS_SQL + "SELECT doc_id, coalesce(regexp_matches(lower(lang), '^(en|eng)([-_].*)?$') AND words >= 20 AND stop_rate < 0.05 AND rare_rate >= 0.30, false) AS implausible FROM s")
+def implausible_encoding(spark, sf_dir):
+    return text_quality.implausible(_statistics(spark, sf_dir))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per language; widened as operators land."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    return _statistics(spark, sf_dir)
+
+
+@query(f"WITH {sources.DOC_LINES_SQL}, w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[\\p{{L}}-]+') AS w FROM doc_lines) SELECT doc_id, line_no, CAST(len(w) AS INTEGER) AS n_words, lower(w[1]) AS first_word FROM w")
+def line_words(spark, sf_dir):
+    words = X.vocabulary_words(F.col("line"))
+    return sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", F.size(words).alias("n_words"), F.get(words, F.lit(0)).alias("first_word"))
+
+
+@query(f"WITH {sources.DOC_LINES_SQL} SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, lower(unnest(regexp_extract_all(line, '[\\p{{L}}-]+'))) AS word FROM doc_lines) GROUP BY word")
+def vocabulary(spark, sf_dir):
+    return text_quality.vocabulary(sources.doc_lines(spark, sf_dir))
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\r\n]+'), lambda t: t <> '') AS t FROM documents)
+SELECT doc_id, len(t) AS tokens, len(list_filter(t, lambda x: regexp_matches(x, '[0-9]'))) AS numeric_tokens,
+ len(list_filter(t, lambda x: regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '\p{L}'))) AS number_tokens FROM t""")
+def numeric_tokens(spark, sf_dir):
+    return text_quality.token_counts(sources.table(spark, sf_dir, "documents"))
+
+
+_LETTERS = r"regexp_replace({t}, '[^\p{{L}}]', '', 'g')"
+_LATIN = X.LATIN.replace("\\x{0}", "\\x{1}")
+
+
+def _held(t: str, pattern: str) -> str:
+    return f"(length({t}) - length(regexp_replace({t}, '{pattern}', '', 'g')))"
+
+
+_T = _LETTERS.format(t="text")
+
+
+@query(f"SELECT doc_id, {_held(_T, f'[{_LATIN}]')} AS latin, {_held(_T, f'[{X.RIGHT_TO_LEFT}]')} AS rtl, {_held(_T, f'[{X.RIGHT_TO_LEFT}]')} > 0 AND {_held(_T, f'[{X.RIGHT_TO_LEFT}]')} >= {_held(_T, f'[{_LATIN}]')} AS reads_rtl FROM documents")
+def script_letters(spark, sf_dir):
+    t = F.col("text")
+    return sources.table(spark, sf_dir, "documents").select("doc_id", X.latin_letters(t).cast("bigint").alias("latin"), X.right_to_left_letters(t).cast("bigint").alias("rtl"), X.reads_right_to_left(t).alias("reads_rtl"))
+
+
+@query(f"SELECT doc_id, {_held(_T, f'[^{_LATIN}]')} AS foreign_letters FROM documents")
+def foreign_letters(spark, sf_dir):
+    return sources.table(spark, sf_dir, "documents").select("doc_id", X.foreign_letters(F.col("text")).cast("bigint").alias("foreign_letters"))
+
+
+@query(f"SELECT doc_id, length(text) + {_held('text', f'[{X.WIDE}]')} AS advances FROM documents")
+def text_advances(spark, sf_dir):
+    return sources.table(spark, sf_dir, "documents").select("doc_id", X.advances(F.col("text")).cast("bigint").alias("advances"))
+
+
+# --- line predicates ----------------------------------------------------------------------------------
+
+_WEB = "contains(x, '://') OR starts_with(lower(x), 'www.') OR regexp_matches(x, '[?&][A-Za-z_][A-Za-z0-9_.-]*=')"
+_ITEM = "coalesce(list_sum(list_transform(regexp_extract_all({t}, '\\p{{L}}{{3,}}'), lambda w: length(w))), 0)"
+
+
+@query(
+    f"""WITH {sources.DOC_LINES_SQL},
+w AS (SELECT *, list_filter(regexp_split_to_array(line, '[ \\t\\r\\n]+'), lambda x: x <> '' AND NOT ({_WEB})) AS kept FROM doc_lines)
+SELECT doc_id, line_no, len(regexp_extract_all(line, '\\p{{L}}{{2,}}')) >= 4 AS sentence,
+ {_ITEM.format(t='line')} > 0 AND {_ITEM.format(t='line')} * 100 >= length(line) * 35 AS item,
+ regexp_matches(coalesce(array_to_string(kept, ' '), ''), '=[^=]*[^= ][^=]*$') AND len(kept) <= 12 AS equation,
+ regexp_matches(line, '^(Figure|Table)[ \\t]+[0-9]') AS caption, regexp_matches(trim(line), '^[-_\\x{{2013}}\\x{{2014}}]{{2,}}$') AS rule,
+ regexp_matches(line, '[\\p{{L}}\\p{{N}}][-\\x{{AD}}]$') AS broken, regexp_matches(line, '^[0-9]+(-[0-9]+)?$') AS folio FROM w"""
+)
+def line_predicates(spark, sf_dir):
+    t = F.col("line")
+    rules = (("sentence", X.reads_as_sentence), ("item", X.reads_as_item), ("equation", X.states_an_equation), ("caption", X.is_caption), ("rule", X.is_typed_rule), ("broken", X.ends_broken), ("folio", X.is_folio))
+    return sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", *[f(t).alias(n) for n, f in rules])
+
+
+_SAMPLES = ("• one item", "- two words", "+ 100% fruit juice", "+ c ~ 50", "* * *", "* star item", "a) letter item", "B. Letter item", "12. number item", "1999. a year", "7) seven", "plain text", "-none", "1.none", "3. x")
+_LITERALS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_SAMPLES))
+_PLUS = f"regexp_matches(t, '^\\+[ \\t]+(\\p{{L}}{{2}}|[0-9]+%)') AND {_ITEM.format(t='substring(t, 3)')} > 0 AND {_ITEM.format(t='substring(t, 3)')} * 100 >= length(substring(t, 3)) * 35"
+
+
+def _samples(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_LITERALS} AS v(id, t)")
+
+
+@query(
+    f"""WITH v(id, t) AS (VALUES {_LITERALS}),
+f AS (SELECT id, t, CASE WHEN regexp_matches(t, '^[\\x{{2022}}*+-][ \\t]') AND NOT regexp_matches(t, '^\\*[ \\t]+\\*') AND (NOT starts_with(t, '+') OR ({_PLUS})) THEN 'bullet'
+ WHEN regexp_matches(t, '^[A-Za-z][.)][ \\t]+') THEN 'letter' WHEN regexp_matches(t, '^[0-9]{{1,3}}[.)][ \\t]+') THEN 'number' END AS family FROM v)
+SELECT id, family, CASE family WHEN 'letter' THEN ascii(lower(t)) - 96 WHEN 'number' THEN CAST(regexp_extract(t, '^([0-9]{{1,3}})', 1) AS INTEGER) END AS value FROM f"""
+)
+def list_markers(spark, sf_dir):
+    return _samples(spark).select("id", X.marker_family(F.col("t")).alias("family"), X.marker_value(F.col("t")).alias("value"))
+
+
+_VALUES = ("e740", "(2)", "7,100", "—", "Korea, Republic of", "1% ad valorem.", "", "--", "12†", "x")
+_VALUE_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_VALUES))
+
+
+@query(
+    f"""WITH v(id, t) AS (VALUES {_VALUE_ROWS}), s AS (SELECT id, regexp_replace(t, '^[ ()*\\x{{2020}}\\x{{2021}}]+|[ ()*\\x{{2020}}\\x{{2021}}]+$', '', 'g') AS s FROM v)
+SELECT id, s <> '' AND (regexp_matches(s, '^[-\\x{{2013}}\\x{{2014}}]+$') OR (regexp_matches(s, '\\p{{N}}') AND {_held('s', '\\p{L}')} <= 1)) AS is_value FROM s"""
+)
+def value_cells(spark, sf_dir):
+    return spark.sql(f"SELECT * FROM VALUES {_VALUE_ROWS} AS v(id, t)").select("id", X.is_value(F.col("t")).alias("is_value"))
+
+
+_CLEAN = "trim(regexp_replace(regexp_replace({t}, '[\\x{{1}}-\\x{{8}}\\x{{B}}\\x{{C}}\\x{{E}}-\\x{{1F}}\\x{{FFFE}}\\x{{FFFF}}]', '', 'g'), '[ \\t\\r\\n\\x{{A0}}]+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, line, {_CLEAN.format(t='line')} AS s FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, CASE WHEN length(line) <= 4000 AND length(s) <= 1000 AND regexp_matches(s, '[\\p{{L}}\\p{{N}}]') AND lower(s) NOT IN ({_in(X.PLACEHOLDERS)}) THEN s END AS title FROM c"""
+)
+def stated_values(spark, sf_dir):
+    first = sources.doc_lines(spark, sf_dir).where("line_no = 0")
+    return first.select("doc_id", X.stated(F.col("line")).alias("title"))
+
+
+@query(
+    f"""WITH {sources.DOC_LINES_SQL}, k AS (SELECT doc_id, line_no, i, {_CLEAN.format(t='p[i]')} AS k FROM (SELECT doc_id, line_no, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, line_no, regexp_split_to_array(line, '[,;]') AS p FROM doc_lines WHERE line_no = 1))),
+g AS (SELECT doc_id, lower(k) AS l, arg_min(k, i) AS k, min(i) AS i FROM k WHERE regexp_matches(k, '[\\p{{L}}\\p{{N}}]') AND length(k) <= 1000 AND lower(k) NOT IN ({_in(X.PLACEHOLDERS)}) GROUP BY doc_id, lower(k)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o FROM g)
+SELECT doc_id, CAST(o AS INTEGER) AS ord, k AS keyword FROM r WHERE o <= 64"""
+)
+def keyword_distinct(spark, sf_dir):
+    from pyspark.sql import Window
+
+    parts = sources.doc_lines(spark, sf_dir).where("line_no = 1").select("doc_id", F.posexplode(F.split("line", "[,;]")).alias("i", "p"))
+    said = parts.select("doc_id", "i", X.stated(F.col("p")).alias("k")).where("k IS NOT NULL")
+    once = said.groupBy("doc_id", F.lower("k").alias("l")).agg(F.min_by("k", "i").alias("keyword"), F.min("i").alias("i"))
+    ranked = once.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")))
+    return ranked.where("ord <= 64").select("doc_id", "ord", "keyword")
+
+
+# --- pages --------------------------------------------------------------------------------------------
+
+_SIG = "CASE WHEN length(line) < 100 THEN regexp_replace(lower(line), '[0-9]+', '#', 'g') END"
+
+
+@query(
+    f"""WITH {sources.DOC_LINES_SQL}, m AS (SELECT DISTINCT lang, doc_id, {_SIG} AS signature FROM doc_lines),
+t AS (SELECT lang, count(DISTINCT doc_id) AS docs FROM doc_lines GROUP BY lang)
+SELECT lang, signature, count(*) AS n_docs FROM m JOIN t USING (lang) WHERE signature <> '' GROUP BY lang, signature, docs HAVING count(*) >= greatest(3, floor((docs + 1) / 200))"""
+)
+def recurring_lines(spark, sf_dir):
+    return page_layout.recurring_lines(sources.doc_lines(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, s AS (SELECT doc_id, page_no, row_no, {_SIG} AS signature FROM doc_pages WHERE row_no < 2),
+g AS (SELECT *, CASE WHEN page_no - lag(page_no) OVER w <= 2 THEN 0 ELSE 1 END AS fresh FROM s WHERE signature IS NOT NULL WINDOW w AS (PARTITION BY doc_id, row_no, signature ORDER BY page_no)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, row_no, signature ORDER BY page_no) AS run FROM g)
+SELECT doc_id, row_no, signature, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS n FROM r GROUP BY doc_id, row_no, signature, run HAVING count(*) >= 3"""
+)
+def furniture_runs(spark, sf_dir):
+    return page_layout.furniture_runs(sources.doc_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, n AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM doc_pages GROUP BY doc_id)
+SELECT doc_id, row_no, count(DISTINCT page_no) AS filled FROM doc_pages JOIN n USING (doc_id) GROUP BY doc_id, row_no, pages HAVING count(DISTINCT page_no) >= greatest(6, ceil(pages / 4))"""
+)
+def margin_slots(spark, sf_dir):
+    return page_layout.margin_slots(sources.doc_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, e AS (SELECT doc_id, page_no, unnest([w[1], w[-1]]) AS w FROM (SELECT doc_id, page_no, string_split(line, ' ') AS w FROM doc_pages)),
+o AS (SELECT DISTINCT doc_id, page_no, CAST(w AS INTEGER) - page_no AS "offset" FROM e WHERE regexp_matches(w, '^[0-9]{{1,6}}$'))
+SELECT doc_id, "offset", count(*) AS n_pages FROM o GROUP BY ALL"""
+)
+def folio_offsets(spark, sf_dir):
+    return page_layout.folio_offsets(sources.doc_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, w AS (SELECT doc_id, size, CAST(sum(length(line)) AS BIGINT) AS chars, count(*) AS lines FROM doc_pages GROUP BY doc_id, size),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) AS k FROM w)
+SELECT doc_id, CAST(size AS DOUBLE) AS size, chars, lines >= 3 AND chars >= 200 AS established FROM r WHERE k = 1"""
+)
+def body_size(spark, sf_dir):
+    return page_layout.body_size(sources.doc_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, s AS (SELECT doc_id, size, y - lead(y) OVER (PARTITION BY doc_id, page_no, size, x ORDER BY y DESC) AS step FROM doc_pages),
+b AS (SELECT doc_id, CAST(round(step * 2) AS INTEGER) AS half_points, count(*) AS pairs FROM s WHERE step <= 3 * size GROUP BY ALL HAVING count(*) >= 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pairs DESC, half_points) AS k FROM b) SELECT doc_id, half_points, pairs FROM r WHERE k = 1"""
+)
+def stated_leading(spark, sf_dir):
+    return page_layout.stated_leading(sources.doc_pages(spark, sf_dir))
+
+
+@query(f"WITH {sources.DOC_PAGES_SQL} SELECT doc_id, CAST(round(size * 2) AS INTEGER) AS size_key, count(DISTINCT page_no) AS n_pages FROM doc_pages WHERE bold GROUP BY ALL HAVING count(DISTINCT page_no) >= 3")
+def label_styles(spark, sf_dir):
+    return page_layout.label_styles(sources.doc_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, r AS (SELECT doc_id, size, length(line) AS l, row_number() OVER (PARTITION BY doc_id, size ORDER BY length(line)) AS k, count(*) OVER (PARTITION BY doc_id, size) AS n FROM doc_pages)
+SELECT doc_id, CAST(size AS DOUBLE) AS size, CAST(l AS INTEGER) AS value FROM r WHERE k = n // 4 + 1"""
+)
+def line_height_quartile(spark, sf_dir):
+    return page_layout.line_height_quartile(sources.doc_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, s AS (SELECT doc_id, page_no, row_no, {_SIG} AS signature FROM doc_pages WHERE row_no < 2),
+g AS (SELECT *, CASE WHEN page_no - lag(page_no) OVER w <= 2 THEN 0 ELSE 1 END AS fresh FROM s WHERE signature IS NOT NULL WINDOW w AS (PARTITION BY doc_id, row_no, signature ORDER BY page_no)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, row_no, signature ORDER BY page_no) AS run FROM g),
+q AS (SELECT doc_id, row_no, page_no, count(*) OVER (PARTITION BY doc_id, row_no, signature, run) AS n FROM r),
+m AS (SELECT p.doc_id, p.page_no, coalesce(q.n, 0) >= 3 AS gone FROM doc_pages p LEFT JOIN q USING (doc_id, page_no, row_no)),
+k AS (SELECT doc_id, page_no, count(*) FILTER (NOT gone) AS kept, count(*) AS n FROM m GROUP BY ALL)
+SELECT doc_id, page_no, CASE WHEN kept = 0 THEN n ELSE kept END AS n_lines FROM k"""
+)
+def furniture_dropped(spark, sf_dir):
+    pages = sources.doc_pages(spark, sf_dir)
+    return page_layout.drop_furniture(pages, page_layout.furniture_runs(pages))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, t AS (SELECT doc_id, page_no, row_no, CAST(regexp_extract(line, '([0-9]{{1,3}})', 1) AS INTEGER) AS number FROM doc_pages WHERE regexp_matches(line, '[0-9]{{1,3}}') AND row_no % 5 = 0),
+s AS (SELECT *, number - lag(number) OVER w AS step, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, row_no))
+SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 3 AND min(number) FILTER (k = 1) = 1 AND min(step) >= 1 AND max(step) <= 3"""
+)
+def numbered_outline(spark, sf_dir):
+    pages = sources.doc_pages(spark, sf_dir).where(F.col("line").rlike("[0-9]{1,3}") & (F.col("row_no") % 5 == 0))
+    return plans.numbered_outline(pages.select("doc_id", "page_no", "row_no", F.regexp_extract("line", "([0-9]{1,3})", 1).cast("int").alias("number")))
+
+
+# --- line joins ---------------------------------------------------------------------------------------
+
+_SUBS = _in(line_joins.SUBSTITUTES)
+
+
+@query(
+    f"""WITH {sources.wrapped_lines_sql('=')}, e AS (SELECT DISTINCT doc_id, line_no, line, next_line, mark FROM (SELECT *, unnest(string_split(line, '')) AS mark FROM wrapped_lines) WHERE mark IN ({_SUBS})),
+f AS (SELECT *, length(line) - length(replace(line, mark, '')) AS uses, regexp_matches(line, '\\p{{L}}.$') AND right(line, 1) = mark AS final FROM e),
+t AS (SELECT doc_id, mark, sum(uses) AS total, count(*) FILTER (final) AS fin, count(*) FILTER (final AND next_line IS NOT NULL) AS cont, count(*) FILTER (final AND regexp_matches(next_line, '^\\p{{Ll}}')) AS low FROM f GROUP BY ALL),
+q AS (SELECT * FROM t WHERE total >= 8 AND fin * 100 >= total * 95 AND low * 10 >= cont * 9)
+SELECT doc_id, min(mark) AS mark, CAST(min(total) AS BIGINT) AS total FROM q GROUP BY doc_id HAVING count(*) = 1"""
+)
+def line_end_substitute(spark, sf_dir):
+    return line_joins.line_end_substitute(sources.wrapped_lines(spark, sf_dir, "="))
+
+
+_DECIDED_SQL = (
+    sources.wrapped_lines_sql()
+    + r""",
+words AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}-]+'))) AS word FROM documents WHERE text IS NOT NULL),
+asked AS (SELECT *, lower(regexp_extract(line, '(\p{L}*)-$', 1)) AS p, lower(regexp_extract(next_line, '^(\p{L}*)', 1)) AS s FROM wrapped_lines WHERE next_line IS NOT NULL),
+decided AS (SELECT a.doc_id, a.line_no, CASE WHEN NOT ends_with(line, '-') THEN 'space'
+  WHEN j.word IS NOT NULL AND c.word IS NULL AND (regexp_matches(next_line, '^\p{Ll}') OR (length(p) >= 2 AND length(s) >= 2)) THEN 'remove' ELSE 'concatenate' END AS operation
+  FROM asked a LEFT JOIN words j ON j.doc_id = a.doc_id AND j.word = p || s LEFT JOIN words c ON c.doc_id = a.doc_id AND c.word = p || '-' || s)"""
+)
+
+
+@query(f"WITH {_DECIDED_SQL} SELECT * FROM decided")
+def hyphen_join(spark, sf_dir):
+    return line_joins.hyphen_join(sources.wrapped_lines(spark, sf_dir), line_joins.document_words(sources.table(spark, sf_dir, "documents")))
+
+
+@query(
+    f"""WITH {_DECIDED_SQL}, t AS (SELECT w.doc_id, string_agg(CASE operation WHEN 'remove' THEN left(line, length(line) - 1) WHEN 'space' THEN line || ' ' ELSE line END, '' ORDER BY w.line_no) AS t
+ FROM wrapped_lines w LEFT JOIN decided USING (doc_id, line_no) GROUP BY w.doc_id) SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM t"""
+)
+def paragraph_join(spark, sf_dir):
+    wrapped = sources.wrapped_lines(spark, sf_dir)
+    return line_joins.paragraph_join(wrapped, line_joins.hyphen_join(wrapped, line_joins.document_words(sources.table(spark, sf_dir, "documents"))))
+
+
+@query(
+    r"""WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, turn, coalesce(NOT regexp_matches(text, '[.!?:]$') AND regexp_matches(n, '^\p{Ll}'), false) AS continues FROM p WHERE n IS NOT NULL"""
+)
+def continuation_pairs(spark, sf_dir):
+    return line_joins.continuation_pairs(sources.table(spark, sf_dir, "conversations"))
+
+
+# --- decision tables ------------------------------------------------------------------------------------
+
+_GRID_SQL = "SELECT english, judged, misread, numeric, number FROM range(0, 60, 6) a(english), range(15, 65, 7) b(judged), range(0, 9, 2) c(misread), range(0, 40, 9) d(numeric), range(0, 40, 13) e(number)"
+
+
+@query(
+    f"""WITH g AS ({_GRID_SQL})
+SELECT *, CASE WHEN judged < 20 OR number * 5 >= 100 THEN NULL WHEN english * 2 < judged THEN 'few_english'
+ WHEN (CASE WHEN numeric * 5 >= 100 THEN misread * 10 >= 80 ELSE misread * 1000 >= 80 * 85 END) OR (numeric * 5 < 100 AND english * 10 < judged * 6 AND misread * 1000 >= 80 * 75) THEN 'misread' END AS finding FROM g"""
+)
+def word_finding(spark, sf_dir):
+    axes = {"english": range(0, 60, 6), "judged": range(15, 65, 7), "misread": range(0, 9, 2), "numeric": range(0, 40, 9), "number": range(0, 40, 13)}
+    grid = spark.range(1).select(*[F.array(*[F.lit(v).cast("bigint") for v in values]).alias(k) for k, values in axes.items()])
+    for k in axes:
+        grid = grid.withColumn(k, F.explode(k))
+    zero, c = F.lit(0), F.col
+    return grid.select(*axes, plans.word_finding(c("english"), c("judged"), zero, c("misread"), F.lit(80), c("numeric"), c("number"), F.lit(100)).alias("finding"))
+
+
+@query("SELECT doc_id, (length(text) = 0) OR (length(text) - length(replace(text, '?', ''))) > greatest(2, length(text) // 50) OR n_chars % 97 = 0 AS unreadable FROM documents WHERE text IS NOT NULL")
+def unreadable_text(spark, sf_dir):
+    documents = sources.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    marks = F.length("text") - F.length(F.replace("text", F.lit("?"), F.lit("")))
+    return documents.select("doc_id", plans.lacks_readable_text(F.length("text"), marks, F.col("n_chars") % 97 == 0, F.lit(False)).alias("unreadable"))
+
+
+# --- pages of the web -----------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, kind, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '{html_blocks.BLOCK}', 1)) AS kind FROM pages) GROUP BY ALL")
+def page_blocks(spark, sf_dir):
+    return html_blocks.block_counts(sources.table(spark, sf_dir, "pages"))
+
+
+@query("SELECT DISTINCT page_id, target, regexp_matches(target, '^(https?|mailto):') AS external FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) WHERE target <> ''")
+def link_targets(spark, sf_dir):
+    return html_blocks.link_targets(sources.table(spark, sf_dir, "pages"))
+
+
+@query("SELECT page_id, len(t) AS entries, len(t) >= 2 AND len(t) <= 30 AND len(list_distinct(t)) * 2 > len(t) AS navigation FROM (SELECT page_id, regexp_extract_all(html, '<li>([^<]*)', 1) AS t FROM pages WHERE html IS NOT NULL)")
+def outline_navigation(spark, sf_dir):
+    return html_blocks.outline_navigation(sources.table(spark, sf_dir, "pages"))
+
+
+@query(r"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages WHERE html IS NOT NULL)")
+def page_text(spark, sf_dir):
+    return html_blocks.plain_text_length(sources.table(spark, sf_dir, "pages"))
+
+
+# --- checks -----------------------------------------------------------------------------------------------
+
+
+@query("WITH p(phrase) AS (VALUES " + ", ".join(f"('{p}')" for p in checks.CONTRACT) + ") SELECT phrase, (SELECT count(*) FROM documents WHERE contains(lower(text), phrase)) AS n_docs FROM p")
+def contract_checks(spark, sf_dir):
+    return checks.contract_checks(sources.table(spark, sf_dir, "documents"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id % 10 <> 1), b AS (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 3 THEN text || '.' ELSE text END) AS digest FROM documents WHERE doc_id % 10 <> 2)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.digest IS DISTINCT FROM b.digest"""
+)
+def run_diff(spark, sf_dir):
+    # two made-up runs over the whole table: one lacks some documents, the other lacks others and changes some
+    documents = sources.table(spark, sf_dir, "documents")
+    before = documents.where("doc_id % 10 <> 1").select("doc_id", F.md5("text").alias("digest"))
+    changed = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return checks.run_diff(before, documents.where("doc_id % 10 <> 2").select("doc_id", F.md5(changed).alias("digest")))
+
+
+_BLOCKS = "CASE WHEN length(line) < 40 THEN 'heading' ELSE 'paragraph' END"
+
+
+@query(
+    f"""WITH {sources.DOC_LINES_SQL}, b AS (SELECT doc_id, line_no AS seq, {_BLOCKS} AS kind, length(line) % 8 AS level, line FROM doc_lines)
+SELECT doc_id, seq, 'heading_level' AS code FROM b WHERE kind = 'heading' AND level NOT BETWEEN 1 AND 6 UNION ALL SELECT doc_id, seq, 'empty_text' FROM b WHERE length(trim(line)) = 0"""
+)
+def model_violations(spark, sf_dir):
+    lines = sources.doc_lines(spark, sf_dir)
+    return checks.model_violations(lines.select("doc_id", F.col("line_no").alias("seq"), F.expr(_BLOCKS).alias("kind"), (F.length("line") % 8).alias("level"), F.col("line").alias("text")))
+
+
+@query()
+def spine_pack(spark, sf_dir):
+    return checks.spine_pack(sources.table(spark, sf_dir, "documents"))
+
+
+@query(
+    """WITH t AS (SELECT user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events)
+SELECT user_id, count(*) AS n_breaks FROM t WHERE value < top GROUP BY user_id"""
+)
+def progress_monotone(spark, sf_dir):
+    return streaming.progress_breaks(sources.table(spark, sf_dir, "events"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
