@@ -60,13 +60,17 @@ doc_pages AS (
 
 def wrapped_lines(spark: SparkSession, sf_dir: str, mark: str = "-") -> DataFrame:
     """doc_id, line_no, line, next_line: MEASURE characters a line, a broken word marked at the line's end."""
+    documents = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+
+    def lines(t):  # each with the start of what follows; the text is named once, so it is cleaned once
+        last = F.floor(F.greatest(F.length(t) - 1, F.lit(0)) / MEASURE).cast("int")
+        cut = lambda i: F.substring(t, i * MEASURE + 1, F.lit(MEASURE))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(cut(i).alias("s"), cut(i + 1).alias("n"), F.substring(t, (i + 2) * MEASURE + 1, F.lit(1)).alias("m")))
+
     whole = F.regexp_replace("text", "[ \n]+", " ")
-    documents = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", whole.alias("t"))
-    parts = F.expr(f"transform(sequence(0, cast(greatest(length(t) - 1, 0) / {MEASURE} AS int)), i -> substring(t, i * {MEASURE} + 1, {MEASURE}))")
-    parts = documents.select("doc_id", parts.alias("p"))
-    ended = F.expr(f"transform(p, (s, i) -> CASE WHEN rlike(s, '\\\\p{{L}}$') AND rlike(coalesce(get(p, i + 1), ''), '^\\\\p{{L}}') THEN concat(s, '{mark}') ELSE s END)")
-    held = parts.select("doc_id", ended.alias("p"))
-    return held.select("doc_id", "p", F.posexplode("p").alias("line_no", "line")).select("doc_id", "line_no", "line", F.get("p", F.col("line_no") + 1).alias("next_line"))
+    rows = documents.select("doc_id", F.posexplode(F.get(F.transform(F.array(whole), lines), F.lit(0))).alias("line_no", "x"))
+    marked = lambda a, b: F.when(F.col(a).rlike("\\p{L}$") & F.col(b).rlike("^\\p{L}"), F.concat(F.col(a), F.lit(mark))).otherwise(F.col(a))
+    return rows.select("doc_id", "line_no", marked("x.s", "x.n").alias("line"), F.when(F.col("x.n") != "", marked("x.n", "x.m")).alias("next_line"))
 
 
 def wrapped_lines_sql(mark: str = "-") -> str:
