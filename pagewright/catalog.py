@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from . import plans, sources, streaming
-from .operators import checks, html_blocks, line_joins, page_layout, text_quality
+from .operators import checks, html_blocks, line_joins, lists_notes, page_layout, reading_order, text_quality
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -427,6 +427,53 @@ def progress_monotone(spark, sf_dir):
     return streaming.progress_breaks(sources.table(spark, sf_dir, "events"))
 
 
+# --- lists, notes, order, text repairs ------------------------------------------------------------------
+
+_ITEMS = "SELECT doc_id, page_no, row_no + 8 * page_no AS seq, CASE WHEN length(line) % 3 = 0 THEN 'letter' ELSE 'number' END AS family, CASE WHEN row_no % 6 = 0 THEN 1 ELSE length(line) % 4 + row_no END AS value FROM {lines}"
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, i AS ({_ITEMS.format(lines='doc_pages')}),
+m AS (SELECT *, value - lag(value) OVER w AS step, page_no - lag(page_no) OVER w AS pages FROM i WINDOW w AS (PARTITION BY doc_id, family ORDER BY seq)),
+o AS (SELECT *, CASE WHEN step IS NULL OR value = 1 OR step NOT BETWEEN 1 AND 2 OR pages > 1 THEN 1 ELSE 0 END AS opens FROM m),
+r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, family ORDER BY seq) AS run FROM o)
+SELECT doc_id, family, CAST(min(seq) AS INTEGER) AS first_seq, count(*) AS n, coalesce(bool_and(step = 1) FILTER (opens = 0), true) AND count(*) >= 2 AS is_list FROM r GROUP BY doc_id, family, run"""
+)
+def list_runs(spark, sf_dir):
+    lines = sources.doc_pages(spark, sf_dir)
+    family = F.when(F.length("line") % 3 == 0, "letter").otherwise("number")
+    value = F.when(F.col("row_no") % 6 == 0, 1).otherwise(F.length("line") % 4 + F.col("row_no"))
+    return lists_notes.list_runs(lines.select("doc_id", "page_no", (F.col("row_no") + 8 * F.col("page_no")).alias("seq"), family.alias("family"), value.alias("value")))
+
+
+@query(
+    f"""WITH {sources.DOC_PAGES_SQL}, k AS (SELECT doc_id, page_no, row_no, length(line) % 9 AS number FROM doc_pages),
+o AS (SELECT doc_id, page_no, number, min(row_no) AS note_row FROM k WHERE row_no >= 5 GROUP BY ALL HAVING count(*) = 1)
+SELECT doc_id, page_no, row_no, note_row FROM k JOIN o USING (doc_id, page_no, number) WHERE row_no < 5"""
+)
+def note_links(spark, sf_dir):
+    lines = sources.doc_pages(spark, sf_dir).select("doc_id", "page_no", "row_no", (F.length("line") % 9).alias("number"))
+    return lists_notes.note_links(lines.where("row_no < 5"), lines.where("row_no >= 5"))
+
+
+@query()
+def page_order(spark, sf_dir):
+    # two columns: even rows stand left, odd rows right
+    lines = sources.doc_pages(spark, sf_dir)
+    right = F.col("row_no") % 2
+    return reading_order.reading_order(lines.select("doc_id", "page_no", "row_no", (F.lit(72.0) + right * 240.0).alias("x"), (F.lit(700.0) - F.floor(F.col("row_no") / 2) * 14.0).alias("y"), F.lit(200.0).alias("w"), F.lit(11.0).alias("h")))
+
+
+_XML = "regexp_replace(html, '[\\x{1}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{FFFE}\\x{FFFF}]', '', 'g')"
+for _plain, _escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+    _XML = f"replace({_XML}, '{_plain}', '{_escaped}')"
+
+
+@query(f"SELECT page_id, md5({_XML}) AS digest FROM pages")
+def xml_text(spark, sf_dir):
+    return sources.table(spark, sf_dir, "pages").select("page_id", F.md5(X.xml_text(F.col("html"))).alias("digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

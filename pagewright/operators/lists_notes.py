@@ -1,0 +1,24 @@
+"""List runs and note links over marked lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def list_runs(items: DataFrame) -> DataFrame:
+    """Runs of one family on the same or the next page whose numbers rise by one or two; a 1 opens a new run; strict runs are lists."""
+    order = Window.partitionBy("doc_id", "family").orderBy("seq")
+    step, pages = F.col("value") - F.lag("value").over(order), F.col("page_no") - F.lag("page_no").over(order)
+    opens = step.isNull() | (F.col("value") == 1) | ~step.between(1, 2) | (pages > 1)
+    marked = items.withColumn("step", step).withColumn("opens", opens.cast("int"))
+    runs = marked.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    strict = F.coalesce(F.min(F.when(F.col("opens") == 0, (F.col("step") == 1).cast("int"))), F.lit(1)) == 1
+    held = runs.groupBy("doc_id", "family", "run").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"), strict.alias("strict"))
+    return held.select("doc_id", "family", "first_seq", "n", (F.col("strict") & (F.col("n") >= 2)).alias("is_list"))
+
+
+def note_links(references: DataFrame, notes: DataFrame) -> DataFrame:
+    """References whose number stands on exactly one note of their page: doc_id, page_no, row_no, note_row."""
+    one = notes.groupBy("doc_id", "page_no", "number").agg(F.count("*").alias("k"), F.min("row_no").alias("note_row")).where("k = 1").drop("k")
+    return references.join(one, ["doc_id", "page_no", "number"]).select("doc_id", "page_no", "row_no", "note_row")

@@ -47,3 +47,15 @@ def test_entry_runs_without_the_training_subpackage(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
+
+
+def test_reading_order_takes_columns_before_rows():
+    from pagewright.operators.reading_order import ordered
+
+    left = [(0, 100 - 14 * i, 90, 10) for i in range(5)]
+    right = [(110, 100 - 14 * i, 90, 10) for i in range(5)]
+    mixed = [b for pair in zip(left, right, strict=True) for b in pair]
+    assert ordered(mixed, 11) == [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
+    heading = [(0, 140, 200, 12), *mixed]
+    assert ordered(heading, 11)[0] == 0 and ordered(heading, 11)[1:6] == [1, 3, 5, 7, 9]
+    assert ordered([], 11) == []
