@@ -18,7 +18,7 @@ Links become components (see ``components``); every class member gets its class'
 
 Defined results: null and wordless texts have no shingles and are linked with nothing; with
 fewer words than a shingle the whole sequence is the only one; rows that repeat a doc_id
-each give a row.
+each give a row, and are one node of the links, linked by any of its texts.
 """
 
 from __future__ import annotations
@@ -183,38 +183,31 @@ def _prefixes(n: int, percent: int, frequency):
     return run
 
 
-def _class_bitmap(classes: DataFrame) -> np.ndarray:
-    word = F.shiftright(F.col("s1").bitwiseAND(F.lit(BITS - 1).cast("bigint")), 6).cast("int")
-    rows = classes.groupBy(word.alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s1 & 63 AS int))")).alias("bits")).toArrow()
+def _bitmap(reps: DataFrame) -> np.ndarray:
+    """BITS bits, one set for every doc id of column rep; BITS / 64 rows reach the driver at most."""
+    slot = F.xxhash64("rep").bitwiseAND(F.lit(BITS - 1).cast("bigint"))
+    rows = reps.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
 def _wanted_sets(n: int, frequency, bitmap):
-    """Full sets, in rare-first order, of the classes that the bitmap lets through."""
+    """Full sets, in rare-first order, of the documents that the bitmap lets through."""
 
     def run(batches):
         table_of, bits = frequency.value, bitmap.value
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            for _, _, t, h in _sets(batch["text"], n):
-                if not len(t):
-                    continue
-                _, counts, a, b = _signatures(t, h)
-                slot = a.view(np.uint64) & np.uint64(BITS - 1)
-                likely = ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
-                if not likely.any():
-                    continue
-                ordered, _, at, _ = _ordered(t, h, table_of)
-                rows: list[list] = [[], [], []]
-                for i in np.flatnonzero(likely).tolist():
-                    key = int(a[i]), int(b[i])
-                    if key not in seen:
-                        seen.add(key)
-                        for column, x in zip(rows, (*key, ordered[at[i] : at[i] + counts[i]].view(np.int64)), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))], names=["s1", "s2", "items"])
+            slot = batch["slot"].to_numpy().astype(np.uint64)
+            likely = np.flatnonzero((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+            if not len(likely):
+                continue
+            batch = batch.take(pa.array(likely))
+            for begin, _, t, h in _sets(batch["text"], n):
+                if len(t):
+                    ordered, _, at, counts = _ordered(t, h, table_of)
+                    bounds = pa.array(np.append(at, len(t)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(begin + t[at])), pa.ListArray.from_arrays(bounds, pa.array(ordered.view(np.int64)))], names=["rep", "items"])
 
     return run
 
@@ -312,11 +305,10 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80, small:
     pairs = materialize(one.join(two, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "join-pairs")
 
     crowd = met.where(F.col("c") > small)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes, "rep").select("s1", "s2", "rep")
-    wanted = materialize(wanted.unionByName(crowd.select("s1", "s2", "rep")).distinct(), "join-wanted")
-    bitmap = spark.sparkContext.broadcast(_class_bitmap(wanted))
-    sets = texts.mapInArrow(_wanted_sets(n, frequency, bitmap), "s1 long, s2 long, items array<long>")
-    sets = materialize(sets.join(wanted, ["s1", "s2"]).groupBy("rep").agg(F.first("items").alias("items")), "join-sets")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
+    slot = F.xxhash64("doc").bitwiseAND(F.lit(BITS - 1).cast("bigint")).alias("slot")
+    sets = rows.where("doc IS NOT NULL").select("doc", "text", slot).mapInArrow(_wanted_sets(n, frequency, bitmap), "rep long, items array<long>")
 
     first = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
     both = first.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
