@@ -40,7 +40,7 @@ LONGEST = 256
 _SLOTS = 1 << 18
 _NONE = 1 << 30
 #: Distinct words a task counts before it hands them on.
-_COUNTED = 400_000
+_COUNTED = 150_000
 
 
 @dataclass
@@ -171,12 +171,12 @@ def merge_long(word: bytes, pairs: dict[tuple[int, int], int], byte_ids: list[in
 class _Splitter:
     """Words of the distinct pieces of a slice of texts; a bounded store keeps each piece's words."""
 
-    def __init__(self, pattern: str, most: int = 400_000):
+    def __init__(self, pattern: str, most: int = 100_000):
         import regex
 
         self.find, self.known, self.most = regex.compile(pattern).findall, {}, most
 
-    def slices(self, column: pa.Array, slice_bytes: int = 4 << 20):
+    def slices(self, column: pa.Array, slice_bytes: int = 2 << 20):
         """(texts in the slice, distinct words, word number of each place, places per text)."""
         data, offsets = texts_of(column)
         begin, n = 0, len(offsets) - 1
@@ -257,8 +257,9 @@ def _look_up(ranks: Ranks, head: dict[bytes, bytes]):
     def run(batches):
         splitter, pairs, byte_ids = _Splitter(ranks.pattern), None, ranks.byte_ids()
         for batch in batches:
-            seqs, rests = [], []
+            done = 0
             for texts, words, at, per_text in splitter.slices(batch["__text"]):
+                seqs, rests = [], []
                 lengths = np.ones(len(words), np.int64)
                 parts = []
                 for i, w in enumerate(words):
@@ -286,13 +287,14 @@ def _look_up(ranks: Ranks, head: dict[bytes, bytes]):
                     else:
                         rests.append([])
                     seqs.append(ids.tobytes())
-            counts = np.fromiter(map(len, rests), np.int64, len(rests))
-            words = [w for r in rests for w in r]
-            inner = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int32)))
-            rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
-            kept = [(batch.schema.field(i), batch.column(i)) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(seqs, pa.binary()), rest], schema=pa.schema([f for f, _ in kept] + list(schema)))
+                counts = np.fromiter(map(len, rests), np.int64, len(rests))
+                own_words = [w for r in rests for w in r]
+                inner = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own_words), np.int64, len(own_words)))]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.frombuffer(b"".join(own_words), np.uint8).astype(np.int32)))
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+                kept = [(batch.schema.field(i), batch.column(i).slice(done, texts)) for i in range(batch.num_columns - 1)]
+                done += texts
+                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(seqs, pa.binary()), rest], schema=pa.schema([f for f, _ in kept] + list(schema)))
 
     return run
 
