@@ -29,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,7 +224,7 @@ def _expand(batches):
         cuts = np.searchsorted(starts, np.append(begins, int(begins[-1] + sizes[-1]) + 1))
         parts = []
         for i, (_, _, n, data) in enumerate(rows):
-            found = [(0, len(data) - SPAN)] if n > 1 else _ranges(starts[cuts[i] : cuts[i + 1]] - begins[i])
+            found = [] if n > 1 else _ranges(starts[cuts[i] : cuts[i + 1]] - begins[i])
             parts.append([{"a": a, "b": b} for a, b in found])
         some = [i for i, p in enumerate(parts) if p]
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([rows[i][1] for i in some], pa.int64()), pa.array([parts[i] for i in some], _PARTS.field(2).type)], schema=_PARTS)
@@ -268,9 +268,14 @@ def repeated_ranges(documents: DataFrame, group: int = GROUP) -> DataFrame:
     usual = different.join(crowds, "owner", "left_anti").repartition("owner").sortWithinPartitions("owner", "content")
     parts = usual.mapInArrow(_expand, "owner long, content long, parts array<struct<a:int,b:int>>").select("owner", "content", F.inline("parts"))
     each = different.join(crowds, "owner", "left_semi").mapInArrow(_hashed, "owner long, content long, n long, at int, h1 long, h2 long")
-    each = each.groupBy("owner", "h1", "h2").agg(F.sum("n").alias("n"), F.collect_set(F.struct("content", "at")).alias("places")).where("n > 1 OR size(places) > 1")
-    each = each.select("owner", F.inline("places")).select("owner", "content", F.col("at").alias("a"), F.col("at").alias("b"))
-    partly = found.where("NOT alike").select("doc", "key", "first", "owner", "content").join(parts.unionByName(each), ["owner", "content"])
+    again = each.groupBy("owner", "h1", "h2").agg(F.sum("n").alias("starts")).where("starts > 1").drop("starts")
+    once = each.where("n = 1").join(again, ["owner", "h1", "h2"]).select("owner", "content", "at")
+    island = F.col("at") - F.row_number().over(Window.partitionBy("owner", "content").orderBy("at"))
+    runs = once.withColumn("island", island).groupBy("owner", "content", "island").agg(F.min("at").alias("a"), F.max("at").alias("b")).drop("island")
+    # a stretch that occurs again repeats all its windows: one range
+    copies = different.where("n > 1").select("owner", "content", F.lit(0).alias("a"), (F.length("bytes") - SPAN).alias("b"))
+    parts = parts.unionByName(runs).unionByName(copies)
+    partly = found.where("NOT alike").select("doc", "key", "first", "owner", "content").join(parts, ["owner", "content"])
     partly = partly.select("doc", "key", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b") + SPAN).alias("b"))
     return whole.unionByName(partly).groupBy("doc", "key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
