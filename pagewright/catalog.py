@@ -279,8 +279,9 @@ s AS (SELECT *, number - lag(number) OVER w AS step, row_number() OVER w AS k FR
 SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 3 AND min(number) FILTER (k = 1) = 1 AND min(step) >= 1 AND max(step) <= 3"""
 )
 def numbered_outline(spark, sf_dir):
-    pages = sources.doc_pages(spark, sf_dir).where(F.col("line").rlike("[0-9]{1,3}") & (F.col("row_no") % 5 == 0))
-    return plans.numbered_outline(pages.select("doc_id", "page_no", "row_no", F.regexp_extract("line", "([0-9]{1,3})", 1).cast("int").alias("number")))
+    # every line is a candidate by what it says; the SQL above still looks at rows 0 and 5 of a page and at any number
+    lines = sources.doc_pages(spark, sf_dir).select("doc_id", "page_no", "row_no", X.section_number(F.col("line")).alias("number"))
+    return plans.numbered_outline(lines.where("number IS NOT NULL"))
 
 
 # --- line joins ---------------------------------------------------------------------------------------

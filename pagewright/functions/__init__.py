@@ -127,3 +127,10 @@ def xml_text(text: Column) -> Column:
     for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
     return out
+
+
+def section_number(text: Column) -> Column:
+    """The number (1-99) that opens a section title, or null: a capital follows, three letters, at most 120 characters, no stop at the end."""
+    title = text.rlike("^[0-9]{1,2}[ \\t\\x{A0}]+\\p{Lu}") & (held(text, "\\p{L}") >= 3) & (F.length(text) <= 120) & ~text.rlike("[.,;:]$")
+    number = F.regexp_extract(text, "^([0-9]{1,2})", 1).try_cast("int")
+    return F.when(title & (number >= 1), number)

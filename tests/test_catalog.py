@@ -59,3 +59,15 @@ def test_reading_order_takes_columns_before_rows():
     heading = [(0, 140, 200, 12), *mixed]
     assert ordered(heading, 11)[0] == 0 and ordered(heading, 11)[1:6] == [1, 3, 5, 7, 9]
     assert ordered([], 11) == []
+
+
+def test_numbered_outline_reads_every_row(spark, tmp_path):
+    at = lambda lines: "\n".join(lines.get(i, "some text of 7 words") for i in range(24))
+    texts = {
+        1: at({1: "1 Introduction", 11: "2 Method", 20: "4 Results"}),  # rows 1, 3 and 4 of their pages
+        2: at({0: "1 Introduction", 6: "9 Appendix", 13: "2 Method", 16: "3 Results"}),  # row 6 breaks the numbering
+        3: at({0: "1 of many", 5: "2. Listed item", 8: "3 Ends a sentence."}),  # no titles
+        4: at({2: "1 First", 9: "2 Second"}),  # too few
+    }
+    spark.createDataFrame(list({k: (k, "en", t) for k, t in texts.items()}.values()), "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in catalog.queries()["numbered_outline"](spark, str(tmp_path)).collect()] == [(1, 3)]
