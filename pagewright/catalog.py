@@ -147,6 +147,17 @@ def list_markers(spark, sf_dir):
     return _samples(spark).select("id", X.marker_family(F.col("t")).alias("family"), X.marker_value(F.col("t")).alias("value"))
 
 
+@query(
+    f"""WITH {sources.DOC_LINES_SQL}, v AS (SELECT doc_id, line_no, line AS t FROM doc_lines),
+f AS (SELECT doc_id, line_no, t, CASE WHEN regexp_matches(t, '^[\\x{{2022}}*+-][ \\t]') AND NOT regexp_matches(t, '^\\*[ \\t]+\\*') AND (NOT starts_with(t, '+') OR ({_PLUS})) THEN 'bullet'
+ WHEN regexp_matches(t, '^[A-Za-z][.)][ \\t]+') THEN 'letter' WHEN regexp_matches(t, '^[0-9]{{1,3}}[.)][ \\t]+') THEN 'number' END AS family FROM v)
+SELECT doc_id, line_no, family, CASE family WHEN 'letter' THEN ascii(lower(t)) - 96 WHEN 'number' THEN CAST(regexp_extract(t, '^([0-9]{{1,3}})', 1) AS INTEGER) END AS value FROM f"""
+)
+def line_markers(spark, sf_dir):
+    # list_markers over every printed line; that query's own SQL holds its samples alone
+    return sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", X.marker_family(F.col("line")).alias("family"), X.marker_value(F.col("line")).alias("value"))
+
+
 _VALUES = ("e740", "(2)", "7,100", "—", "Korea, Republic of", "1% ad valorem.", "", "--", "12†", "x")
 _VALUE_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_VALUES))
 
@@ -159,6 +170,15 @@ def value_cells(spark, sf_dir):
     return spark.sql(f"SELECT * FROM VALUES {_VALUE_ROWS} AS v(id, t)").select("id", X.is_value(F.col("t")).alias("is_value"))
 
 
+@query(
+    f"""WITH {sources.DOC_LINES_SQL}, s AS (SELECT doc_id, line_no, regexp_replace(line, '^[ ()*\\x{{2020}}\\x{{2021}}]+|[ ()*\\x{{2020}}\\x{{2021}}]+$', '', 'g') AS s FROM doc_lines)
+SELECT doc_id, line_no, s <> '' AND (regexp_matches(s, '^[-\\x{{2013}}\\x{{2014}}]+$') OR (regexp_matches(s, '\\p{{N}}') AND {_held('s', '\\p{L}')} <= 1)) AS is_value FROM s"""
+)
+def line_values(spark, sf_dir):
+    # value_cells over every printed line
+    return sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", X.is_value(F.col("line")).alias("is_value"))
+
+
 _CLEAN = "trim(regexp_replace(regexp_replace({t}, '[\\x{{1}}-\\x{{8}}\\x{{B}}\\x{{C}}\\x{{E}}-\\x{{1F}}\\x{{FFFE}}\\x{{FFFF}}]', '', 'g'), '[ \\t\\r\\n\\x{{A0}}]+', ' ', 'g'))"
 
 

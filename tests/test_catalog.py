@@ -71,3 +71,16 @@ def test_numbered_outline_reads_every_row(spark, tmp_path):
     }
     spark.createDataFrame(list({k: (k, "en", t) for k, t in texts.items()}.values()), "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in catalog.queries()["numbered_outline"](spark, str(tmp_path)).collect()] == [(1, 3)]
+
+
+def test_markers_and_values_of_every_line(spark, tmp_path):
+    text = "\n".join([*catalog._SAMPLES, *catalog._VALUES])
+    spark.createDataFrame([(1, "en", text), (2, "en", None), (3, "de", "7) seven\nplain\n(2)")], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    read = lambda name: {(r[0], r[1]): tuple(r)[2:] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+    markers, values = read("line_markers"), read("line_values")
+    assert len(markers) == len(values) == len(catalog._SAMPLES) + len(catalog._VALUES) + 3
+    at = len(catalog._SAMPLES)
+    assert {(1, r["id"]): (r["family"], r["value"]) for r in catalog.list_markers(spark, "").collect()}.items() <= markers.items()
+    assert {(1, r["id"] + at): (r["is_value"],) for r in catalog.value_cells(spark, "").collect()}.items() <= values.items()
+    assert [markers[3, i] for i in range(3)] == [("number", 7), (None, None), (None, None)]
+    assert [values[3, i] for i in range(3)] == [(False,), (False,), (True,)]
