@@ -4,14 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 and read back as the next one's docs.  All but the last return the columns of documents:
 
 * language: rejects rows whose language is ``und`` (null texts, texts without a letter);
-* near_duplicates: of every group of linked documents (word 5-shingles, Jaccard 0.8) the one
-  with the smallest doc_id stays;
+* near_duplicates: of every group of linked rows (word 5-shingles, Jaccard 0.8) the one with the
+  smallest doc_id stays (null after all others, any one of equals);
 * repeats: cuts bytes of 200-byte strings that start at two places; n_chars follows the
   text, and rows whose whole text was cut go;
 * benchmark: rejects contaminated rows;
 * tokens: byte-level BPE ids of what is left, decoded again: digests and counts.
 
-Rows with an empty table run through every stage and stay empty.
+Every stage decides row by row: rows that share a doc_id, or have none, are judged by their own
+texts.  Rows with an empty table run through every stage and stay empty.
 """
 
 from __future__ import annotations
@@ -34,15 +35,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, SHINGLE, PERCENT)
-    gone = found.where((F.col("n") > 0) & (F.col("doc") != F.col("component"))).select(F.col("doc").alias("__id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    again = found.where("n > 0").groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("__id"))
-    if again.limit(1).count() == 0:
-        return left
-    # rows that repeat a doc_id: one of them stays
-    once = left.join(again, left["doc_id"] == again["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, left["doc_id"] == again["__id"], "left_anti").unionByName(once)
+    # rows get numbers of their own, which a table fixes: rows that share a doc_id, or have none, are told apart
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("d")), "near-rows")
+    found = near_duplicates(numbered.select(F.col("row").alias("doc_id"), F.col("d.text").alias("text")), SHINGLE, PERCENT)
+    linked = materialize(found.where("n > 0"), "near-linked")
+    several = linked.groupBy("component").agg(F.count("*").alias("c")).where("c > 1").select("component")
+    members = linked.join(several, "component").select("component", F.col("doc").alias("row"))
+    members = materialize(members.join(numbered.select("row", F.col("d.doc_id").alias("id")), "row"), "near-members")
+    stays = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("row")).select("row")
+    gone = members.select("row").join(stays, "row", "left_anti")
+    return numbered.join(gone, "row", "left_anti").select("d.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +54,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    row = F.struct(F.col("doc_id").alias("id"), F.md5("text").alias("text"))  # equal rows get equal verdicts
+    judged = decontaminate(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     tainted = judged.where("contaminated").select(F.col("doc_id").alias("__tainted")).distinct()
-    return docs.join(tainted, docs["doc_id"] == tainted["__tainted"], "left_anti")
+    return docs.join(tainted, row.eqNullSafe(F.col("__tainted")), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,24 @@ def test_stages_keep_clean_rows_and_drop_planted_ones(spark, tmp_path):
     assert ids[2] == ids[1]
     assert ids[3] == ids[4] == [*range(20), 23, 24]
     assert sorted(r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()) == ids[4]
+
+
+def test_stages_judge_rows_and_not_ids(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    item, t = text(40), [text(80) for _ in range(8)]
+    tainted = [f"{text(30)} {item} {text(5)}" for _ in range(2)]
+    rows = [(1, t[0]), (1, t[1]), (1, t[1]), (2, t[2]), (3, t[2] + " more"), (3, t[3]), (None, t[4]), (None, t[4] + " more"), (None, t[5]), (4, t[5]), (None, t[6])]
+    kept = [(1, t[0]), (1, t[1]), (2, t[2]), (3, t[3]), (4, t[5]), (None, t[6])]
+    docs = spark.createDataFrame([(i, x, "d") for i, x in rows], "doc_id long, text string, d string")
+    near = pipeline.near(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in near.collect()]
+    assert len(got) == len(kept) + 1 and set(kept) < set(got) and [x[0] for x in got if x not in kept] == [None]
+    assert [x[1] for x in got if x not in kept][0] in (t[4], t[4] + " more")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(7, tainted[0], "x"), (7, t[7], "x"), (None, tainted[1], "x"), (None, t[0], "x")], "doc_id long, text string, d string")
+    assert {(r["doc_id"], r["text"]) for r in pipeline.benchmark(spark, docs, str(tmp_path)).collect()} == {(7, t[7]), (None, t[0])}
