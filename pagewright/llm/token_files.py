@@ -5,7 +5,7 @@ Each task encodes its documents (tokenizers library, every distinct chunk once w
 stays in a bounded store), appends the end id and cuts the stream into blocks of at most
 ``BLOCK_IDS`` ids (a longer document is a block of its own).  A block is compressed by
 itself: every round replaces the most frequent pairs of neighbours that don't overlap by
-new nonterminals, until no pair is frequent enough or ``ROUNDS`` is reached.
+new nonterminals, until no pair occurs ``LEAST`` times.
 
 A block's file record holds: the rules (two 32-bit symbols a nonterminal), the expansion
 length of every nonterminal, the compressed sequence, and, per document, its id and token
@@ -32,8 +32,8 @@ from .pieces import PieceStore, ragged
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-#: Rounds of replacement, and the pairs a round may replace.
-ROUNDS, PAIRS = 4, 8192
+#: Pairs a round may replace; the others wait for the next one.
+PAIRS = 8192
 #: A pair must occur so often in a block to be replaced.
 LEAST = 16
 _HASH_BITS = 18
@@ -45,7 +45,8 @@ def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.nd
     """Frequent pairs of neighbours (64-bit keys, most frequent first), and their places with each place's rank.
 
     Pairs are counted in hashed slots; a slot stands for one pair that fell into it, and
-    that pair is then counted exactly.
+    that pair is then counted exactly.  Where no slot's pair is frequent, a frequent one may
+    have lost its slot, so the places in full slots are sorted: none is left only if none is found.
     """
     keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
     slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
@@ -59,21 +60,25 @@ def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.nd
     slot_of[top] = np.arange(len(top), dtype=np.int32)
     at = slot_of[slot]
     places = np.flatnonzero(at >= 0)
-    at, keys = at[places], keys[places]
+    at, here = at[places], keys[places]
     pair = np.zeros(len(top), np.uint64)
-    pair[at] = keys
-    same = pair[at] == keys
+    pair[at] = here
+    same = pair[at] == here
     places, at = places[same], at[same]
     exact = np.bincount(at, minlength=len(top))
+    if exact.max() < least:
+        places = np.flatnonzero(counts[slot] >= least)
+        pair, at, exact = np.unique(keys[places], return_inverse=True, return_counts=True)
     order = np.argsort(-exact, kind="stable")
     order = order[exact[order] >= least]
-    rank = np.full(len(top), -1, np.int32)
+    order = order[:most]
+    rank = np.full(len(pair), -1, np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     rank = rank[at]
     return pair[order], places[rank >= 0], rank[rank >= 0]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, pairs: int = PAIRS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first nonterminal, rules as pairs of symbols, expansion lengths, sequence).
 
     Of overlapping places the more frequent pair wins; in a run of one symbol every other place does.
@@ -81,9 +86,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: i
     seq = np.ascontiguousarray(ids, np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 1
     rules, length_of = [], np.ones(first, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         found, places, rank = _frequent(seq, least, pairs)
         if not len(places):
             break

@@ -115,6 +115,21 @@ def test_grammar_is_exact_and_random_access():
     assert len(sequence) < 1000 and int(lengths.max()) >= 8
 
 
+def test_grammar_leaves_no_frequent_pair(monkeypatch):
+    rng = np.random.default_rng(6)
+    zipf = np.minimum(rng.zipf(1.3, 60_000), 40_000)
+    passage = np.tile(rng.integers(0, 50_000, 500), 60)
+    for bits in (token_files._HASH_BITS, 4):  # with 16 slots most pairs lose theirs
+        monkeypatch.setattr(token_files, "_HASH_BITS", bits)
+        for ids in (zipf[: 60_000 if bits > 4 else 3000], passage, np.zeros(5000)):
+            ids = ids.astype(np.uint32)
+            first, rules, lengths, sequence = token_files.compress(ids)
+            pairs = np.unique((sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:], return_counts=True)[1]
+            assert pairs.max(initial=0) < token_files.LEAST
+            assert (token_files.expand(first, rules, sequence) == ids).all()
+            assert (token_files.decode_range(first, rules, lengths, sequence, 100, 900) == ids[100:900]).all()
+
+
 def test_piece_cuts_are_word_boundaries():
     import regex
 
