@@ -1,8 +1,7 @@
 """Helpers shared by the training-data operators: tables, shared folders, text rules.
 
 Every operator takes DataFrames and returns DataFrames.  Columns an operator does not
-name are ignored, so extra columns (also ones that clash with internal names) are safe:
-each operator first selects the columns it needs under names of its own.
+name are ignored: each operator first selects the columns it needs under names of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +21,9 @@ BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 #: bytes.translate table: breaks become spaces, A-Z become a-z, the rest stays.
 WORD_BYTES = bytes(32 if c < 128 and not chr(c).isalnum() else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
 _LOCAL_SHARED: list[str] = []
 
 
@@ -30,15 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``; one of our own only in a local session without it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_SHARED:
         _LOCAL_SHARED.append(tempfile.mkdtemp(prefix="pagewright-"))
     return _LOCAL_SHARED[0]
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` whose batches hold ``BATCH_BYTES`` at most, or one row: a session setting, so that
+    neither the JVM nor a worker holds ten thousand long texts at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 

@@ -3,8 +3,9 @@
 Alternates two star operations: every node's larger neighbours are linked to its smallest
 neighbour, then its smaller ones are.  Labels fall to each component's smallest node in a
 number of rounds that grows with the logarithm of its size.  Each round is one or two
-shuffles of the links with sums made before; rounds end in a table in the shared folder.
-A node that many links share spreads over tasks by its other end before sums are joined.
+shuffles of the links with minima taken before; rounds end in a table in the shared folder.
+Minima of a node that many links share are taken in every task first; the joins that hand
+them back are left to adaptive execution, which splits a partition that one node fills.
 """
 
 from __future__ import annotations

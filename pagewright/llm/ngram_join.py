@@ -7,39 +7,50 @@ enough share one of their first few shingles (the prefix), so classes meet in gr
 shared prefix shingle:
 
 * shingles in one prefix only are dropped first, by a count and a join;
-* small groups are paired in a join whose condition holds the length and positional filters,
-  pairs are made distinct, and each is verified once on the full sets;
-* large groups are cut into blocks of bounded size; each pair of blocks is one unit of
-  work, where a pair that passes the length, positional and suffix filters, whose first
-  common prefix shingle this is and that isn't linked already, is verified.  A unit returns at
-  most one link per class, so copies are never expanded into all pairs.
+* a group's classes are paired in a join whose condition holds the length and positional
+  filters; a pair of several groups is made distinct and keeps its first shared shingle;
+* pairs are verified in units of neighbouring classes, cut by the bytes of their sets.  A
+  class's text goes once to each unit that has a pair of it, and the unit makes its set.
+  There the suffix filter bounds what may follow the shared shingle, and the full sets
+  decide; a pair that is linked already through others needs no more.
 
-Links become components (see ``components``); every class member gets its class's.
+Groups of more than ``small`` classes are thinned before they are paired, by rounds in
+which every class meets one other of its group only, the one of least hash, and links join
+components; what is paired after that are classes of different components, in blocks.  So a
+large group of near copies costs a pair or two a class, and never all its pairs, and yet
+no link between components is lost.
+
+Links become components (see ``components``); every class gets the smallest doc_id of its own.
 
 Defined results: null and wordless texts have no shingles and are linked with nothing; with
 fewer words than a shingle the whole sequence is the only one; rows that repeat a doc_id
-each give a row, and are one node of the links, linked by any of its texts.
+are each judged by their own text; a class none of whose rows has a doc_id forms no links,
+and its rows have no component.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_arrow, materialize, table
 from .components import components
 from .pieces import texts_of
 from .windows import mixed, powers
 
 FREQUENCY_BITS = 18
-#: Classes of a group that are paired in a join; larger groups go to blocks.
-SMALL = 48
-#: Classes and bytes of shingles in a block, about.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
-#: Bits of the bitmap of classes that take part in pairs.
+#: Classes of a group that are paired at once; larger groups are thinned by rounds before.
+SMALL, ROUNDS = 32, 4
+#: Classes of a block of a group, and bytes of sets in a unit, about.
+BLOCK, UNIT_BYTES = 2048, 4 << 20
+#: Bits of the bitmap of documents whose texts take part in pairs.
 BITS = 1 << 22
+#: Copies of the labels that a large class's rows are dealt over.
+SALTS = 16
 
 _rng = np.random.default_rng(77)
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -107,48 +118,46 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)
 
 
-def _frequencies(n: int):
-    def run(batches):
-        counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
-        for batch in batches:
-            for _, _, _, h in _sets(batch["text"], n):
-                counts += np.bincount(_bucket(h), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
-
-    return run
-
-
-def frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """Shingles of all texts by bucket; the table's size is fixed."""
-    rows = texts.mapInArrow(_frequencies(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    return out
-
-
-def _signatures(t: np.ndarray, h: np.ndarray):
+def _signatures(t: np.ndarray, h: np.ndarray, seed: int):
     """(text, set size, two sums of mixed hashes that name the set) of the texts that have shingles."""
     at = np.flatnonzero(np.diff(t, prepend=-1))
     counts = np.diff(np.append(at, len(t)))
     if not len(at):
         return t[:0], counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    one, two = np.add.reduceat(mixed(h * _PLACE[40]), at), np.add.reduceat(mixed(h ^ _PLACE[41]), at)
+    one, two = np.add.reduceat(mixed(h * _PLACE[40 + seed]), at), np.add.reduceat(mixed(h ^ _PLACE[63 - seed]), at)
     return t[at], counts, mixed(one).view(np.int64), mixed(two).view(np.int64)
 
 
-def _classes(n: int):
+_READ = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("proof", pa.int64()), ("bucket", pa.int32())])
+
+
+def _read(n: int, seed: int):
+    """A row for each text, with its set's size and names; then the task's shingles by bucket."""
+
     def run(batches):
+        frequency = np.zeros(1 << FREQUENCY_BITS, np.int64)
         for batch in batches:
             size, one, two = (np.zeros(len(batch), np.int64) for _ in range(3))
             for begin, _, t, h in _sets(batch["text"], n):
-                text, counts, a, b = _signatures(t, h)
+                frequency += np.bincount(_bucket(h), minlength=len(frequency))
+                text, counts, a, b = _signatures(t, h, seed)
                 size[begin + text], one[begin + text], two[begin + text] = counts, a, b
-            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(size), pa.array(one), pa.array(two)], names=["doc", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(size), pa.array(one), pa.array(two), pa.nulls(len(batch), pa.int32())], schema=_READ)
+        at = np.flatnonzero(frequency)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(frequency[at]), none, none, pa.array(at.astype(np.int32))], schema=_READ)
 
     return run
 
 
+def frequencies(read: DataFrame) -> np.ndarray:
+    """Shingles of all texts by bucket; the table's size is fixed."""
+    rows = read.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
 def prefix_length(n, percent: int):
     """Shingles of a set of n (a number or an array) of which a similar set must share one."""
     return n - (-(-n * percent // 100)) + 1
@@ -162,169 +171,211 @@ def _ordered(t: np.ndarray, h: np.ndarray, frequency: np.ndarray):
     return h[order], np.arange(len(t)) - np.repeat(at, counts), at, counts
 
 
-def _prefixes(n: int, percent: int, frequency):
+def _prefixes(n: int, percent: int, seed: int, frequency):
+    """(token, class, set size << 32 | place) of the prefix of each set; copies in a batch count once."""
+
     def run(batches):
         table_of = frequency.value
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
+            seen: set[int] = set()
             for _, _, t, h in _sets(batch["text"], n):
                 if not len(t):
                     continue
-                _, counts, a, b = _signatures(t, h)
+                _, counts, name, _ = _signatures(t, h, seed)
                 ordered, place, _, _ = _ordered(t, h, table_of)
-                new = np.ones(len(a), bool)
-                for i, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+                new = np.ones(len(name), bool)
+                for i, key in enumerate(name.tolist()):
                     new[i] = key not in seen
                     seen.add(key)
                 keep = (place < np.repeat(prefix_length(counts, percent), counts)) & np.repeat(new, counts)
-                columns = [ordered[keep].view(np.int64), np.repeat(counts, counts)[keep].astype(np.int32), place[keep].astype(np.int32), np.repeat(a, counts)[keep], np.repeat(b, counts)[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "n", "place", "s1", "s2"])
+                columns = [ordered[keep].view(np.int64), np.repeat(name, counts)[keep], (np.repeat(counts, counts)[keep] << 32) | place[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "cls", "np"])
 
     return run
 
 
-def _bitmap(reps: DataFrame) -> np.ndarray:
-    """BITS bits, one set for every doc id of column rep; BITS / 64 rows reach the driver at most."""
-    slot = F.xxhash64("rep").bitwiseAND(F.lit(BITS - 1).cast("bigint"))
-    rows = reps.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.uint64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return out
+def _bitmap(docs: DataFrame) -> Column:
+    """The test whether a row's doc may be among those of ``docs``: a literal array of BITS bits, one set for each.
 
+    BITS / 64 rows reach the driver at most.
+    """
+    slot = F.xxhash64("doc").bitwiseAND(F.lit(BITS - 1).cast("bigint"))
+    rows = docs.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS int))")).alias("bits")).toArrow()
+    longs = np.zeros(BITS // 64, np.int64)
+    longs[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    bits = F.split(F.lit(",".join(map(str, longs.tolist()))), ",").cast("array<bigint>")
+    return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
 
-def _wanted_sets(n: int, frequency, bitmap):
-    """Full sets, in rare-first order, of the documents that the bitmap lets through."""
 
-    def run(batches):
-        table_of, bits = frequency.value, bitmap.value
-        for batch in batches:
-            slot = batch["slot"].to_numpy().astype(np.uint64)
-            likely = np.flatnonzero((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
-            if not len(likely):
-                continue
-            batch = batch.take(pa.array(likely))
-            for begin, _, t, h in _sets(batch["text"], n):
-                if len(t):
-                    ordered, _, at, counts = _ordered(t, h, table_of)
-                    bounds = pa.array(np.append(at, len(t)).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([batch["doc"].take(pa.array(begin + t[at])), pa.ListArray.from_arrays(bounds, pa.array(ordered.view(np.int64)))], names=["rep", "items"])
+def _near(x: str, y: str, percent: int) -> Column:
+    """The length and positional filters for rows of one prefix shingle."""
+    n, m = (F.shiftright(f"{s}.np", 32) for s in (x, y))
+    i, j = (F.col(f"{s}.np").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")) for s in (x, y))
+    shared = F.least(n - i, m - j)  # the first common shingle and all that follows
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * shared >= percent * (n + m - shared))
 
-    return run
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) of the rows x and y that met, with the places of their first common shingle."""
+    first = F.col("x.cls") < F.col("y.cls")
+    low, high = F.struct(F.col("x.cls"), F.col("x.np")), F.struct(F.col("y.cls"), F.col("y.np"))
+    pair = met.select(F.when(first, low).otherwise(high).alias("a"), F.when(first, high).otherwise(low).alias("b"))
+    place = F.lit(0xFFFFFFFF).cast("bigint")
+    pair = pair.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.np").bitwiseAND(place).alias("i"), F.col("b.np").bitwiseAND(place).alias("j"))
+    return pair.groupBy("a", "b").agg(F.min("i").alias("i"), F.min("j").alias("j"))
+
+
+_UNITS = "unit string, kind int, cls long, text binary, b long, i long, j long"
 
-def _linked(shared: int, n: int, m: int, percent: int) -> bool:
-    return 100 * shared >= percent * (n + m - shared)
-
-
-def _blocks(percent: int):
-    """Links inside units of work; rows come sorted by unit."""
-    names = ["a", "b"]
-
-    def solved(rows):
-        own = [r for r in rows if r["side"] != 2]
-        other = [r for r in rows if r["side"] == 2]
-        if not other and rows[0]["side"] == 1:
-            return [], []
-        label = list(range(len(rows)))
-
-        def root(i):
-            while label[i] != i:
-                label[i] = label[label[i]]
-                i = label[i]
-            return i
-
-        order = own + other
-        n = np.array([r["n"] for r in order])
-        place = np.array([r["place"] for r in order])
-        sets = [frozenset(r["items"]) for r in order]
-        before = [frozenset(r["items"][: r["place"]]) for r in order]
-        # what follows the shared shingle, counted in parts of the hash space: the suffix filter's bound
-        after = np.stack([np.bincount(np.array(r["items"][r["place"] + 1 :], np.int64) & 15, minlength=16) for r in order])
-        out: tuple[list, list] = ([], [])
-        second = range(len(order)) if not other else range(len(own), len(order))
-        second = np.array(second)
-        for i in range(len(own)):
-            j = second[second > i] if not other else second
-            if not len(j):
-                continue
-            need = -(-percent * (n[i] + n[j]) // (100 + percent))
-            fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
-            j, need = j[fits], need[fits]
-            for k in j[1 + np.minimum(after[i], after[j]).sum(1) >= need].tolist():
-                if root(i) == root(k) or not before[i].isdisjoint(before[k]):
-                    continue
-                if _linked(len(sets[i] & sets[k]), len(sets[i]), len(sets[k]), percent):
-                    label[root(k)] = root(i)
-                    out[0].append(order[i]["rep"])
-                    out[1].append(order[k]["rep"])
-        return out
+
+def _verify(n: int, percent: int, seed: int, frequency):
+    """Links among the pairs of each unit: rows come sorted by unit, texts before pairs."""
 
     def run(batches):
-        rows, unit = [], None
+        table_of, unit = frequency.value, None
+        sets, parts, label = {}, {}, {}
+
+        def root(x):
+            while label.setdefault(x, x) != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        def hold(cls: int, text) -> None:
+            for _, _, t, h in _sets(pa.array([text], pa.binary()), n):
+                if len(t) and int(_signatures(t, h, seed)[2][0]) == cls:  # a doc_id may have several texts
+                    # rare shingles first, for the suffix filter; by value, to count what is common
+                    sets[cls] = _ordered(t, h, table_of)[0], h
+                    parts[cls] = np.bincount((h & np.uint64(15)).astype(np.int64), minlength=16)
+
+        def linked(a: int, b: int, i: int, j: int) -> bool:
+            (x, by_x), (y, by_y) = sets[a], sets[b]
+            # what is common up to the shared shingle; what follows it, counted in parts of the hash space
+            x, y = x[: i + 1], y[: j + 1]
+            left = parts[a] - np.bincount((x & np.uint64(15)).astype(np.int64), minlength=16)
+            right = parts[b] - np.bincount((y & np.uint64(15)).astype(np.int64), minlength=16)
+            most = len(np.intersect1d(x, y, assume_unique=True)) + int(np.minimum(left, right).sum())
+            if 100 * most < percent * (len(by_x) + len(by_y) - most):
+                return False
+            at = np.searchsorted(by_x, by_y)
+            shared = int((by_x[np.minimum(at, len(by_x) - 1)] == by_y).sum())
+            return 100 * shared >= percent * (len(by_x) + len(by_y) - shared)
+
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                for r in batch.slice(k, 512).to_pylist():
-                    if r["unit"] != unit and rows:
-                        a, b = solved(rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
-                        rows = []
-                    unit = r["unit"]
-                    rows.append(r)
-        if rows:
-            a, b = solved(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=names)
+            a_out, b_out = [], []
+            columns = [batch[name].to_pylist() for name in ("unit", "kind", "cls", "b", "i", "j")]
+            for row, (of, kind, cls, b, i, j) in enumerate(zip(*columns, strict=True)):
+                if of != unit:
+                    unit, sets, parts, label = of, {}, {}, {}
+                if kind == 0:
+                    hold(cls, batch["text"][row].as_py())
+                elif cls in sets and b in sets and root(cls) != root(b) and linked(cls, b, i, j):
+                    label[root(b)] = root(cls)
+                    a_out.append(cls)
+                    b_out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     return run
 
 
+class _Verifier:
+    def __init__(self, texts: DataFrame, sizes: DataFrame, check):
+        self.texts, self.sizes, self.check = texts, sizes, check
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Links (a, b) that join what the pairs (a, b, i, j) link."""
+        pairs = materialize(pairs, "join-pairs")
+        both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+        # a unit is named by its classes' smallest neighbour: classes that all pair with each other share one
+        least = both.groupBy("cls").agg(F.least(F.min("other"), F.first("cls")).alias("least"))
+        named = pairs.join(least, pairs["a"] == least["cls"]).select("a", "b", "i", "j", "least")
+        sides = F.explode(F.array("a", "b")).alias("cls")
+        held = named.select("least", sides).distinct().join(self.sizes, "cls").groupBy("least").agg(F.ceil(F.sum("n") * 8 / UNIT_BYTES).cast("int").alias("parts"))
+
+        def part(side: str) -> Column:
+            return F.pmod(F.xxhash64(F.col(side)), F.col("parts"))
+
+        named = named.join(held, "least").select("a", "b", "i", "j", F.concat_ws(":", "least", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("unit"))
+        texts = named.select("unit", sides).distinct().join(self.texts, "cls")
+        no = F.lit(None).cast("long")
+        rows = texts.select("unit", F.lit(0).alias("kind"), "cls", "text", no.alias("b"), no.alias("i"), no.alias("j"))
+        rows = rows.unionByName(named.select("unit", F.lit(1).alias("kind"), F.col("a").alias("cls"), F.lit(None).cast("binary").alias("text"), "b", "i", "j"))
+        return materialize(map_arrow(rows.repartition("unit").sortWithinPartitions("unit", "kind"), self.check, "a long, b long"), "join-links")
+
+
+def _crowds(big: DataFrame, links: list[DataFrame], verifier: _Verifier, percent: int, block: int) -> list[DataFrame]:
+    """Links within groups too large to be paired at once; ``links`` is what is known before."""
+    for turn in range(ROUNDS):
+        known = components(reduce(DataFrame.unionByName, links))
+        rows = big.join(known, big["cls"] == known["node"], "left").select("token", "cls", "np", "c", F.coalesce("component", "cls").alias("of"))
+        rows = materialize(rows, "join-crowds")
+        groups = rows.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "np", "of")).alias("y"))
+        groups = groups.where("lo <> hi").select("token", "y")
+        if groups.isEmpty():
+            return links
+        big = rows.join(groups.select("token"), "token").select("token", "cls", "np", "c")
+        if turn == ROUNDS - 1:
+            break
+        met = rows.alias("x").join(groups, "token").where(F.col("x.of") != F.col("y.of"))
+        links = [*links, verifier.links(_pairs(met.where(_near("x", "y", percent))))]
+    parts = F.ceil(F.col("c") / block).cast("int")
+    rows = rows.join(groups.select("token"), "token").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("token", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "cls", "np", "of")
+    x, y = rows.alias("x"), rows.alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    apart = (F.col("x.of") != F.col("y.of")) & ((F.col("x.part") < F.col("y.part")) | (F.col("x.p") == F.col("x.q")) & (F.col("x.cls") < F.col("y.cls")))
+    return [*links, verifier.links(_pairs(x.join(y, on & apart & _near("x", "y", percent))))]
+
+
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
     """(doc, n, component) for every row: set size and the smallest doc_id that links reach."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
-    texts = rows.select("text").where(F.length("text") > 0)
-    frequency = spark.sparkContext.broadcast(frequencies(texts, n))
-    members = materialize(rows.mapInArrow(_classes(n), "doc long, n long, s1 long, s2 long"), "join-members")
-    classes = members.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc").alias("rep"))
+    for seed in range(8):
+        read = materialize(map_arrow(rows, _read(n, seed), "doc long, n long, cls long, proof long, bucket int"), "join-read")
+        members = read.where("bucket IS NULL")
+        classes = members.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+        classes = materialize(classes, "join-classes")
+        if classes.where("p <> q").isEmpty():  # else two sets share a name: other names are drawn
+            break
+    else:
+        raise RuntimeError("set names collide")
+    frequency = spark.sparkContext.broadcast(frequencies(read))
 
-    prefixes = texts.mapInArrow(_prefixes(n, percent, frequency), "token long, n int, place int, s1 long, s2 long")
+    texts = rows.select("text").where(F.length("text") > 0)
+    prefixes = map_arrow(texts, _prefixes(n, percent, seed, frequency), "token long, cls long, np long")
     counts = prefixes.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = prefixes.join(counts, "token").groupBy("token", "s1", "s2").agg(F.first("n").alias("n"), F.first("place").alias("place"))
-    shared = materialize(shared, "join-shared")
-    groups = shared.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("held")).where("c > 1")
-    met = materialize(shared.join(groups, "token").join(classes, ["s1", "s2"]), "join-met")
-
-    few = met.where(F.col("c") <= small).select("token", "rep", "n", "place")
-    one, two = few.alias("x"), few.alias("y")
-    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent) - F.lit(1e-9))
-    near = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.rep") < F.col("y.rep"))
-        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= need)
-    )
-    pairs = materialize(one.join(two, near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "join-pairs")
-
-    crowd = met.where(F.col("c") > small)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
-    slot = F.xxhash64("doc").bitwiseAND(F.lit(BITS - 1).cast("bigint")).alias("slot")
-    sets = rows.where("doc IS NOT NULL").select("doc", "text", slot).mapInArrow(_wanted_sets(n, frequency, bitmap), "rep long, items array<long>")
-
-    first = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
-    both = first.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
-    overlap = F.size(F.array_intersect("x", "y"))
-    links = both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b")
-
-    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("held") * 8 / BLOCK_BYTES)).cast("int")
-    crowd = crowd.select("token", "rep", "n", "place", parts.alias("parts")).withColumn("block", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    crowd = crowd.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    crowd = crowd.select("rep", "n", "place", F.concat_ws(":", "token", F.least("block", "with"), F.greatest("block", "with")).alias("unit"), F.when(F.col("block") > F.col("with"), 2).otherwise(F.when(F.col("block") == F.col("with"), 0).otherwise(1)).alias("side"))
-    units = crowd.join(sets, "rep").repartition("unit").sortWithinPartitions("unit")
-    links = links.unionByName(units.mapInArrow(_blocks(percent), "a long, b long"))
-
-    reached = components(links)
-    labelled = classes.join(reached, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    return members.join(labelled, ["s1", "s2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component"))
+    met = materialize(prefixes.join(counts, "token"), "join-met").groupBy("token", "cls").agg(F.min("np").alias("np"))
+    groups = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialize(met.join(groups, "token"), "join-shared")
+
+    wanted = shared.select("cls").distinct().join(classes.where("rep IS NOT NULL"), "cls").select("cls", F.col("rep").alias("doc"))
+    wanted = materialize(wanted, "join-wanted")
+    held = materialize(rows.where(_bitmap(wanted)).join(wanted, "doc").select("cls", "text"), "join-texts")
+    verifier = _Verifier(held, classes.select("cls", "n"), _verify(n, percent, seed, frequency))
+
+    few = shared.where(F.col("c") <= small)
+    x, y = few.alias("x"), few.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & _near("x", "y", percent))
+    links = [verifier.links(_pairs(met))]
+    big = shared.where(F.col("c") > small)
+    if not big.isEmpty():
+        links = _crowds(big, links, verifier, percent, BLOCK)
+
+    reached = components(reduce(DataFrame.unionByName, links))
+    reached = reached.unionByName(reached.select(F.col("component").alias("node"), "component").distinct())
+    # of classes that are linked: their component's smallest document; components may be large, so both joins are salted
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    joined = materialize(classes.join(reached, classes["cls"] == reached["node"]).select("cls", "rep", "component"), "join-joined")
+    least = joined.groupBy("component").agg(F.min("rep").alias("least")).select("component", "least", salts)
+    joined = joined.withColumn("salt", salt).join(least, ["component", "salt"]).select("cls", "least")
+    alone = classes.where("copies > 1").join(joined.select("cls"), "cls", "left_anti").select("cls", F.col("rep").alias("least"))
+    labels = joined.unionByName(alone).select("cls", "least", F.lit(True).alias("labelled"), salts)
+    out = members.where("n > 0").withColumn("salt", salt).join(labels, ["cls", "salt"], "left")
+    out = out.select("doc", "n", F.when(F.col("labelled"), F.col("least")).otherwise(F.col("doc")).alias("component"))
+    return out.unionByName(members.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
