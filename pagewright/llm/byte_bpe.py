@@ -1,22 +1,24 @@
 """Byte-level BPE: ranked merges folded over the byte arrays of distinct words in Spark.
 
-The merges are one ``aggregate`` over a word's bytes: its state holds the ids so far and
-the rank of every pair of neighbours; each step merges the leftmost pair of lowest rank and
-looks up the two new neighbours only.  A pair's rank is found in a literal rank map, an
-array of 64-bit slots in which every pair of ids has one of two places (two halves of
-``xxhash64``), so a look-up reads two slots whatever the vocabulary's size.
-
-Few words make up most of a corpus.  Texts are cut in whole Arrow batches (see
-``pieces``), words are counted over all documents with partial sums in every task, and
-the commonest ones, ``HEAD`` at most (a bound on what is sent to the workers), are folded
-once; their ids are looked up in place.  All other words are folded once a document,
-inside its own row, so no word or document is ever gathered elsewhere.  Words longer than
+The merges are one ``aggregate`` over a word's bytes.  Its state is an array with one 64-bit
+number a symbol, the rank of the pair it begins above its id, so the least number is the
+next merge and its first place is where; each step merges there and looks up the two
+new neighbours only.  A pair's rank is found in a literal rank map, an array of slots in
+which every pair of ids has one of two places (two halves of ``xxhash64``), so a look-up
+reads two slots whatever the vocabulary's size.
+
+Few words make up most of a corpus.  Texts are cut in whole Arrow batches (see ``pieces``),
+words are counted over all documents with partial sums in every task, and the commonest ones,
+``HEAD`` at most and ``HEAD_LONGEST`` bytes long at most (a bound on what is sent to the
+workers), are folded once; workers find them by hash and compare their bytes.  Any other word
+is folded once a slice of documents, about ``SLICE`` bytes of text, in the row that
+holds the slice, so no word or document is ever gathered elsewhere.  Words longer than
 ``LONGEST`` bytes, whose fold would be quadratic, take the same merges from a heap.
 
 Decoding concatenates the ids' binary pieces.
 
 Defined results: null and empty texts have no ids, and the digests of no bytes; each row of
-documents gives a row.
+documents gives a row; other columns of documents, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,17 +32,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize, table
-from .pieces import cut, ragged, texts_of
+from .common import map_arrow, materialize, table
+from .pieces import cut, ragged, simple, texts_of
+from .windows import mixed, powers
 
-HEAD = 1 << 17
+HEAD, HEAD_LONGEST = 1 << 20, 24
 LONGEST = 256
+SLICE = 1 << 20
 _SLOTS = 1 << 18
 _NONE = 1 << 30
-#: Distinct words a task counts before it hands them on.
-_COUNTED = 150_000
+_ID = (1 << 17) - 1
+#: Stands before and after a word's symbols; no pair holds it.
+_EDGE = 0xFFFF
+#: Words a task adds up before it hands them on.
+_COUNTED = 300_000
 
 
 @dataclass
@@ -93,58 +99,63 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold(word: Column, slots: Column, n_slots: int, byte_ids: Column) -> Column:
+def fold(word: Column, slots: Column, n_slots: int, pairs: Column, last: Column) -> Column:
     """Ids of a word given as an array of its byte values."""
-    mask = F.lit(n_slots - 1).cast("bigint")
+    mask, low_bits = F.lit(n_slots - 1).cast("bigint"), F.lit(_ID).cast("bigint")
+    none = F.lit(_NONE << 17).cast("bigint")
 
-    def rank(left: Column, right: Column) -> Column:
-        key = F.shiftleft(left.cast("bigint"), 16).bitwiseOR(right.cast("bigint"))
+    def symbol(left: Column, right: Column) -> Column:
+        """The number of symbol ``left`` before ``right``: the pair's rank, then its id."""
 
-        def found(k: Column) -> Column:
+        def found(key: Column) -> Column:
             def at(h: Column) -> Column:
-                def pick(e: Column, other) -> Column:
-                    return F.when(F.shiftright(e, 17) == k, e.bitwiseAND(F.lit((1 << 17) - 1).cast("bigint")).cast("int")).otherwise(other)
+                def pick(e: Column, other: Column) -> Column:
+                    return F.when(F.shiftright(e, 17) == key, F.shiftleft(e.bitwiseAND(low_bits), 17)).otherwise(other)
 
                 one = F.get(slots, h.bitwiseAND(mask).cast("int"))
                 two = F.get(slots, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
-                return pick(one, pick(two, F.lit(_NONE)))
+                return pick(one, pick(two, none))
 
-            return let(F.xxhash64(k), at)
+            return let(F.xxhash64(key), at)
 
-        return F.when(left.isNull() | right.isNull(), F.lit(_NONE)).otherwise(let(key, found))
+        return let(F.shiftleft(left, 16).bitwiseOR(right), found).bitwiseOR(left)
 
     def step(state: Column, _: Column) -> Column:
-        def merged(at: Column, low: Column) -> Column:
-            ids, ranks = state["ids"], state["ranks"]
-            before, after = F.get(ids, at - 2), F.get(ids, at + 1)  # at counts from 1
-            new_ids = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low), F.slice(ids, at + 2, F.size(ids)))
-            left = F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), F.array(rank(before, low)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(after.isNotNull(), F.concat(F.array(rank(low, after)), F.slice(ranks, at + 2, F.size(ranks)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(new_ids.alias("ids"), F.concat(left, right).alias("ranks"))
+        def merged(low: Column) -> Column:
+            def there(at: Column) -> Column:  # at counts from 1, and the edge stands at 1
+                new = F.shiftright(low, 17)
+                before = F.get(state, at - 2).bitwiseAND(low_bits)
+                after = F.get(state, at + 1).bitwiseAND(low_bits)
+                return F.concat(F.slice(state, F.lit(1), at - 2), F.array(symbol(before, new), symbol(new, after)), F.slice(state, at + 2, F.size(state)))
 
-        low = F.array_min(state["ranks"])
-        return F.when(F.coalesce(low, F.lit(_NONE)) == _NONE, state).otherwise(let(low, lambda m: let(F.array_position(state["ranks"], m).cast("int"), lambda at: merged(at, m))))
+            return let(F.array_position(state, low).cast("int"), there)
 
-    def start(ids: Column) -> Column:
-        pairs = F.when(F.size(ids) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ids) - 2, F.lit(0))), lambda i: rank(F.get(ids, i), F.get(ids, i + 1))))
-        return F.struct(ids.alias("ids"), pairs.alias("ranks"))
+        return let(F.array_min(state), lambda low: F.when(low >= none, state).otherwise(merged(low)))
 
-    first = F.transform(word, lambda b: F.get(byte_ids, b))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), let(first, start), step, lambda s: s["ids"])
+    edge = F.array(F.lit((_NONE << 17) | _EDGE).cast("bigint"))
+    start = F.concat(edge, F.transform(word, lambda b, i: F.coalesce(F.get(pairs, b * 256 + F.get(word, i + 1)), F.get(last, b))), edge)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(low_bits).cast("int")))
 
 
 class Folder:
     """The fold with its literals, for use in one expression."""
 
     def __init__(self, ranks: Ranks):
-        slots = rank_slots(ranks.pairs())
+        pairs, byte_ids = ranks.pairs(), ranks.byte_ids()
+        slots = rank_slots(pairs)
         self.n = len(slots)
-        self.slots = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
-        self.bytes = F.split(F.lit(",".join(map(str, ranks.byte_ids()))), ",").cast("array<int>")
+        none = _NONE
+        self.slots = self._literal(slots)
+        self.pairs = self._literal((pairs.get((x, y), none) << 17) | x for x in byte_ids for y in byte_ids)
+        self.last = self._literal((none << 17) | x for x in byte_ids)
+
+    @staticmethod
+    def _literal(values) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
     def words(self, words: Column) -> Column:
         """Ids of each of an array of byte arrays."""
-        return let(self.slots, lambda s: let(self.bytes, lambda b: F.transform(words, lambda w: fold(w, s, self.n, b))))
+        return let(self.slots, lambda s: let(self.pairs, lambda p: let(self.last, lambda e: F.transform(words, lambda w: fold(w, s, self.n, p, e)))))
 
 
 def merge_long(word: bytes, pairs: dict[tuple[int, int], int], byte_ids: list[int]) -> list[int]:
@@ -168,74 +179,96 @@ def merge_long(word: bytes, pairs: dict[tuple[int, int], int], byte_ids: list[in
     return [x for x in ids if x is not None]
 
 
-class _Splitter:
-    """Words of the distinct pieces of a slice of texts; a bounded store keeps each piece's words."""
+_rng = np.random.default_rng(4099)
+_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+
 
-    def __init__(self, pattern: str, most: int = 100_000):
-        import regex
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the words that lie end to end."""
+    up, down = powers(len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+    return mixed((sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]] + np.diff(bounds).astype(np.uint64))
 
-        self.find, self.known, self.most = regex.compile(pattern).findall, {}, most
 
-    def slices(self, column: pa.Array, slice_bytes: int = 2 << 20):
-        """(texts in the slice, distinct words, word number of each place, places per text)."""
-        data, offsets = texts_of(column)
-        begin, n = 0, len(offsets) - 1
-        while begin < n:
-            stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + slice_bytes, "right")) - 1)
-            yield self._slice(data[offsets[begin] : offsets[stop]], offsets[begin : stop + 1] - offsets[begin])
-            begin = stop
+class _Words:
+    """A slice's distinct words, end to end: the simple pieces of the texts, and the words of all others."""
 
-    def _slice(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, find):
         starts = cut(data, offsets)
-        if not len(starts):
-            return len(offsets) - 1, [], np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-        coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        bounds = np.append(starts, len(data))
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         held, places = texts_of(coded.dictionary)
-        held, places = held.tobytes(), places.tolist()
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, number, flat, counts = self.known, {}, [], np.empty(len(places) - 1, np.int64)
-        for i, (a, b) in enumerate(zip(places, places[1:], strict=False)):
-            piece = held[a:b]
-            words = known.get(piece)
-            if words is None:
-                words = [w.encode() for w in self.find(piece.decode("utf-8", "replace"))]
-                if b - a <= 64:
-                    known[piece] = words
-            counts[i] = len(words)
-            for w in words:
-                flat.append(number.setdefault(w, len(number)))
+        plain = simple(held, places)
+        number, lists = {}, []
+        odd = np.flatnonzero(~plain)
+        raw = held.tobytes()
+        for i in odd.tolist():
+            words = [w.encode() for w in find(raw[places[i] : places[i + 1]].decode("utf-8", "replace"))]
+            lists.append([number.setdefault(w, len(plain) + len(number)) for w in words])
+        sizes = np.fromiter(map(len, number), np.int64, len(number))
+        self.data = np.concatenate([held, np.frombuffer(b"".join(number), np.uint8)])
+        self.bounds = np.concatenate([places, places[-1] + np.cumsum(sizes)])
+        # words of each piece, then of each text
+        per, first = np.ones(len(plain), np.int64), np.arange(len(plain))
+        per[odd] = np.fromiter(map(len, lists), np.int64, len(lists))
+        first[odd] = len(plain) + np.cumsum(per[odd]) - per[odd]
+        values = np.concatenate([np.arange(len(plain)), np.fromiter((x for words in lists for x in words), np.int64)])
         index = np.asarray(coded.indices)
-        per_piece = counts[index]
-        at = ragged(np.array(flat, np.int64), (np.cumsum(counts) - counts)[index], per_piece)
-        ends = np.concatenate([[0], np.cumsum(per_piece)])
-        return len(offsets) - 1, list(number), at, np.diff(ends[np.searchsorted(starts, offsets)])
+        self.at = ragged(values, first[index], per[index])
+        ends = np.concatenate([[0], np.cumsum(per[index])])
+        self.per_text = np.diff(ends[np.searchsorted(starts, offsets)])
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+
+def _slices(column: pa.Array, pattern):
+    """(first text, text after the last, _Words) of slices of a batch."""
+    data, offsets = texts_of(column)
+    begin, n = 0, len(offsets) - 1
+    while begin < n:
+        stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE, "right")) - 1)
+        yield begin, stop, _Words(data[offsets[begin] : offsets[stop]], offsets[begin : stop + 1] - offsets[begin], pattern)
+        begin = stop
+
+
+def _finder(pattern: str):
+    import regex
+
+    return regex.compile(pattern).findall
 
 
 def _count(pattern: str):
     def run(batches):
-        splitter, counts = _Splitter(pattern), {}
+        find, parts, held = _finder(pattern), [], 0
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        def added() -> pa.Table:
+            return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for _, words, at, _ in splitter.slices(batch["text"]):
-                for word, n in zip(words, np.bincount(at, minlength=len(words)).tolist(), strict=True):
-                    if len(word) <= LONGEST:
-                        counts[word] = counts.get(word, 0) + n
-                if len(counts) > _COUNTED:
-                    yield out()
-                    counts = {}
-        if counts:
-            yield out()
+            for _, _, words in _slices(batch["text"], find):
+                n = np.bincount(words.at, minlength=len(words))
+                short = np.flatnonzero((n > 0) & (np.diff(words.bounds) <= HEAD_LONGEST))
+                sizes = np.diff(words.bounds)[short]
+                bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                array = pa.BinaryArray.from_buffers(pa.binary(), len(short), [None, pa.py_buffer(bounds), pa.py_buffer(ragged(words.data, words.bounds[:-1][short], sizes))])
+                parts.append(pa.table({"word": array, "n": pa.array(n[short])}))
+                held += len(short)
+                if held > 2 * _COUNTED:
+                    parts = [added()]
+                    held = len(parts[0])
+                    if held > _COUNTED:
+                        yield from parts[0].to_batches(1 << 16)
+                        parts, held = [], 0
+        if parts:
+            yield from added().to_batches(1 << 16)
 
     return run
 
 
 def word_counts(documents: DataFrame, pattern: str) -> DataFrame:
-    """(word, n) over all documents."""
-    return documents.select(F.col("text").cast("binary").alias("text")).mapInArrow(_count(pattern), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n) over all documents, of the words that may be sent to the workers."""
+    return map_arrow(documents.select(F.col("text").cast("binary").alias("text")), _count(pattern), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def common_words(counts: DataFrame, most: int = HEAD) -> DataFrame:
@@ -251,65 +284,93 @@ def common_words(counts: DataFrame, most: int = HEAD) -> DataFrame:
     return counts.where(F.lit(False)) if least is None else counts.where((F.col("n") > 1) & (level >= least))
 
 
-def _look_up(ranks: Ranks, head: dict[bytes, bytes]):
-    schema = pa.schema([("seq", pa.binary()), ("rest", pa.list_(pa.list_(pa.int32())))])
+class Head:
+    """Words and their ids, found by hash; words whose hash another one has are left out."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        data, bounds = texts_of(words)
+        flat, places = ids.flatten().to_numpy().astype(np.uint16), ids.offsets.to_numpy().astype(np.int64)
+        places -= places[0]
+        hashes = word_hashes(data, bounds)
+        order = np.argsort(hashes, kind="stable")
+        order = order[np.diff(hashes[order], prepend=hashes[order[:1]] + np.uint64(1)) != 0] if len(order) else order
+        self.hashes = hashes[order]
+        self.sizes, self.n_ids = np.diff(bounds)[order].astype(np.int32), np.diff(places)[order].astype(np.int32)
+        self.data, self.ids = ragged(data, bounds[:-1][order], self.sizes.astype(np.int64)), ragged(flat, places[:-1][order], self.n_ids.astype(np.int64))
+        self.starts, self.id_starts = (np.cumsum(x, dtype=np.int64) - x for x in (self.sizes, self.n_ids))
+
+    def find(self, words: _Words) -> np.ndarray:
+        """Each word's number here, or -1."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self.hashes) or not len(words):
+            return out
+        hashes, sizes = word_hashes(words.data, words.bounds), np.diff(words.bounds)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = np.flatnonzero((self.hashes[at] == hashes) & (self.sizes[at] == sizes) & (sizes > 0))
+        if len(same):
+            at, sizes = at[same], sizes[same]
+            equal = ragged(self.data, self.starts[at], sizes) == ragged(words.data, words.bounds[:-1][same], sizes)
+            equal = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+            out[same[equal]] = at[equal]
+        return out
+
+
+def _look_up(ranks: Ranks, head: Head, fields: list[pa.Field]):
+    """A row for each slice: its documents' columns, ids of its words (below 0: the own word -1 - i) and its own words."""
+    names = [f.name for f in fields] + ["n_ids", "seq", "own"]
 
     def run(batches):
-        splitter, pairs, byte_ids = _Splitter(ranks.pattern), None, ranks.byte_ids()
+        find, pairs, byte_ids = _finder(ranks.pattern), None, ranks.byte_ids()
         for batch in batches:
-            done = 0
-            for texts, words, at, per_text in splitter.slices(batch["__text"]):
-                seqs, rests = [], []
-                lengths = np.ones(len(words), np.int64)
-                parts = []
-                for i, w in enumerate(words):
-                    ids = head.get(w)
-                    if ids is None and len(w) > LONGEST:
-                        pairs = pairs or ranks.pairs()
-                        ids = np.array(merge_long(w, pairs, byte_ids), np.int32).tobytes()
-                    if ids is None:
-                        ids = (-1 - i).to_bytes(4, "little", signed=True)
-                    lengths[i] = len(ids) // 4
-                    parts.append(ids)
-                flat = np.frombuffer(b"".join(parts), np.int32)
-                sizes = lengths[at]
-                seq = ragged(flat, (np.cumsum(lengths) - lengths)[at], sizes)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                ends = ends[np.concatenate([[0], np.cumsum(per_text)])]
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    ids = seq[a:b]
-                    open_at = np.flatnonzero(ids < 0)
-                    if len(open_at):  # number the document's own words from -1 down
-                        ids = ids.copy()
-                        own, place = np.unique(ids[open_at], return_inverse=True)
-                        ids[open_at] = -1 - place
-                        rests.append([words[-1 - x] for x in own.tolist()])
+            for begin, stop, words in _slices(batch["text"], find):
+                at = head.find(words)
+                size, start = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
+                known = at >= 0
+                size[known], start[known] = head.n_ids[at[known]], head.id_starts[at[known]]
+                extra, own, base = [], [], len(head.ids)
+                raw = words.data.tobytes()
+                for i in np.flatnonzero(~known).tolist():
+                    word = raw[words.bounds[i] : words.bounds[i + 1]]
+                    if len(word) <= LONGEST:
+                        ids = [-1 - len(own)]
+                        own.append(word)
                     else:
-                        rests.append([])
-                    seqs.append(ids.tobytes())
-                counts = np.fromiter(map(len, rests), np.int64, len(rests))
-                own_words = [w for r in rests for w in r]
-                inner = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own_words), np.int64, len(own_words)))]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.frombuffer(b"".join(own_words), np.uint8).astype(np.int32)))
-                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
-                kept = [(batch.schema.field(i), batch.column(i).slice(done, texts)) for i in range(batch.num_columns - 1)]
-                done += texts
-                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(seqs, pa.binary()), rest], schema=pa.schema([f for f, _ in kept] + list(schema)))
+                        pairs = pairs or ranks.pairs()
+                        ids = merge_long(word, pairs, byte_ids)
+                    size[i], start[i] = len(ids), base + len(extra)
+                    extra += ids
+                sizes = size[words.at]
+                starts = start[words.at]
+                mine = starts >= base
+                seq = np.empty(int(sizes.sum()), np.int32)
+                place = np.repeat(mine, sizes)
+                seq[~place] = ragged(head.ids, starts[~mine], sizes[~mine])
+                seq[place] = ragged(np.array(extra, np.int32), starts[mine] - base, sizes[mine])
+                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(words.per_text)])]
+                inner = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.frombuffer(b"".join(own), np.uint8).astype(np.int32)))
+                one = pa.array([0, stop - begin], pa.int32())
+                kept = [pa.ListArray.from_arrays(one, batch[f.name].slice(begin, stop - begin)) for f in fields]
+                kept += [pa.ListArray.from_arrays(one, pa.array(np.diff(ends))), pa.array([seq.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), values)]
+                yield pa.RecordBatch.from_arrays(kept, names=names)
 
     return run
 
 
-def encode(documents: DataFrame, ranks: Ranks, keep: list[str], most: int = HEAD) -> DataFrame:
-    """The columns ``keep`` and, for every row, seq (32-bit ids; -1 - i: the i-th of rest) and rest (ids of words)."""
+def encode(documents: DataFrame, ranks: Ranks, most: int = HEAD) -> DataFrame:
+    """Rows of slices: doc_id and n_ids (arrays, one entry a document), seq (32-bit numbers: ids, or -1 - i for
+    the i-th own word) and own (ids of the slice's own words)."""
     folder = Folder(ranks)
-    head_words = common_words(materialize(word_counts(documents, ranks.pattern), "bpe-words"), most)
+    common = common_words(materialize(word_counts(documents, ranks.pattern), "bpe-words"), most)
     values = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int"))
-    head = {bytes(r["word"]): np.array(r["ids"], np.int32).tobytes() for r in head_words.select("word", F.get(folder.words(F.array(values)), F.lit(0)).alias("ids")).toLocalIterator()}
-    rows = documents.select(*keep, F.col("text").cast("binary").alias("__text"))
-    schema = rows.drop("__text").schema.add("__seq", "binary").add("__rest", T.ArrayType(T.ArrayType(T.IntegerType())))
-    held = documents.sparkSession.sparkContext.broadcast(head)
-    found = rows.mapInArrow(lambda batches: _look_up(ranks, held.value)(batches), schema)
-    return found.withColumn("__rest", folder.words(F.col("__rest")))
+    found = common.select("word", F.get(folder.words(F.array(values)), F.lit(0)).alias("ids")).toArrow().combine_chunks()
+    words, ids = (found[c].chunk(0) if found[c].num_chunks else found[c].combine_chunks() for c in ("word", "ids"))
+    head = documents.sparkSession.sparkContext.broadcast(Head(words.cast(pa.binary()), ids))
+    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    fields = [pa.field("doc_id", pa.null())]
+    slices = map_arrow(rows, lambda batches: _look_up(ranks, head.value, fields)(batches), f"doc_id array<{kind}>, n_ids array<bigint>, seq binary, own array<array<int>>")
+    return slices.withColumn("own", folder.words(F.col("own")))
 
 
 def _finish(ranks: Ranks):
@@ -318,36 +379,35 @@ def _finish(ranks: Ranks):
         sizes = np.fromiter(map(len, ranks.tokens), np.int64, len(ranks.tokens))
         starts = np.cumsum(sizes) - sizes
         for batch in batches:
-            n_tokens, ids_sha, text_sha = [], [], []
-            for i in range(len(batch)):
-                seq = np.frombuffer(batch["__seq"][i].as_buffer(), np.int32)
-                rest = batch["__rest"][i].values
-                open_at = seq < 0
-                if len(rest):
-                    places = rest.offsets.to_numpy().astype(np.int64)
-                    words = rest.flatten().to_numpy()
+            for r in range(len(batch)):
+                seq = np.frombuffer(batch["seq"][r].as_buffer(), np.int32)
+                own = batch["own"][r].values
+                ends = np.concatenate([[0], np.cumsum(batch["n_ids"][r].values.to_numpy())])
+                if len(own):
+                    places, ids = own.offsets.to_numpy().astype(np.int64), own.flatten().to_numpy()
                     places -= places[0]
-                    values = np.concatenate([words, seq[~open_at]])
-                    size, start = np.ones(len(seq), np.int64), np.empty(len(seq), np.int64)
-                    which = -1 - seq[open_at]
-                    size[open_at], start[open_at] = np.diff(places)[which], places[:-1][which]
-                    start[~open_at] = len(words) + np.arange(int((~open_at).sum()))
-                    seq = ragged(values, start, size)
-                n_tokens.append(len(seq))
-                ids_sha.append(hashlib.sha256(seq.astype("<u4").tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(ragged(flat, starts[seq], sizes[seq]).tobytes()).hexdigest())
-            kept = [(batch.schema.field(i), batch.column(i)) for i in range(batch.num_columns - 2)]
-            fields = [f for f, _ in kept] + [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(n_tokens, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], schema=pa.schema(fields))
+                    size, start = np.ones(len(seq), np.int64), np.arange(len(seq)) + len(ids)
+                    mine = np.flatnonzero(seq < 0)
+                    which = -1 - seq[mine]
+                    size[mine], start[mine] = np.diff(places)[which], places[which]
+                    ends = np.concatenate([[0], np.cumsum(size)])[ends]
+                    seq = ragged(np.concatenate([ids, seq]), start, size)
+                coded = seq.astype("<u4").tobytes()
+                text = ragged(flat, starts[seq], sizes[seq]).tobytes()
+                cuts = np.concatenate([[0], np.cumsum(sizes[seq])])[ends].tolist()
+                at = ends.tolist()
+                ids_sha = [hashlib.sha256(coded[4 * a : 4 * b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+                text_sha = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
+                doc_ids = batch["doc_id"][r].values
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(ends)), pa.array(ids_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
 def encode_and_decode(documents: DataFrame, ranks: Ranks, most: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of documents."""
-    encoded = encode(documents, ranks, ["doc_id"], most)
     schema = documents.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return encoded.mapInArrow(_finish(ranks), schema)
+    return map_arrow(encode(documents, ranks, most), _finish(ranks), schema)
 
 
 def public_ranks() -> Ranks:

@@ -78,6 +78,16 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(here)
 
 
+def simple(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of the pieces that lie end to end are one match of the pattern for sure: one class, a space before it at most."""
+    c = _CLASS[data]
+    blank, odd = c <= _BLANK, c >= _QUOTE
+    odd |= (c == _BLANK) & ~np.isin(np.arange(len(data)), places[:-1][np.diff(places) == 1])
+    odd |= (data == 0x97) | (data == 0xB7)  # may end U+00D7 or U+00F7, which are no letters
+    blanks, odds = (np.concatenate([[0], np.cumsum(x)])[places] for x in (blank, odd))
+    return (np.diff(odds) == 0) & (np.diff(blanks) <= 1)
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[s:s+n] for each start and length, one after the other."""
     ends = np.cumsum(lengths)
