@@ -9,26 +9,10 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from . import plans, sources, streaming
+from .functions import lines as L
+from .registry import QUERIES, SQL, listed as _in, query
 from .operators import checks, html_blocks, line_joins, lists_notes, page_layout, reading_order, text_quality
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _in(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
-
 # --- text quality -----------------------------------------------------------------------------------
 
 _STATISTICS_SQL = rf"""
@@ -102,9 +86,12 @@ def foreign_letters(spark, sf_dir):
     return sources.table(spark, sf_dir, "documents").select("doc_id", X.foreign_letters(F.col("text")).cast("bigint").alias("foreign_letters"))
 
 
-@query(f"SELECT doc_id, length(text) + {_held('text', f'[{X.WIDE}]')} AS advances FROM documents")
+_INK = f"regexp_replace(text, '[{L.WS}]', '', 'g')"
+
+
+@query(f"SELECT doc_id, length({_INK}) + {_held(_INK, f'[{L.FULL_WIDTH}]')} AS advances FROM documents")
 def text_advances(spark, sf_dir):
-    return sources.table(spark, sf_dir, "documents").select("doc_id", X.advances(F.col("text")).cast("bigint").alias("advances"))
+    return sources.table(spark, sf_dir, "documents").select("doc_id", L.advances(F.col("text")).cast("bigint").alias("advances"))
 
 
 # --- line predicates ----------------------------------------------------------------------------------
@@ -114,94 +101,64 @@ _ITEM = "coalesce(list_sum(list_transform(regexp_extract_all({t}, '\\p{{L}}{{3,}
 
 
 @query(
-    f"""WITH {sources.DOC_LINES_SQL},
-w AS (SELECT *, list_filter(regexp_split_to_array(line, '[ \\t\\r\\n]+'), lambda x: x <> '' AND NOT ({_WEB})) AS kept FROM doc_lines)
+    f"""WITH {sources.PRINTED_LINES_SQL},
+w AS (SELECT *, list_filter(regexp_split_to_array(line, '[ \\t\\r\\n]+'), lambda x: x <> '' AND NOT ({_WEB})) AS kept FROM printed_lines)
 SELECT doc_id, line_no, len(regexp_extract_all(line, '\\p{{L}}{{2,}}')) >= 4 AS sentence,
  {_ITEM.format(t='line')} > 0 AND {_ITEM.format(t='line')} * 100 >= length(line) * 35 AS item,
  regexp_matches(coalesce(array_to_string(kept, ' '), ''), '=[^=]*[^= ][^=]*$') AND len(kept) <= 12 AS equation,
- regexp_matches(line, '^(Figure|Table)[ \\t]+[0-9]') AS caption, regexp_matches(trim(line), '^[-_\\x{{2013}}\\x{{2014}}]{{2,}}$') AS rule,
+ regexp_matches(line, '^(Figure|Table)[ \\t]+[0-9]') AS caption, regexp_matches(regexp_replace(line, '[{L.WS}]', '', 'g'), '^[{L.STROKES}]{{2,}}$') AS rule,
  regexp_matches(line, '[\\p{{L}}\\p{{N}}][-\\x{{AD}}]$') AS broken, regexp_matches(line, '^[0-9]+(-[0-9]+)?$') AS folio FROM w"""
 )
 def line_predicates(spark, sf_dir):
     t = F.col("line")
-    rules = (("sentence", X.reads_as_sentence), ("item", X.reads_as_item), ("equation", X.states_an_equation), ("caption", X.is_caption), ("rule", X.is_typed_rule), ("broken", X.ends_broken), ("folio", X.is_folio))
-    return sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", *[f(t).alias(n) for n, f in rules])
+    rules = (("sentence", X.reads_as_sentence), ("item", X.reads_as_item), ("equation", X.states_an_equation), ("caption", X.is_caption), ("rule", L.is_typed_rule), ("broken", X.ends_broken), ("folio", X.is_folio))
+    return sources.printed_lines(spark, sf_dir).select("doc_id", "line_no", *[f(t).alias(n) for n, f in rules])
 
 
-_SAMPLES = ("• one item", "- two words", "+ 100% fruit juice", "+ c ~ 50", "* * *", "* star item", "a) letter item", "B. Letter item", "12. number item", "1999. a year", "7) seven", "plain text", "-none", "1.none", "3. x")
-_LITERALS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_SAMPLES))
 _PLUS = f"regexp_matches(t, '^\\+[ \\t]+(\\p{{L}}{{2}}|[0-9]+%)') AND {_ITEM.format(t='substring(t, 3)')} > 0 AND {_ITEM.format(t='substring(t, 3)')} * 100 >= length(substring(t, 3)) * 35"
 
 
-def _samples(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {_LITERALS} AS v(id, t)")
-
-
-@query(
-    f"""WITH v(id, t) AS (VALUES {_LITERALS}),
-f AS (SELECT id, t, CASE WHEN regexp_matches(t, '^[\\x{{2022}}*+-][ \\t]') AND NOT regexp_matches(t, '^\\*[ \\t]+\\*') AND (NOT starts_with(t, '+') OR ({_PLUS})) THEN 'bullet'
- WHEN regexp_matches(t, '^[A-Za-z][.)][ \\t]+') THEN 'letter' WHEN regexp_matches(t, '^[0-9]{{1,3}}[.)][ \\t]+') THEN 'number' END AS family FROM v)
-SELECT id, family, CASE family WHEN 'letter' THEN ascii(lower(t)) - 96 WHEN 'number' THEN CAST(regexp_extract(t, '^([0-9]{{1,3}})', 1) AS INTEGER) END AS value FROM f"""
-)
-def list_markers(spark, sf_dir):
-    return _samples(spark).select("id", X.marker_family(F.col("t")).alias("family"), X.marker_value(F.col("t")).alias("value"))
-
-
 @query(
-    f"""WITH {sources.DOC_LINES_SQL}, v AS (SELECT doc_id, line_no, line AS t FROM doc_lines),
+    f"""WITH {sources.PRINTED_LINES_SQL}, v AS (SELECT doc_id, line_no, line AS t FROM printed_lines),
 f AS (SELECT doc_id, line_no, t, CASE WHEN regexp_matches(t, '^[\\x{{2022}}*+-][ \\t]') AND NOT regexp_matches(t, '^\\*[ \\t]+\\*') AND (NOT starts_with(t, '+') OR ({_PLUS})) THEN 'bullet'
  WHEN regexp_matches(t, '^[A-Za-z][.)][ \\t]+') THEN 'letter' WHEN regexp_matches(t, '^[0-9]{{1,3}}[.)][ \\t]+') THEN 'number' END AS family FROM v)
 SELECT doc_id, line_no, family, CASE family WHEN 'letter' THEN ascii(lower(t)) - 96 WHEN 'number' THEN CAST(regexp_extract(t, '^([0-9]{{1,3}})', 1) AS INTEGER) END AS value FROM f"""
 )
-def line_markers(spark, sf_dir):
-    # list_markers over every printed line; that query's own SQL holds its samples alone
-    return sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", X.marker_family(F.col("line")).alias("family"), X.marker_value(F.col("line")).alias("value"))
-
-
-_VALUES = ("e740", "(2)", "7,100", "—", "Korea, Republic of", "1% ad valorem.", "", "--", "12†", "x")
-_VALUE_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_VALUES))
-
-
-@query(
-    f"""WITH v(id, t) AS (VALUES {_VALUE_ROWS}), s AS (SELECT id, regexp_replace(t, '^[ ()*\\x{{2020}}\\x{{2021}}]+|[ ()*\\x{{2020}}\\x{{2021}}]+$', '', 'g') AS s FROM v)
-SELECT id, s <> '' AND (regexp_matches(s, '^[-\\x{{2013}}\\x{{2014}}]+$') OR (regexp_matches(s, '\\p{{N}}') AND {_held('s', '\\p{L}')} <= 1)) AS is_value FROM s"""
-)
-def value_cells(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM VALUES {_VALUE_ROWS} AS v(id, t)").select("id", X.is_value(F.col("t")).alias("is_value"))
+def list_markers(spark, sf_dir):
+    return sources.printed_lines(spark, sf_dir).select("doc_id", "line_no", X.marker_family(F.col("line")).alias("family"), X.marker_value(F.col("line")).alias("value"))
 
 
 @query(
-    f"""WITH {sources.DOC_LINES_SQL}, s AS (SELECT doc_id, line_no, regexp_replace(line, '^[ ()*\\x{{2020}}\\x{{2021}}]+|[ ()*\\x{{2020}}\\x{{2021}}]+$', '', 'g') AS s FROM doc_lines)
+    f"""WITH {sources.PRINTED_LINES_SQL}, s AS (SELECT doc_id, line_no, regexp_replace(line, '^[ ()*\\x{{2020}}\\x{{2021}}]+|[ ()*\\x{{2020}}\\x{{2021}}]+$', '', 'g') AS s FROM printed_lines)
 SELECT doc_id, line_no, s <> '' AND (regexp_matches(s, '^[-\\x{{2013}}\\x{{2014}}]+$') OR (regexp_matches(s, '\\p{{N}}') AND {_held('s', '\\p{L}')} <= 1)) AS is_value FROM s"""
 )
-def line_values(spark, sf_dir):
-    # value_cells over every printed line
-    return sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", X.is_value(F.col("line")).alias("is_value"))
+def value_cells(spark, sf_dir):
+    return sources.printed_lines(spark, sf_dir).select("doc_id", "line_no", X.is_value(F.col("line")).alias("is_value"))
 
 
 _CLEAN = "trim(regexp_replace(regexp_replace({t}, '[\\x{{1}}-\\x{{8}}\\x{{B}}\\x{{C}}\\x{{E}}-\\x{{1F}}\\x{{FFFE}}\\x{{FFFF}}]', '', 'g'), '[ \\t\\r\\n\\x{{A0}}]+', ' ', 'g'))"
 
 
 @query(
-    f"""WITH c AS (SELECT doc_id, line, {_CLEAN.format(t='line')} AS s FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents WHERE text IS NOT NULL))
-SELECT doc_id, CASE WHEN length(line) <= 4000 AND length(s) <= 1000 AND regexp_matches(s, '[\\p{{L}}\\p{{N}}]') AND lower(s) NOT IN ({_in(X.PLACEHOLDERS)}) THEN s END AS title FROM c"""
+    f"""WITH {sources.PRINTED_LINES_SQL}, c AS (SELECT doc_id, line_no, line, {_CLEAN.format(t='line')} AS s FROM printed_lines)
+SELECT doc_id, line_no, CASE WHEN length(line) <= 4000 AND length(s) <= 1000 AND regexp_matches(s, '[\\p{{L}}\\p{{N}}]') AND lower(s) NOT IN ({_in(X.PLACEHOLDERS)}) THEN s END AS title FROM c"""
 )
 def stated_values(spark, sf_dir):
-    first = sources.doc_lines(spark, sf_dir).where("line_no = 0")
-    return first.select("doc_id", X.stated(F.col("line")).alias("title"))
+    return sources.printed_lines(spark, sf_dir).select("doc_id", "line_no", X.stated(F.col("line")).alias("title"))
 
 
 @query(
-    f"""WITH {sources.DOC_LINES_SQL}, k AS (SELECT doc_id, line_no, i, {_CLEAN.format(t='p[i]')} AS k FROM (SELECT doc_id, line_no, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, line_no, regexp_split_to_array(line, '[,;]') AS p FROM doc_lines WHERE line_no = 1))),
-g AS (SELECT doc_id, lower(k) AS l, arg_min(k, i) AS k, min(i) AS i FROM k WHERE regexp_matches(k, '[\\p{{L}}\\p{{N}}]') AND length(k) <= 1000 AND lower(k) NOT IN ({_in(X.PLACEHOLDERS)}) GROUP BY doc_id, lower(k)),
+    f"""WITH {sources.DOC_LINES_SQL}, k AS (SELECT doc_id, line_no, i, {_CLEAN.format(t='p[i]')} AS k FROM (SELECT doc_id, line_no, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, line_no, regexp_split_to_array(line, '[,;]') AS p FROM doc_lines))),
+g AS (SELECT doc_id, lower(k) AS l, arg_min(k, line_no * 1000000 + i) AS k, min(line_no * 1000000 + i) AS i FROM k WHERE regexp_matches(k, '[\\p{{L}}\\p{{N}}]') AND length(k) <= 1000 AND lower(k) NOT IN ({_in(X.PLACEHOLDERS)}) GROUP BY doc_id, lower(k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o FROM g)
 SELECT doc_id, CAST(o AS INTEGER) AS ord, k AS keyword FROM r WHERE o <= 64"""
 )
 def keyword_distinct(spark, sf_dir):
     from pyspark.sql import Window
 
-    parts = sources.doc_lines(spark, sf_dir).where("line_no = 1").select("doc_id", F.posexplode(F.split("line", "[,;]")).alias("i", "p"))
-    said = parts.select("doc_id", "i", X.stated(F.col("p")).alias("k")).where("k IS NOT NULL")
+    parts = sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(F.split("line", "[,;]")).alias("i", "p"))
+    at = F.col("line_no").cast("bigint") * 1_000_000 + F.col("i") + 1
+    said = parts.select("doc_id", at.alias("i"), X.stated(F.col("p")).alias("k")).where("k IS NOT NULL")
     once = said.groupBy("doc_id", F.lower("k").alias("l")).agg(F.min_by("k", "i").alias("keyword"), F.min("i").alias("i"))
     ranked = once.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")))
     return ranked.where("ord <= 64").select("doc_id", "ord", "keyword")
@@ -221,16 +178,6 @@ def recurring_lines(spark, sf_dir):
     return page_layout.recurring_lines(sources.doc_lines(spark, sf_dir))
 
 
-@query(
-    f"""WITH {sources.DOC_PAGES_SQL}, s AS (SELECT doc_id, page_no, row_no, {_SIG} AS signature FROM doc_pages WHERE row_no < 2),
-g AS (SELECT *, CASE WHEN page_no - lag(page_no) OVER w <= 2 THEN 0 ELSE 1 END AS fresh FROM s WHERE signature IS NOT NULL WINDOW w AS (PARTITION BY doc_id, row_no, signature ORDER BY page_no)),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, row_no, signature ORDER BY page_no) AS run FROM g)
-SELECT doc_id, row_no, signature, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS n FROM r GROUP BY doc_id, row_no, signature, run HAVING count(*) >= 3"""
-)
-def furniture_runs(spark, sf_dir):
-    return page_layout.furniture_runs(sources.doc_pages(spark, sf_dir))
-
-
 @query(
     f"""WITH {sources.DOC_PAGES_SQL}, n AS (SELECT doc_id, count(DISTINCT page_no) AS pages FROM doc_pages GROUP BY doc_id)
 SELECT doc_id, row_no, count(DISTINCT page_no) AS filled FROM doc_pages JOIN n USING (doc_id) GROUP BY doc_id, row_no, pages HAVING count(DISTINCT page_no) >= greatest(6, ceil(pages / 4))"""
@@ -239,15 +186,6 @@ def margin_slots(spark, sf_dir):
     return page_layout.margin_slots(sources.doc_pages(spark, sf_dir))
 
 
-@query(
-    f"""WITH {sources.DOC_PAGES_SQL}, e AS (SELECT doc_id, page_no, unnest([w[1], w[-1]]) AS w FROM (SELECT doc_id, page_no, string_split(line, ' ') AS w FROM doc_pages)),
-o AS (SELECT DISTINCT doc_id, page_no, CAST(w AS INTEGER) - page_no AS "offset" FROM e WHERE regexp_matches(w, '^[0-9]{{1,6}}$'))
-SELECT doc_id, "offset", count(*) AS n_pages FROM o GROUP BY ALL"""
-)
-def folio_offsets(spark, sf_dir):
-    return page_layout.folio_offsets(sources.doc_pages(spark, sf_dir))
-
-
 @query(
     f"""WITH {sources.DOC_PAGES_SQL}, w AS (SELECT doc_id, size, CAST(sum(length(line)) AS BIGINT) AS chars, count(*) AS lines FROM doc_pages GROUP BY doc_id, size),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) AS k FROM w)
@@ -271,39 +209,6 @@ def label_styles(spark, sf_dir):
     return page_layout.label_styles(sources.doc_pages(spark, sf_dir))
 
 
-@query(
-    f"""WITH {sources.DOC_PAGES_SQL}, r AS (SELECT doc_id, size, length(line) AS l, row_number() OVER (PARTITION BY doc_id, size ORDER BY length(line)) AS k, count(*) OVER (PARTITION BY doc_id, size) AS n FROM doc_pages)
-SELECT doc_id, CAST(size AS DOUBLE) AS size, CAST(l AS INTEGER) AS value FROM r WHERE k = n // 4 + 1"""
-)
-def line_height_quartile(spark, sf_dir):
-    return page_layout.line_height_quartile(sources.doc_pages(spark, sf_dir))
-
-
-@query(
-    f"""WITH {sources.DOC_PAGES_SQL}, s AS (SELECT doc_id, page_no, row_no, {_SIG} AS signature FROM doc_pages WHERE row_no < 2),
-g AS (SELECT *, CASE WHEN page_no - lag(page_no) OVER w <= 2 THEN 0 ELSE 1 END AS fresh FROM s WHERE signature IS NOT NULL WINDOW w AS (PARTITION BY doc_id, row_no, signature ORDER BY page_no)),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, row_no, signature ORDER BY page_no) AS run FROM g),
-q AS (SELECT doc_id, row_no, page_no, count(*) OVER (PARTITION BY doc_id, row_no, signature, run) AS n FROM r),
-m AS (SELECT p.doc_id, p.page_no, coalesce(q.n, 0) >= 3 AS gone FROM doc_pages p LEFT JOIN q USING (doc_id, page_no, row_no)),
-k AS (SELECT doc_id, page_no, count(*) FILTER (NOT gone) AS kept, count(*) AS n FROM m GROUP BY ALL)
-SELECT doc_id, page_no, CASE WHEN kept = 0 THEN n ELSE kept END AS n_lines FROM k"""
-)
-def furniture_dropped(spark, sf_dir):
-    pages = sources.doc_pages(spark, sf_dir)
-    return page_layout.drop_furniture(pages, page_layout.furniture_runs(pages))
-
-
-@query(
-    f"""WITH {sources.DOC_PAGES_SQL}, t AS (SELECT doc_id, page_no, row_no, CAST(regexp_extract(line, '([0-9]{{1,3}})', 1) AS INTEGER) AS number FROM doc_pages WHERE regexp_matches(line, '[0-9]{{1,3}}') AND row_no % 5 = 0),
-s AS (SELECT *, number - lag(number) OVER w AS step, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page_no, row_no))
-SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 3 AND min(number) FILTER (k = 1) = 1 AND min(step) >= 1 AND max(step) <= 3"""
-)
-def numbered_outline(spark, sf_dir):
-    # every line is a candidate by what it says; the SQL above still looks at rows 0 and 5 of a page and at any number
-    lines = sources.doc_pages(spark, sf_dir).select("doc_id", "page_no", "row_no", X.section_number(F.col("line")).alias("number"))
-    return plans.numbered_outline(lines.where("number IS NOT NULL"))
-
-
 # --- line joins ---------------------------------------------------------------------------------------
 
 _SUBS = _in(line_joins.SUBSTITUTES)
@@ -320,20 +225,30 @@ def line_end_substitute(spark, sf_dir):
     return line_joins.line_end_substitute(sources.wrapped_lines(spark, sf_dir, "="))
 
 
+_CASES = " ".join(
+    f"WHEN {when} THEN '{then}'"
+    for when, then in (
+        ("ends_with(line, '\u00ad')", "remove"),
+        (f"(regexp_matches(line, '[{L.FULL_WIDTH}][{L.WS}]*$') AND regexp_matches(n, '^[{L.WS}]*[{L.FULL_WIDTH}]'))", "concatenate"),
+        (f"(regexp_matches(line, '[{L.CLOSES_UP}]–$') AND regexp_matches(n, '^[{L.CLOSES_UP}]'))", "concatenate"),
+        (f"(regexp_matches(line, '[^{L.WS}\\p{{Pd}}]—$') AND regexp_matches(n, '^[{L.CLOSES_UP}\"''\\p{{Pi}}]'))", "concatenate"),
+        ("NOT ends_with(line, '-')", "space"),
+        ("j.word IS NOT NULL AND c.word IS NULL AND (regexp_matches(n, '^\\p{Ll}') OR (length(p) >= 2 AND length(s) >= 2))", "remove"),
+    )
+)
 _DECIDED_SQL = (
-    sources.wrapped_lines_sql()
-    + r""",
-words AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[\p{L}-]+'))) AS word FROM documents WHERE text IS NOT NULL),
-asked AS (SELECT *, lower(regexp_extract(line, '(\p{L}*)-$', 1)) AS p, lower(regexp_extract(next_line, '^(\p{L}*)', 1)) AS s FROM wrapped_lines WHERE next_line IS NOT NULL),
-decided AS (SELECT a.doc_id, a.line_no, CASE WHEN NOT ends_with(line, '-') THEN 'space'
-  WHEN j.word IS NOT NULL AND c.word IS NULL AND (regexp_matches(next_line, '^\p{Ll}') OR (length(p) >= 2 AND length(s) >= 2)) THEN 'remove' ELSE 'concatenate' END AS operation
+    sources.wrapped_lines_sql(planted=True)
+    + rf""",
+words AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[\p{{L}}-]+'))) AS word FROM documents WHERE text IS NOT NULL),
+asked AS (SELECT doc_id, line_no, line, next_line AS n, CASE WHEN ends_with(line, '-') THEN lower(regexp_extract(line, '(\p{{L}}*)-$', 1)) END AS p, lower(regexp_extract(next_line, '^(\p{{L}}*)', 1)) AS s FROM wrapped_lines WHERE next_line IS NOT NULL),
+decided AS (SELECT a.doc_id, a.line_no, CASE {_CASES} ELSE 'concatenate' END AS operation
   FROM asked a LEFT JOIN words j ON j.doc_id = a.doc_id AND j.word = p || s LEFT JOIN words c ON c.doc_id = a.doc_id AND c.word = p || '-' || s)"""
 )
 
 
 @query(f"WITH {_DECIDED_SQL} SELECT * FROM decided")
 def hyphen_join(spark, sf_dir):
-    return line_joins.hyphen_join(sources.wrapped_lines(spark, sf_dir), line_joins.document_words(sources.table(spark, sf_dir, "documents")))
+    return line_joins.hyphen_join(sources.wrapped_texts(spark, sf_dir, planted=True))
 
 
 @query(
@@ -341,8 +256,7 @@ def hyphen_join(spark, sf_dir):
  FROM wrapped_lines w LEFT JOIN decided USING (doc_id, line_no) GROUP BY w.doc_id) SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM t"""
 )
 def paragraph_join(spark, sf_dir):
-    wrapped = sources.wrapped_lines(spark, sf_dir)
-    return line_joins.paragraph_join(wrapped, line_joins.hyphen_join(wrapped, line_joins.document_words(sources.table(spark, sf_dir, "documents"))))
+    return line_joins.paragraph_join(sources.wrapped_texts(spark, sf_dir, planted=True))
 
 
 @query(
@@ -353,32 +267,6 @@ def continuation_pairs(spark, sf_dir):
     return line_joins.continuation_pairs(sources.table(spark, sf_dir, "conversations"))
 
 
-# --- decision tables ------------------------------------------------------------------------------------
-
-_GRID_SQL = "SELECT english, judged, misread, numeric, number FROM range(0, 60, 6) a(english), range(15, 65, 7) b(judged), range(0, 9, 2) c(misread), range(0, 40, 9) d(numeric), range(0, 40, 13) e(number)"
-
-
-@query(
-    f"""WITH g AS ({_GRID_SQL})
-SELECT *, CASE WHEN judged < 20 OR number * 5 >= 100 THEN NULL WHEN english * 2 < judged THEN 'few_english'
- WHEN (CASE WHEN numeric * 5 >= 100 THEN misread * 10 >= 80 ELSE misread * 1000 >= 80 * 85 END) OR (numeric * 5 < 100 AND english * 10 < judged * 6 AND misread * 1000 >= 80 * 75) THEN 'misread' END AS finding FROM g"""
-)
-def word_finding(spark, sf_dir):
-    axes = {"english": range(0, 60, 6), "judged": range(15, 65, 7), "misread": range(0, 9, 2), "numeric": range(0, 40, 9), "number": range(0, 40, 13)}
-    grid = spark.range(1).select(*[F.array(*[F.lit(v).cast("bigint") for v in values]).alias(k) for k, values in axes.items()])
-    for k in axes:
-        grid = grid.withColumn(k, F.explode(k))
-    zero, c = F.lit(0), F.col
-    return grid.select(*axes, plans.word_finding(c("english"), c("judged"), zero, c("misread"), F.lit(80), c("numeric"), c("number"), F.lit(100)).alias("finding"))
-
-
-@query("SELECT doc_id, (length(text) = 0) OR (length(text) - length(replace(text, '?', ''))) > greatest(2, length(text) // 50) OR n_chars % 97 = 0 AS unreadable FROM documents WHERE text IS NOT NULL")
-def unreadable_text(spark, sf_dir):
-    documents = sources.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    marks = F.length("text") - F.length(F.replace("text", F.lit("?"), F.lit("")))
-    return documents.select("doc_id", plans.lacks_readable_text(F.length("text"), marks, F.col("n_chars") % 97 == 0, F.lit(False)).alias("unreadable"))
-
-
 # --- pages of the web -----------------------------------------------------------------------------------
 
 
@@ -387,9 +275,15 @@ def page_blocks(spark, sf_dir):
     return html_blocks.block_counts(sources.table(spark, sf_dir, "pages"))
 
 
-@query("SELECT DISTINCT page_id, target, regexp_matches(target, '^(https?|mailto):') AS external FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages) WHERE target <> ''")
+@query(
+    r"""WITH t AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1), CASE WHEN url IS NULL THEN [] ELSE [url, upper(substring(url, 1, 5)) || substring(url, 6), url || ' x', url || chr(2), url || repeat('x', 2000), 'mailto:' || page_id || '@example.org', 'ftp:' || url] END)) AS target FROM pages WHERE html IS NOT NULL)
+SELECT DISTINCT page_id, target, regexp_matches(lower(target), '^(https?|mailto):') AND length(target) <= 2000 AND NOT regexp_matches(target, '[\x{0}-\x{20}\x{85}\x{A0}\x{2028}\x{2029}\x{3000}\x{FFFE}\x{FFFF}]') AS external FROM t WHERE target <> ''"""
+)
 def link_targets(spark, sf_dir):
-    return html_blocks.link_targets(sources.table(spark, sf_dir, "pages"))
+    # a page's links are relative: its own address, and spoilt forms of it, are judged beside them
+    url = F.col("url")
+    made = F.array(url, F.concat(F.upper(F.substring(url, 1, 5)), F.substring(url, 6, 1 << 30)), F.concat(url, F.lit(" x")), F.concat(url, F.lit("\x02")), F.concat(url, F.repeat(F.lit("x"), 2000)), F.concat(F.lit("mailto:"), F.col("page_id").cast("string"), F.lit("@example.org")), F.concat(F.lit("ftp:"), url))
+    return html_blocks.link_targets(sources.table(spark, sf_dir, "pages").withColumn("more", F.when(url.isNotNull(), made)))
 
 
 @query("SELECT page_id, len(t) AS entries, len(t) >= 2 AND len(t) <= 30 AND len(list_distinct(t)) * 2 > len(t) AS navigation FROM (SELECT page_id, regexp_extract_all(html, '<li>([^<]*)', 1) AS t FROM pages WHERE html IS NOT NULL)")
@@ -486,7 +380,7 @@ def page_order(spark, sf_dir):
 
 
 _XML = "regexp_replace(html, '[\\x{1}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{FFFE}\\x{FFFF}]', '', 'g')"
-for _plain, _escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+for _plain, _escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")):
     _XML = f"replace({_XML}, '{_plain}', '{_escaped}')"
 
 
@@ -495,9 +389,12 @@ def xml_text(spark, sf_dir):
     return sources.table(spark, sf_dir, "pages").select("page_id", F.md5(X.xml_text(F.col("html"))).alias("digest"))
 
 
+from . import catalog_judges, catalog_layout, catalog_rules  # noqa: E402, F401  (they register their queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 # Character ranges of the rules.
 LATIN = "\\x{0}-\\x{2AF}\\x{1D00}-\\x{1DBF}\\x{1E00}-\\x{1EFF}\\x{2C60}-\\x{2C7F}\\x{A720}-\\x{A7FF}\\x{FB00}-\\x{FB06}"
 RIGHT_TO_LEFT = "\\x{590}-\\x{8FF}\\x{FB1D}-\\x{FDFF}\\x{FE70}-\\x{FEFF}"
-WIDE = "\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{4DBF}\\x{4E00}-\\x{A4CF}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE30}-\\x{FE6F}\\x{FF00}-\\x{FF60}\\x{FFE0}-\\x{FFE6}\\x{20000}-\\x{3FFFD}"
-PLACEHOLDERS = ("untitled", "unknown", "none", "n/a", "na", "null", "nil", "author", "title", "subject", "keywords", "default")
+PLACEHOLDERS = (
+    "unknown", "unknown author", "no author", "untitled", "no title", "none", "not available",
+    "n/a", "na", "null", "nil", "author", "title", "subject", "keywords", "default",
+)
 
 
 def runs(text: Column, pattern: str) -> Column:
@@ -48,11 +50,6 @@ def reads_right_to_left(text: Column) -> Column:
     return (right_to_left_letters(text) > 0) & (right_to_left_letters(text) >= latin_letters(text))
 
 
-def advances(text: Column) -> Column:
-    """One for each character, two for a wide one."""
-    return F.length(text) + held(text, f"[{WIDE}]")
-
-
 def reads_as_sentence(text: Column) -> Column:
     return F.size(letter_words(text)) >= 4
 
@@ -76,10 +73,6 @@ def is_caption(text: Column) -> Column:
     return text.rlike("^(Figure|Table)[ \\t]+[0-9]")
 
 
-def is_typed_rule(text: Column) -> Column:
-    return F.trim(text).rlike("^[-_\\x{2013}\\x{2014}]{2,}$")
-
-
 def ends_broken(text: Column) -> Column:
     return text.rlike("[\\p{L}\\p{N}][-\\x{AD}]$")
 
@@ -124,13 +117,6 @@ def marker_value(text: Column) -> Column:
 def xml_text(text: Column) -> Column:
     """XML 1.0 text: characters it can't hold go, five are escaped."""
     out = F.regexp_replace(text, "[\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{FFFE}\\x{FFFF}]", "")
-    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
     return out
-
-
-def section_number(text: Column) -> Column:
-    """The number (1-99) that opens a section title, or null: a capital follows, three letters, at most 120 characters, no stop at the end."""
-    title = text.rlike("^[0-9]{1,2}[ \\t\\x{A0}]+\\p{Lu}") & (held(text, "\\p{L}") >= 3) & (F.length(text) <= 120) & ~text.rlike("[.,;:]$")
-    number = F.regexp_extract(text, "^([0-9]{1,2})", 1).try_cast("int")
-    return F.when(title & (number >= 1), number)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "<(h[1-6]|p|li|nav|footer)[ >]"
@@ -14,11 +14,23 @@ def block_counts(pages: DataFrame) -> DataFrame:
     return pages.where("html IS NOT NULL").select("page_id", F.explode(kinds).alias("kind")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
+# Schemes a link may have, and the longest target.
+LINK_SCHEMES = ("http", "https", "mailto")
+LONGEST_TARGET = 2000
+
+
+def is_external_target(target: Column) -> Column:
+    """A link out of the book: an allowed scheme in either case, no white space or control character, not too long."""
+    scheme = F.lower(F.regexp_extract(target, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return scheme.isin(*LINK_SCHEMES) & (F.length(target) <= LONGEST_TARGET) & ~target.rlike(r"[\x{0}-\x{20}\x{85}\x{A0}\x{2028}\x{2029}\x{3000}\x{FFFE}\x{FFFF}]")
+
+
 def link_targets(pages: DataFrame) -> DataFrame:
-    """page_id, target, external for every distinct href."""
-    hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    links = pages.where("html IS NOT NULL").select("page_id", F.explode(hrefs).alias("target")).where("target <> ''")
-    return links.select("page_id", "target", F.col("target").rlike("^(https?|mailto):").alias("external"))
+    """page_id, target, external for every distinct href, and every target of column ``more``."""
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    targets = F.array_distinct(F.concat(hrefs, F.coalesce("more", F.array().cast("array<string>"))))
+    links = pages.where("html IS NOT NULL").select("page_id", F.explode(targets).alias("target")).where("target <> ''")
+    return links.select("page_id", "target", is_external_target(F.col("target")).alias("external"))
 
 
 def outline_navigation(pages: DataFrame) -> DataFrame:

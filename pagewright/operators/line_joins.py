@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lines import join_operation
+
 # Characters a book may draw as its line-end hyphen.
 SUBSTITUTES = ("=", "¬", "~", "_", "|", "\\", "+", "*", "/", "<", ">", "^", "¦")
 
@@ -24,43 +26,35 @@ def line_end_substitute(wrapped: DataFrame) -> DataFrame:
     return fit.groupBy("doc_id").agg(F.min("mark").alias("mark"), F.count("*").alias("k"), F.min("total").alias("total")).where("k = 1").select("doc_id", "mark", "total")
 
 
-def hyphen_join(wrapped: DataFrame, words: DataFrame) -> DataFrame:
+def _operations(lines: Column, words: Column) -> Column:
+    """What joins each line to the next: decided in the document's row against its own words, so nothing is shuffled."""
+    at = F.sequence(F.lit(0), F.size(lines) - 2)
+
+    def asked(i: Column) -> Column:
+        prefix, suffix = F.lower(F.regexp_extract(F.get(lines, i), r"(\p{L}*)-$", 1)), F.lower(F.regexp_extract(F.get(lines, i + 1), r"^(\p{L}*)", 1))
+        return F.array(F.concat(prefix, suffix), F.concat(prefix, F.lit("-"), suffix))
+
+    held = F.array_intersect(words, F.flatten(F.transform(F.filter(at, lambda i: F.get(lines, i).endswith("-")), asked)))
+    decided = F.get(F.transform(F.array(held), lambda h: F.transform(at, lambda i: join_operation(F.get(lines, i), F.get(lines, i + 1), lambda w: F.array_contains(h, w)))), F.lit(0))
+    return F.when(F.size(lines) < 2, F.array().cast("array<string>")).otherwise(decided)
+
+
+def hyphen_join(wrapped: DataFrame) -> DataFrame:
     """doc_id, line_no, operation for every line with a next one: the document's own words decide a hyphen."""
-    prefix, suffix = F.lower(F.regexp_extract("line", "(\\p{L}*)-$", 1)), F.lower(F.regexp_extract("next_line", "^(\\p{L}*)", 1))
-    pairs = wrapped.where("next_line IS NOT NULL").select("doc_id", "line_no", "line", "next_line", prefix.alias("p"), suffix.alias("s"))
-    asked = pairs.withColumn("joined", F.concat("p", "s")).withColumn("compound", F.concat_ws("-", "p", "s"))
-    joined = words.select("doc_id", F.col("word").alias("joined"), F.lit(True).alias("has_joined"))
-    compound = words.select("doc_id", F.col("word").alias("compound"), F.lit(True).alias("has_compound"))
-    known = asked.join(joined, ["doc_id", "joined"], "left").join(compound, ["doc_id", "compound"], "left")
-    vouched = F.col("has_joined").isNotNull() & F.col("has_compound").isNull()
-    lower = F.col("next_line").rlike("^\\p{Ll}")
-    halves = (F.length("p") >= 2) & (F.length("s") >= 2)
-    operation = (
-        F.when(F.col("line").endswith("­"), "remove")
-        .when(~F.col("line").endswith("-"), "space")
-        .when(vouched & (lower | halves), "remove")
-        .otherwise("concatenate")
-    )
-    return known.select("doc_id", "line_no", operation.alias("operation"))
+    return wrapped.select("doc_id", F.posexplode(_operations(F.col("lines"), F.col("words"))).alias("line_no", "operation"))
 
 
-def document_words(documents: DataFrame) -> DataFrame:
-    """Distinct vocabulary words of each document."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[\\p{L}-]+"), F.lit(0)), F.lower))
-    return documents.where("text IS NOT NULL").select("doc_id", F.explode(words).alias("word"))
+def paragraph_join(wrapped: DataFrame) -> DataFrame:
+    """doc_id, n_chars, digest of each document's lines joined as decided."""
 
+    def piece(line: Column, i: Column) -> Column:
+        done = F.get("operations", i)
+        cut = F.substring(line, F.lit(1), F.length(line) - 1)
+        return F.when(done == "remove", cut).when(done == "space", F.concat(line, F.lit(" "))).otherwise(line)
 
-def paragraph_join(wrapped: DataFrame, decided: DataFrame) -> DataFrame:
-    """doc_id, n_chars, digest of each document's lines joined as decided; a group is one document."""
-    rows = wrapped.join(decided, ["doc_id", "line_no"], "left")
-    piece = (
-        F.when(F.col("operation") == "remove", F.expr("substring(line, 1, length(line) - 1)"))
-        .when(F.col("operation") == "space", F.concat("line", F.lit(" ")))
-        .otherwise(F.col("line"))
-    )
-    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", piece.alias("t")))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["t"]), "")
-    return parts.select("doc_id", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest"))
+    decided = wrapped.select("doc_id", "lines", _operations(F.col("lines"), F.col("words")).alias("operations"))
+    joined = decided.select("doc_id", F.array_join(F.transform("lines", piece), "").alias("text"))
+    return joined.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def continuation_pairs(turns: DataFrame) -> DataFrame:

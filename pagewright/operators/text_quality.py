@@ -39,20 +39,27 @@ def common_pairs(documents: DataFrame, most: int = COMMON_PAIRS) -> list[str]:
 
 
 def encoding_statistics(documents: DataFrame, common: list[str]) -> DataFrame:
-    """doc_id, lang, words, stop_rate, rare_rate: words are letter runs of two or more."""
-    words = F.transform(letter_words(F.coalesce("text", F.lit(""))), F.lower)
-    plain = F.filter("w", lambda x: x.rlike("^[a-z]+$"))
-    pairs = F.flatten(F.transform(plain, letter_pairs))
-    counted = documents.select("doc_id", "lang", words.alias("w")).select(
-        "doc_id",
-        "lang",
-        F.size("w").cast("bigint").alias("words"),
-        F.size(F.filter("w", lambda x: x.isin(*STOP_WORDS))).alias("stops"),
-        F.size(pairs).alias("pairs"),
-        F.size(F.filter(pairs, lambda x: ~x.isin(*common))).alias("rare") if common else F.size(pairs).alias("rare"),
+    """doc_id, lang, words, stop_rate, rare_rate: words are letter runs of two or more.
+
+    Words and pairs are rows that generated code counts, summed in every task before the rows' numbers meet.
+    """
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", letter_words(F.coalesce("text", F.lit(""))).alias("w"))
+    words = rows.select("row", "doc_id", "lang", F.explode_outer("w").alias("word")).select("row", "doc_id", "lang", F.lower("word").alias("word"))
+    plain = F.col("word").rlike("^[a-z]+$")
+    n_pairs = F.when(plain, F.length("word") - 1).otherwise(0)
+    places = F.when(plain, F.sequence(F.lit(1), F.length("word") - 1))
+    each = words.select("row", "doc_id", "lang", "word", n_pairs.alias("pairs"), F.posexplode_outer(places).alias("k", "i"))
+    first = F.coalesce("k", F.lit(0)) == 0
+    rare = F.col("i").isNotNull() & ~F.substring("word", F.col("i"), F.lit(2)).isin(*common) if common else F.col("i").isNotNull()
+    counted = each.groupBy("row", "doc_id", "lang").agg(
+        F.sum((first & F.col("word").isNotNull()).cast("bigint")).alias("words"),
+        F.sum((first & F.col("word").isin(*STOP_WORDS)).cast("bigint")).alias("stops"),
+        F.sum(F.when(first, F.col("pairs")).otherwise(0)).alias("pairs"),
+        F.sum(rare.cast("bigint")).alias("rare"),
     )
     rate = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 9)
-    return counted.select("doc_id", "lang", "words", rate("stops", "words").alias("stop_rate"), rate("rare", "pairs").alias("rare_rate"))
+    whole = counted.select("doc_id", "lang", "words", F.coalesce("stops", F.lit(0)).alias("stops"), "pairs", "rare")
+    return whole.select("doc_id", "lang", "words", rate("stops", "words").alias("stop_rate"), rate("rare", "pairs").alias("rare_rate"))
 
 
 def implausible(statistics: DataFrame) -> DataFrame:

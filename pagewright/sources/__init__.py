@@ -30,7 +30,7 @@ DOC_LINES_SQL = """doc_lines AS (
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_no (from 1), row_no, line, x, y (from the foot), size, bold."""
+    """doc_id, page_no (from 0), row_no, line, x, y (from the foot), size, bold."""
     lines = doc_lines(spark, sf_dir).where("line <> ''")
     row = F.col("line_no") % LINES_PER_PAGE
     size = F.when((F.length("line") < 40) & (F.col("line_no") % 7 == 0), 14.0).when(F.length("line") % 5 == 0, 9.5).otherwise(11.0)
@@ -58,26 +58,121 @@ doc_pages AS (
 )
 
 
-def wrapped_lines(spark: SparkSession, sf_dir: str, mark: str = "-") -> DataFrame:
-    """doc_id, line_no, line, next_line: MEASURE characters a line, a broken word marked at the line's end."""
+#: What ends a broken word at a line's end, by the line's place; all others get the mark.
+BREAKS = {3: "\u00ad", 4: "–", 5: "—", 7: "中"}
+KINDS = 9
+
+
+def wrapped_texts(spark: SparkSession, sf_dir: str, mark: str = "-", planted: bool = False) -> DataFrame:
+    """doc_id, words (distinct, of the document), lines: its text re-wrapped at MEASURE characters, a broken word marked at the line's end.
+
+    ``planted`` sets other breaks among the marks (``BREAKS``), and an ideograph where a line of place 8 begins.
+    """
     documents = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[\\p{L}-]+"), F.lit(0)), F.lower))
+    cut = documents.select("doc_id", words.alias("words"), F.regexp_extract_all(F.regexp_replace("text", "[ \n]+", " "), F.lit(f"(?s).{{1,{MEASURE}}}"), F.lit(0)).alias("cut"))
+
+    def marked(piece, i):
+        kind = F.pmod(i, F.lit(KINDS))
+        end = F.lit(mark)
+        for k, break_ in BREAKS.items() if planted else ():
+            end = F.when(kind == k, F.lit(break_)).otherwise(end)
+        broken = piece.rlike("\\p{L}$") & F.coalesce(F.get("cut", i + 1), F.lit("")).rlike("^\\p{L}")
+        line = F.when(broken, F.concat(piece, end)).otherwise(piece)
+        return F.when(kind == 8, F.concat(F.lit("文"), line)).otherwise(line) if planted else line
+
+    return cut.select("doc_id", "words", F.transform("cut", marked).alias("lines"))
+
+
+def wrapped_lines(spark: SparkSession, sf_dir: str, mark: str = "-") -> DataFrame:
+    """doc_id, line_no, line, next_line of ``wrapped_texts``."""
+    rows = wrapped_texts(spark, sf_dir, mark).select("doc_id", "lines", F.posexplode("lines").alias("line_no", "line"))
+    return rows.select("doc_id", "line_no", "line", F.get("lines", F.col("line_no") + 1).alias("next_line"))
+
+
+def wrapped_lines_sql(mark: str = "-", planted: bool = False) -> str:
+    end = "CASE line_no % 9 " + " ".join(f"WHEN {k} THEN '{b}'" for k, b in BREAKS.items()) + f" ELSE '{mark}' END" if planted else f"'{mark}'"
+    head = "CASE WHEN line_no % 9 = 8 THEN '文' ELSE '' END || " if planted else ""
+    return rf"""cut AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[ \n]+', ' ', 'g'), '(?s).{{1,{MEASURE}}}') AS p FROM documents WHERE text IS NOT NULL),
+wrapped AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, p[i] AS s, coalesce(p[i + 1], '') AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM cut)),
+marked AS (SELECT doc_id, line_no, {head}CASE WHEN regexp_matches(s, '\p{{L}}$') AND regexp_matches(n, '^\p{{L}}') THEN s || {end} ELSE s END AS line FROM wrapped),
+wrapped_lines AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM marked)"""
+
+
+#: Printed forms that lines are set in (``%`` stands for the line), so that every rule meets what it is about.
+FORMS = (
+    "%", "• %", "- %", "+ %", "+ 50% %", "* %", "* * %", "− %", "a) %", "B. %", "12. %", "1999. %", "7) %", "-%", "1.%", "12.", "b)",
+    "Figure 3 %", "Table 12 %", "% = 4", "% = https://a.example/?q=1", "www.a.example/x %", "— – -", "――― ", "_ _ _", "% ---", "• ", "–",
+    "% half-", "way of %", "% soft\u00ad", "ly %", "% 1990–", "1999 %", "% he said—", "“%”", "% 中文", "中 文 字 %", "% سلام", "، %", "(%) [x]", ") % (", "12-3", "47", "% 123", "U. S. 45 %",
+    "McDonald %", "→ %", "−→ x", "3 Heading of %", "3.2 Heading of %", "0.1 Heading of %", "Chapter 4: %", "CHAPTER  XIV. %", "chapter iiii %", "Chapter 12 - %", "Chapter mcm – %",
+    "Practice %", "Some Exercises and %", "cc. %", "12345. %", "12 %", "iv", "No Author", "not available", "(2)", "7,100", "12†", "1% ad valorem.", "g12", "glyph7", "uni0041", "cid99x", "abc12",
+    "Сор %", "СССР and XCM %", "MOСKBA %", "HET ПОМ %", "\tspaced   out\u00a0text %  ",
+)
+
+
+def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, line_no, line, next_line: every line of documents, set in one of ``FORMS`` by its place."""
+    from pyspark.sql import Window
 
-    def lines(t):  # each with the start of what follows; the text is named once, so it is cleaned once
-        last = F.floor(F.greatest(F.length(t) - 1, F.lit(0)) / MEASURE).cast("int")
-        cut = lambda i: F.substring(t, i * MEASURE + 1, F.lit(MEASURE))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(cut(i).alias("s"), cut(i + 1).alias("n"), F.substring(t, (i + 2) * MEASURE + 1, F.lit(1)).alias("m")))
-
-    whole = F.regexp_replace("text", "[ \n]+", " ")
-    rows = documents.select("doc_id", F.posexplode(F.get(F.transform(F.array(whole), lines), F.lit(0))).alias("line_no", "x"))
-    marked = lambda a, b: F.when(F.col(a).rlike("\\p{L}$") & F.col(b).rlike("^\\p{L}"), F.concat(F.col(a), F.lit(mark))).otherwise(F.col(a))
-    return rows.select("doc_id", "line_no", marked("x.s", "x.n").alias("line"), F.when(F.col("x.n") != "", marked("x.n", "x.m")).alias("next_line"))
-
-
-def wrapped_lines_sql(mark: str = "-") -> str:
-    return rf"""wrapped AS (
-  SELECT doc_id, CAST(i AS INTEGER) AS line_no, s, n,
-    CASE WHEN regexp_matches(s, '\p{{L}}$') AND regexp_matches(coalesce(n, ''), '^\p{{L}}') THEN s || '{mark}' ELSE s END AS line
-  FROM (SELECT doc_id, i, substring(t, i * {MEASURE} + 1, {MEASURE}) AS s, CASE WHEN i < k THEN substring(t, (i + 1) * {MEASURE} + 1, {MEASURE}) END AS n
-    FROM (SELECT doc_id, t, k, unnest(range(0, k + 1)) AS i FROM (
-      SELECT doc_id, t, greatest(length(t) - 1, 0) // {MEASURE} AS k FROM (SELECT doc_id, regexp_replace(text, '[ \n]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL))))),
-wrapped_lines AS (SELECT doc_id, line_no, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM wrapped)"""
+    lines = doc_lines(spark, sf_dir)
+    form = F.get(F.array(*[F.lit(f) for f in FORMS]), F.pmod(F.coalesce("doc_id", F.lit(0)) + F.col("line_no"), F.lit(len(FORMS))).cast("int"))
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    printed = lines.select("doc_id", "lang", "line_no", F.replace(form, F.lit("%"), F.col("line")).alias("line"))
+    return printed.withColumn("next_line", F.lead("line").over(order))
+
+
+def _forms_sql() -> str:
+    return ", ".join("'" + f.replace("'", "''") + "'" for f in FORMS)
+
+
+PRINTED_LINES_SQL = (
+    DOC_LINES_SQL
+    + f""",
+printed AS (SELECT doc_id, lang, line_no, replace(([{_forms_sql()}])[1 + CAST((coalesce(doc_id, 0) + line_no) % {len(FORMS)} AS INTEGER)], '%', line) AS line FROM doc_lines),
+printed_lines AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM printed)"""
+)
+
+
+#: The sheet that ``layout_lines`` sets pages on, in points.
+SHEET = (595.0, 842.0)
+
+
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no (from 1), row_no, text, x, y (of the foot), w, h, size, bold: documents set as a book.
+
+    Each page has eight lines of text below a running head, with its folio at the foot; the heads of even and odd pages
+    differ and every fifth page's stand a little lower.  A page's first line is a numbered section's title on even pages
+    (numbers skip, or start late, in some documents) and its sixth a bold label on every third.
+    """
+    doc, line, row = F.coalesce("doc_id", F.lit(0)), F.col("line"), F.col("line_no") % LINES_PER_PAGE
+    page = F.floor(F.col("line_no") / LINES_PER_PAGE).cast("int")
+    lines = doc_lines(spark, sf_dir).where("line <> ''").select("doc_id", page.alias("p"), row.cast("int").alias("row_no"), "line", doc.alias("d"))
+    title = (F.col("row_no") == 0) & (F.col("p") % 2 == 0)
+    label = (F.col("row_no") == 5) & (F.col("p") % 3 == 0)
+    number = F.floor(F.col("p") / 2) + 1 + F.when(F.col("d") % 11 == 0, 1).otherwise(0) + F.when((F.col("d") % 7 == 0) & (F.col("p") > 2), 4).otherwise(0)
+    size = F.when(title, 16.0).when(F.length(line) % 5 == 0, 9.5).otherwise(11.0)
+    text = F.when(title, F.concat(number.cast("string"), F.lit(" "), F.substring(line, 1, 30))).when(label, F.substring(line, 1, 24)).otherwise(line)
+    indent = F.when(F.col("row_no") % 4 == 0, 18.0).otherwise(0.0)
+    body = lines.select("doc_id", (F.col("p") + 1).alias("page_no"), "row_no", text.alias("text"), (F.lit(72.0) + indent).alias("x"), (F.lit(690.0) - F.col("row_no") * 18.0).alias("y"), size.alias("size"), (title | label).alias("bold"))
+    pages = lines.select("doc_id", "p", "d").distinct()
+    part = F.concat(F.lit("Part "), (F.floor(F.col("p") / 4) + 1).cast("string"), F.lit(" of the report"))
+    head = F.when(F.col("p") % 2 == 0, F.concat(F.lit("Report "), F.col("d").cast("string"))).otherwise(part)
+    nine, plain = F.lit(9.0).alias("size"), F.lit(False).alias("bold")
+    heads = pages.select("doc_id", (F.col("p") + 1).alias("page_no"), F.lit(-1).alias("row_no"), head.alias("text"), F.lit(72.0).alias("x"), (F.lit(800.0) - F.when(F.col("p") % 5 == 4, 8.0).otherwise(0.0)).alias("y"), nine, plain)
+    feet = pages.select("doc_id", (F.col("p") + 1).alias("page_no"), F.lit(99).alias("row_no"), (F.col("p") + 1).cast("string").alias("text"), F.lit(290.0).alias("x"), (F.lit(30.0) + (F.col("p") % 7) * 3.0).alias("y"), nine, plain)
+    every = body.unionByName(heads).unionByName(feet)
+    return every.select("*", F.least(F.lit(450.0), F.length("text") * F.col("size") * 0.5).alias("w"), (F.col("size") * 1.2).alias("h"))
+
+
+LAYOUT_SQL = (
+    DOC_LINES_SQL
+    + f""",
+set_lines AS (SELECT doc_id, coalesce(doc_id, 0) AS d, CAST(line_no // {LINES_PER_PAGE} AS INTEGER) AS p, CAST(line_no % {LINES_PER_PAGE} AS INTEGER) AS row_no, line FROM doc_lines WHERE line <> ''),
+kinds AS (SELECT *, row_no = 0 AND p % 2 = 0 AS title, row_no = 5 AND p % 3 = 0 AS label FROM set_lines),
+pages AS (SELECT DISTINCT doc_id, d, p FROM set_lines),
+every AS (SELECT doc_id, p + 1 AS page_no, row_no, CASE WHEN title THEN CAST(p // 2 + 1 + CASE WHEN d % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN d % 7 = 0 AND p > 2 THEN 4 ELSE 0 END AS VARCHAR) || ' ' || substring(line, 1, 30) WHEN label THEN substring(line, 1, 24) ELSE line END AS text,
+   72.0 + CASE WHEN row_no % 4 = 0 THEN 18.0 ELSE 0.0 END AS x, 690.0 - row_no * 18.0 AS y, CASE WHEN title THEN 16.0 WHEN length(line) % 5 = 0 THEN 9.5 ELSE 11.0 END AS size, title OR label AS bold FROM kinds
+  UNION ALL SELECT doc_id, p + 1, -1, CASE WHEN p % 2 = 0 THEN 'Report ' || d ELSE 'Part ' || (p // 4 + 1) || ' of the report' END, 72.0, 800.0 - CASE WHEN p % 5 = 4 THEN 8.0 ELSE 0.0 END, 9.0, false FROM pages
+  UNION ALL SELECT doc_id, p + 1, 99, CAST(p + 1 AS VARCHAR), 290.0, 30.0 + (p % 7) * 3.0, 9.0, false FROM pages),
+layout_lines AS (SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(row_no AS INTEGER) AS row_no, text, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(size AS DOUBLE) AS size, bold, least(450.0, length(text) * CAST(size AS DOUBLE) * 0.5) AS w, CAST(size AS DOUBLE) * 1.2 AS h FROM every)"""
+)
