@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_SHARED:
         _LOCAL_SHARED.append(tempfile.mkdtemp(prefix="pagewright-"))

@@ -10,7 +10,7 @@ them back are left to adaptive execution, which splits a partition that one node
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -21,22 +21,28 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     if larger:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     least = links.groupBy("a").agg(F.min("b").alias("m"))
     moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    return moved.unionByName(least.select("a", F.col("m").alias("b")))
+
+
+def _kept(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as a table, and a mark that changes with them, taken while they are written."""
+    seen = Observation()
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
+    table = materialize(links.distinct().observe(seen, F.count(F.lit(1)).alias("n"), mark), "links")
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component): for every node of links (a, b), the smallest node that links reach."""
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = materialize(links, "links")
-    mark = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    """(node, component): for every node of links (a, b) but the smallest of each component, the smallest node that links reach."""
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links, mark = _kept(links)
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        links = materialize(_star(_star(links, True), False), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        links, now = _kept(_star(_star(links, True), False))
         if now == mark:
             break
         mark = now

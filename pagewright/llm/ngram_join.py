@@ -9,29 +9,27 @@ shared prefix shingle:
 * shingles in one prefix only are dropped first, by a count and a join;
 * a group's classes are paired in a join whose condition holds the length and positional
   filters; a pair of several groups is made distinct and keeps its first shared shingle;
-* pairs are verified in units of neighbouring classes, cut by the bytes of their sets.  A
-  class's text goes once to each unit that has a pair of it, and the unit makes its set.
-  There the suffix filter bounds what may follow the shared shingle, and the full sets
+* pairs are verified in units, one for each: a unit is a group's pairs, cut by the bytes of
+  their sets.  A class's text goes once to each unit that has a pair of it, and the unit makes its
+  set.  There the suffix filter bounds what may follow the shared shingle, and the full sets
   decide; a pair that is linked already through others needs no more.
 
-Groups of more than ``small`` classes are thinned before they are paired, by rounds in
-which every class meets one other of its group only, the one of least hash, and links join
-components; what is paired after that are classes of different components, in blocks.  So a
-large group of near copies costs a pair or two a class, and never all its pairs, and yet
-no link between components is lost.
+In a group of more than ``small`` classes every class first meets ``HUBS`` others only, those of
+least hash, and links join components; what is paired after that are classes of
+different components, in blocks.  So a large group of near copies costs a few pairs a class,
+and never all its pairs, and yet no link between components is lost.
 
-Links become components (see ``components``); every class gets the smallest doc_id of its own.
+Links become components (see ``components``) of documents; a class stands for its rows as its
+smallest doc_id.
 
 Defined results: null and wordless texts have no shingles and are linked with nothing; with
 fewer words than a shingle the whole sequence is the only one; rows that repeat a doc_id
-are each judged by their own text; a class none of whose rows has a doc_id forms no links,
-and its rows have no component.
+each give a row, judged by their own text, and a doc_id that is the smallest of two classes joins them; a class
+none of whose rows has a doc_id forms no links, and its rows have no component.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +41,8 @@ from .pieces import texts_of
 from .windows import mixed, powers
 
 FREQUENCY_BITS = 18
-#: Classes of a group that are paired at once; larger groups are thinned by rounds before.
-SMALL, ROUNDS = 32, 4
+#: Classes of a group that are paired at once; in larger groups each meets some hubs first.
+SMALL, HUBS = 32, 3
 #: Classes of a block of a group, and bytes of sets in a unit, about.
 BLOCK, UNIT_BYTES = 2048, 4 << 20
 #: Bits of the bitmap of documents whose texts take part in pairs.
@@ -215,17 +213,19 @@ def _near(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * shared >= percent * (n + m - shared))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Distinct (a, b) of the rows x and y that met, with the places of their first common shingle."""
-    first = F.col("x.cls") < F.col("y.cls")
-    low, high = F.struct(F.col("x.cls"), F.col("x.np")), F.struct(F.col("y.cls"), F.col("y.np"))
-    pair = met.select(F.when(first, low).otherwise(high).alias("a"), F.when(first, high).otherwise(low).alias("b"))
+def _pairs(met: DataFrame, unit: Column) -> DataFrame:
+    """The rows x and y that met, the smaller class first, with the places of their shared shingle and a unit to verify them in."""
     place = F.lit(0xFFFFFFFF).cast("bigint")
-    pair = pair.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), F.col("a.np").bitwiseAND(place).alias("i"), F.col("b.np").bitwiseAND(place).alias("j"))
-    return pair.groupBy("a", "b").agg(F.min("i").alias("i"), F.min("j").alias("j"))
+    low, high = (F.struct(F.col(f"{s}.cls"), F.col(f"{s}.doc"), F.col(f"{s}.np").bitwiseAND(place).alias("at")) for s in ("x", "y"))
+    first = F.col("x.cls") < F.col("y.cls")
+    pair = met.select(F.when(first, low).otherwise(high).alias("a"), F.when(first, high).otherwise(low).alias("b"), unit.alias("unit"))
+    return pair.select("unit", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("cls", "doc", "at")])
 
 
-_UNITS = "unit string, kind int, cls long, text binary, b long, i long, j long"
+def _block(side: str) -> Column:
+    """A class's block of its group: blocks hold about UNIT_BYTES of sets."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col(f"{side}.held") * 8 / UNIT_BYTES))
+    return F.pmod(F.xxhash64(f"{side}.cls"), parts)
 
 
 def _verify(n: int, percent: int, seed: int, frequency):
@@ -263,69 +263,50 @@ def _verify(n: int, percent: int, seed: int, frequency):
 
         for batch in batches:
             a_out, b_out = [], []
-            columns = [batch[name].to_pylist() for name in ("unit", "kind", "cls", "b", "i", "j")]
-            for row, (of, kind, cls, b, i, j) in enumerate(zip(*columns, strict=True)):
+            columns = [batch[name].to_pylist() for name in ("unit", "kind", "cls", "doc", "b_cls", "b_doc", "i", "j")]
+            for row, (of, kind, cls, doc, b_cls, b_doc, i, j) in enumerate(zip(*columns, strict=True)):
                 if of != unit:
                     unit, sets, parts, label = of, {}, {}, {}
                 if kind == 0:
                     hold(cls, batch["text"][row].as_py())
-                elif cls in sets and b in sets and root(cls) != root(b) and linked(cls, b, i, j):
-                    label[root(b)] = root(cls)
-                    a_out.append(cls)
-                    b_out.append(b)
+                elif cls in sets and b_cls in sets and root(cls) != root(b_cls) and linked(cls, b_cls, i, j):
+                    label[root(b_cls)] = root(cls)
+                    a_out.append(doc)
+                    b_out.append(b_doc)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     return run
 
 
-class _Verifier:
-    def __init__(self, texts: DataFrame, sizes: DataFrame, check):
-        self.texts, self.sizes, self.check = texts, sizes, check
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b) that join what the pairs (a, b, i, j) link."""
-        pairs = materialize(pairs, "join-pairs")
-        both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other")))
-        # a unit is named by its classes' smallest neighbour: classes that all pair with each other share one
-        least = both.groupBy("cls").agg(F.least(F.min("other"), F.first("cls")).alias("least"))
-        named = pairs.join(least, pairs["a"] == least["cls"]).select("a", "b", "i", "j", "least")
-        sides = F.explode(F.array("a", "b")).alias("cls")
-        held = named.select("least", sides).distinct().join(self.sizes, "cls").groupBy("least").agg(F.ceil(F.sum("n") * 8 / UNIT_BYTES).cast("int").alias("parts"))
-
-        def part(side: str) -> Column:
-            return F.pmod(F.xxhash64(F.col(side)), F.col("parts"))
-
-        named = named.join(held, "least").select("a", "b", "i", "j", F.concat_ws(":", "least", F.least(part("a"), part("b")), F.greatest(part("a"), part("b"))).alias("unit"))
-        texts = named.select("unit", sides).distinct().join(self.texts, "cls")
-        no = F.lit(None).cast("long")
-        rows = texts.select("unit", F.lit(0).alias("kind"), "cls", "text", no.alias("b"), no.alias("i"), no.alias("j"))
-        rows = rows.unionByName(named.select("unit", F.lit(1).alias("kind"), F.col("a").alias("cls"), F.lit(None).cast("binary").alias("text"), "b", "i", "j"))
-        return materialize(map_arrow(rows.repartition("unit").sortWithinPartitions("unit", "kind"), self.check, "a long, b long"), "join-links")
-
-
-def _crowds(big: DataFrame, links: list[DataFrame], verifier: _Verifier, percent: int, block: int) -> list[DataFrame]:
-    """Links within groups too large to be paired at once; ``links`` is what is known before."""
-    for turn in range(ROUNDS):
-        known = components(reduce(DataFrame.unionByName, links))
-        rows = big.join(known, big["cls"] == known["node"], "left").select("token", "cls", "np", "c", F.coalesce("component", "cls").alias("of"))
-        rows = materialize(rows, "join-crowds")
-        groups = rows.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "np", "of")).alias("y"))
-        groups = groups.where("lo <> hi").select("token", "y")
-        if groups.isEmpty():
-            return links
-        big = rows.join(groups.select("token"), "token").select("token", "cls", "np", "c")
-        if turn == ROUNDS - 1:
-            break
-        met = rows.alias("x").join(groups, "token").where(F.col("x.of") != F.col("y.of"))
-        links = [*links, verifier.links(_pairs(met.where(_near("x", "y", percent))))]
-    parts = F.ceil(F.col("c") / block).cast("int")
-    rows = rows.join(groups.select("token"), "token").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+def _links(pairs: DataFrame, rows: DataFrame, check) -> DataFrame:
+    """Links (a, b) that join the documents of what the pairs link; each pair is verified once, in one of its units."""
+    first = [F.min(c).alias(c) for c in ("unit", "a_doc", "b_doc", "a_at", "b_at")]
+    pairs = materialize(pairs.groupBy("a_cls", "b_cls").agg(*first), "join-pairs")
+    side = F.explode(F.array(*[F.struct(F.col(f"{s}_cls").alias("cls"), F.col(f"{s}_doc").alias("doc")) for s in ("a", "b")])).alias("x")
+    held = pairs.select("unit", side).select("unit", "x.cls", "x.doc").distinct()
+    texts = rows.where(_bitmap(held.select("doc"))).join(held, "doc")
+    no, none = F.lit(None).cast("long"), F.lit(None).cast("binary")
+    texts = texts.select("unit", F.lit(0).alias("kind"), "cls", "doc", "text", no.alias("b_cls"), no.alias("b_doc"), no.alias("i"), no.alias("j"))
+    asked = pairs.select("unit", F.lit(1).alias("kind"), F.col("a_cls").alias("cls"), F.col("a_doc").alias("doc"), none.alias("text"), "b_cls", "b_doc", F.col("a_at").alias("i"), F.col("b_at").alias("j"))
+    units = texts.unionByName(asked).repartition("unit").sortWithinPartitions("unit", "kind")
+    return materialize(map_arrow(units, check, "a long, b long"), "join-links")
+
+
+def _across(big: DataFrame, known: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Pairs of classes that share a large group and not a component yet, met in blocks of the group; None if there are none."""
+    rows = big.join(known, big["doc"] == known["node"], "left").select("token", "cls", "doc", "np", "c", "held", F.coalesce("component", "doc").alias("of"))
+    rows = materialize(rows, "join-crowds")
+    parted = rows.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("token")
+    if parted.isEmpty():
+        return None
+    parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("held") * 8 / UNIT_BYTES)).cast("int")
+    rows = rows.join(parted, "token").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "cls", "np", "of")
+    rows = rows.select("token", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "cls", "doc", "np", "of")
     x, y = rows.alias("x"), rows.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
     apart = (F.col("x.of") != F.col("y.of")) & ((F.col("x.part") < F.col("y.part")) | (F.col("x.p") == F.col("x.q")) & (F.col("x.cls") < F.col("y.cls")))
-    return [*links, verifier.links(_pairs(x.join(y, on & apart & _near("x", "y", percent))))]
+    return _pairs(x.join(y, on & apart & _near("x", "y", percent)), F.concat_ws(":", "x.token", "x.p", "x.q"))
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
@@ -335,45 +316,42 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80, small:
     for seed in range(8):
         read = materialize(map_arrow(rows, _read(n, seed), "doc long, n long, cls long, proof long, bucket int"), "join-read")
         members = read.where("bucket IS NULL")
-        classes = members.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+        classes = members.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("proof").alias("p"), F.max("proof").alias("q"))
         classes = materialize(classes, "join-classes")
         if classes.where("p <> q").isEmpty():  # else two sets share a name: other names are drawn
             break
     else:
         raise RuntimeError("set names collide")
     frequency = spark.sparkContext.broadcast(frequencies(read))
+    check = _verify(n, percent, seed, frequency)
 
     texts = rows.select("text").where(F.length("text") > 0)
     prefixes = map_arrow(texts, _prefixes(n, percent, seed, frequency), "token long, cls long, np long")
     counts = prefixes.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     met = materialize(prefixes.join(counts, "token"), "join-met").groupBy("token", "cls").agg(F.min("np").alias("np"))
-    groups = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = materialize(met.join(groups, "token"), "join-shared")
-
-    wanted = shared.select("cls").distinct().join(classes.where("rep IS NOT NULL"), "cls").select("cls", F.col("rep").alias("doc"))
-    wanted = materialize(wanted, "join-wanted")
-    held = materialize(rows.where(_bitmap(wanted)).join(wanted, "doc").select("cls", "text"), "join-texts")
-    verifier = _Verifier(held, classes.select("cls", "n"), _verify(n, percent, seed, frequency))
+    groups = met.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.shiftright("np", 32)).alias("held")).where("c > 1")
+    named = classes.where("rep IS NOT NULL").select("cls", F.col("rep").alias("doc"))
+    shared = materialize(met.join(groups, "token").join(named, "cls").select("token", "cls", "doc", "np", "c", "held"), "join-shared")
 
-    few = shared.where(F.col("c") <= small)
+    few, big = shared.where(F.col("c") <= small), shared.where(F.col("c") > small)
     x, y = few.alias("x"), few.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & _near("x", "y", percent))
-    links = [verifier.links(_pairs(met))]
-    big = shared.where(F.col("c") > small)
-    if not big.isEmpty():
-        links = _crowds(big, links, verifier, percent, BLOCK)
-
-    reached = components(reduce(DataFrame.unionByName, links))
-    reached = reached.unionByName(reached.select(F.col("component").alias("node"), "component").distinct())
-    # of classes that are linked: their component's smallest document; components may be large, so both joins are salted
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    pairs = _pairs(met, F.concat_ws(":", "x.token", F.least(_block("x"), _block("y")), F.greatest(_block("x"), _block("y"))))
+    # in a large group every class first meets HUBS others only, those of least hash
+    chosen = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "doc", "np")).alias(f"h{k}") for k in range(HUBS)]
+    hubs = big.groupBy("token").agg(*chosen).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"h{k}.cls", f"h{k}.doc", f"h{k}.np") for k in range(HUBS)]))).alias("y"))
+    met = big.alias("x").join(hubs.alias("hubs"), "token").where((F.col("x.cls") != F.col("y.cls")) & _near("x", "y", percent))
+    links = _links(pairs.unionByName(_pairs(met, F.concat_ws(":", "token", F.lit("h"), _block("x")))), rows, check)
+    reached = components(links)
+    pairs = None if big.isEmpty() else _across(big, reached, percent, BLOCK)
+    if pairs is not None:
+        reached = components(links.unionByName(_links(pairs, rows, check)))
+
+    # a large class or component is dealt over SALTS copies of its label; rows alone in their class and without links need none
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    joined = materialize(classes.join(reached, classes["cls"] == reached["node"]).select("cls", "rep", "component"), "join-joined")
-    least = joined.groupBy("component").agg(F.min("rep").alias("least")).select("component", "least", salts)
-    joined = joined.withColumn("salt", salt).join(least, ["component", "salt"]).select("cls", "least")
-    alone = classes.where("copies > 1").join(joined.select("cls"), "cls", "left_anti").select("cls", F.col("rep").alias("least"))
-    labels = joined.unionByName(alone).select("cls", "least", F.lit(True).alias("labelled"), salts)
-    out = members.where("n > 0").withColumn("salt", salt).join(labels, ["cls", "salt"], "left")
+    labels = classes.join(reached, classes["rep"] == reached["node"], "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
+    labels = labels.select("cls", F.coalesce("component", "rep").alias("least"), F.lit(True).alias("labelled"), salts)
+    out = members.where("n > 0").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).join(labels, ["cls", "salt"], "left")
     out = out.select("doc", "n", F.when(F.col("labelled"), F.col("least")).otherwise(F.col("doc")).alias("component"))
     return out.unionByName(members.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
 
