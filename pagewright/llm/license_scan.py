@@ -18,11 +18,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, table
+from .common import WORD_BYTES, map_arrow, table
 
 #: (phrase, label, is base)
 PHRASES = (
@@ -98,18 +99,19 @@ class Scanner:
             whole = f" {phrase} "
             for a, b in held:
                 a, b = max(a, 0), min(b, len(spaced))
-                if whole not in (near := spaced[a:b]) and edits_of(phrase) == 0:
-                    continue
-                exact, at = set(), near.find(whole)
+                exact, at = [], spaced.find(whole, a, b)
                 while at >= 0:
-                    exact.add(a + at + 1)
-                    found.append((p, a + at + 1, a + at + 1 + len(phrase), 0))
-                    at = near.find(whole, at + 1)
+                    exact.append(at + 1)
+                    at = spaced.find(whole, at + 1, b)
+                found += [(p, x, x + len(phrase), 0) for x in exact]
+                if not edits_of(phrase):
+                    continue
+                k = 0  # both come in order of place: what overlaps a match lies at the pointer
                 for m in self.patterns[p].finditer(spaced, a, b):
-                    edits = sum(m.fuzzy_counts)
-                    if edits or m.start() not in exact:
-                        if not any(x < m.end() and m.start() < x + len(phrase) for x in exact):
-                            found.append((p, m.start(), m.end(), edits))
+                    while k < len(exact) and exact[k] + len(phrase) <= m.start():
+                        k += 1
+                    if k == len(exact) or exact[k] >= m.end():
+                        found.append((p, m.start(), m.end(), sum(m.fuzzy_counts)))
         return sorted(set(found), key=lambda x: (x[1], x[0]))
 
 
@@ -121,27 +123,29 @@ def _scan(phrases):
     def run(batches):
         scanner = Scanner(phrases)
         for batch in batches:
-            n_words, spans, scores = [], [], []
+            n_words, all_spans, scores = [], [], []
             for text in batch["text"].to_pylist():
                 words = text.translate(WORD_BYTES).split() if text else []
-                spaced = (b" " + b" ".join(words) + b" ").decode("latin-1")
+                spaced = b" " + b" ".join(words) + b" "
                 n_words.append(len(words))
                 score, rows = 0.0, []
-                for p, start, stop, edits in scanner.spans(spaced):
+                spans = scanner.spans(spaced.decode("latin-1"))
+                spaces = np.flatnonzero(np.frombuffer(spaced, np.uint8) == 32) if spans else None
+                for p, start, stop, edits in spans:
                     phrase, label, base = phrases[p]
-                    word = spaced.count(" ", 0, start) - 1
-                    rows.append({"label": label, "start": word, "stop": word + spaced.count(" ", start, stop) + 1, "edits": edits, "base": base})
+                    first, after = np.searchsorted(spaces, (start, stop)).tolist()
+                    rows.append({"label": label, "start": first - 1, "stop": after, "edits": edits, "base": base})
                     score = max(score, 1 - edits / len(phrase))
-                spans.append(rows)
+                all_spans.append(rows)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "spans", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(all_spans, _SPANS), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "spans", "score"])
 
     return run
 
 
 def scan(documents: DataFrame, phrases=PHRASES) -> DataFrame:
     """doc_id, n_words, spans (label, first word, word after the last, edits, base), score for every row."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_scan(phrases), _SCHEMA)
+    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), _scan(phrases), _SCHEMA)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,4 +166,6 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("labels"),
         "score",
         F.size("spans").alias("n_spans"),
+        # every span as label:first word-word after the last:edits
+        F.array_join(F.transform("spans", lambda s: F.concat(s["label"], F.lit(":"), s["start"].cast("string"), F.lit("-"), s["stop"].cast("string"), F.lit(":"), s["edits"].cast("string"))), " ").alias("spans"),
     )

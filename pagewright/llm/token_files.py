@@ -4,8 +4,11 @@ Documents are range-partitioned by doc_id and sorted, so shards follow the ids'
 Each task encodes its documents (tokenizers library, every distinct chunk once while it
 stays in a bounded store), appends the end id and cuts the stream into blocks of at most
 ``BLOCK_IDS`` ids (a longer document is a block of its own).  A block is compressed by
-itself: every round replaces the most frequent pairs of neighbours that don't overlap by
-new nonterminals, until no pair occurs ``LEAST`` times.
+itself, with rules of its own: every round replaces the most frequent pairs of neighbours that
+don't overlap by new nonterminals, until no pair occurs ``LEAST`` times.
+
+A text is encoded as the library does by default: the literal of an added token, such as
+``<|endoftext|>``, gives that token's id.
 
 A block's file record holds: the rules (two 32-bit symbols a nonterminal), the expansion
 length of every nonterminal, the compressed sequence, and, per document, its id and token
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
-from .pieces import PieceStore, ragged
+from .common import map_arrow, new_path, table
+from .pieces import PieceStore, ragged, texts_of
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
+#: Text of a shard, at most about.
+SHARD_BYTES = 256 << 20
 #: Pairs a round may replace; the others wait for the next one.
 PAIRS = 8192
 #: A pair must occur so often in a block to be replaced.
@@ -135,6 +140,18 @@ def expand(first: int, rules: np.ndarray, sequence: np.ndarray) -> np.ndarray:
     return ragged(values, starts, size)
 
 
+def expand_symbols(first: int, rules: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The expansion of a few symbols, by their own rules alone: each pass opens every nonterminal once."""
+    while (big := symbols >= first).any():
+        size = np.where(big, 2, 1)
+        opened = np.repeat(symbols, size)
+        at = (np.cumsum(size) - size)[big]
+        pairs = rules[symbols[big] - first]
+        opened[at], opened[at + 1] = pairs[:, 0], pairs[:, 1]
+        symbols = opened
+    return symbols
+
+
 def decode_range(first: int, rules: np.ndarray, lengths: np.ndarray, sequence: np.ndarray, start: int, stop: int) -> np.ndarray:
     """ids[start:stop] of the block, expanding only the symbols that cover them."""
     size = np.ones(len(sequence), np.int64)
@@ -143,7 +160,7 @@ def decode_range(first: int, rules: np.ndarray, lengths: np.ndarray, sequence: n
     ends = np.cumsum(size)
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left")
     skip = start - (ends[a - 1] if a else 0)
-    return expand(first, rules, sequence[a : b + 1])[skip : skip + stop - start]
+    return expand_symbols(first, rules, sequence[a : b + 1])[skip : skip + stop - start]
 
 
 #: Ids that one call of the library may encode together, parted by the end-of-text token.
@@ -196,11 +213,52 @@ def library_encoder(tokenizer: str):
     return encode
 
 
+class _Special:
+    """Whole-text calls for texts that hold the literal of an added token, which the piece store must not cut."""
+
+    def __init__(self, tokenizer: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(tokenizer)
+        self.literals = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+
+    def ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+
+def _encoded(column: pa.Array, store: PieceStore, special: _Special) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, ids per text)."""
+    data, offsets = texts_of(column)
+    raw = data.tobytes()
+    held: set[int] = set()
+    for literal in special.literals:
+        at = raw.find(literal)
+        while at >= 0:
+            k = int(np.searchsorted(offsets, at, "right")) - 1
+            if at + len(literal) <= offsets[k + 1]:
+                held.add(k)
+            at = raw.find(literal, at + 1)
+    if not held:
+        return store.of(column)
+    parts, sizes, begin = [], [], 0
+    for k in [*sorted(held), len(column)]:
+        if k > begin:
+            ids, per = store.of(column.slice(begin, k - begin))
+            parts.append(ids)
+            sizes.append(per)
+        if k < len(column):
+            ids = special.ids(raw[offsets[k] : offsets[k + 1]])
+            parts.append(ids)
+            sizes.append(np.array([len(ids)]))
+        begin = k + 1
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
 def _writer(tokenizer: str, end_id: int, block_ids: int):
     def encode(batches):
         from pyspark import TaskContext
 
-        store = _store(tokenizer)
+        store, special = _store(tokenizer), _Special(tokenizer)
         shard, base = TaskContext.get().partitionId(), 0
         held, docs, counts, total = [], [], [], 0
 
@@ -213,7 +271,7 @@ def _writer(tokenizer: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_pydict(row, schema=_ARROW)
 
         for batch in batches:
-            ids, sizes = store.of(batch["text"])
+            ids, sizes = _encoded(batch["text"], store, special)
             ends = np.cumsum(sizes)
             sizes = sizes + 1
             with_end = np.insert(ids, ends, end_id).astype(np.uint32)
@@ -247,10 +305,12 @@ def write_shards(documents: DataFrame, tokenizer_path: str, path: str, shards: i
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = file.read()
-    shards = shards or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    if shards is None:  # as many as the session deals data over, more where they would hold too much
+        size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+        shards = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_writer(tokenizer, end_id, block_ids), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
+    map_arrow(ordered, _writer(tokenizer, end_id, block_ids), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def _reader(batches):
@@ -277,7 +337,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     for shard, n in totals:
         rows.append((shard, before))
         before += n
-    docs = blocks.mapInArrow(_reader, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    docs = map_arrow(blocks, _reader, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
     offsets = spark.createDataFrame(rows, "shard int, before long")
     return docs.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 

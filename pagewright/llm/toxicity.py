@@ -1,21 +1,22 @@
 """Toxicity by compression distance, with one zstandard dictionary a class.
 
-Training text is reduced to lower-case words parted by spaces.  zstandard trains a
-dictionary on windows of ordinary text.  The toxic dictionary is trained on windows of
-toxic text and reduced to its segments (word starts) that toxic documents hold at least
-``RATIO`` times as often as ordinary ones; the ordinary content, which both classes share,
-stands in front of them.  So the two dictionaries differ in what parts the classes, and a
-window's gain, its compressed length with the ordinary dictionary less that with the toxic
-one, is near 0 for ordinary text.
+Training text is reduced to lower-case words parted by spaces.  zstandard trains one
+dictionary on windows of ordinary text, and one on toxic text.  Most of a toxic text is ordinary, so
+the toxic samples are the words that begin with something toxic documents hold
+far more often than ordinary ones do, once or repeatedly, each time they occur; the ordinary content, which both
+classes share, stands in front of what is trained on them.  So the two dictionaries differ in what
+parts the classes, and a window's gain, its compressed length with the ordinary dictionary
+less that with the toxic one, is near 0 for ordinary text.
 
 Every window of every text is compressed with both dictionaries at a fast setting; windows
 whose length the toxic dictionary lowers are compressed again with both at a strong
 setting (optimal parsing, entropy tables), whose difference is the gain.  Thresholds on
 the gains turn a text's windows into a few features, and their logistic weights are
-calibrated on the labelled rows, which never include held-out ones.
+calibrated on the labelled rows, which never include held-out ones; a toxic row weighs
+``TOXIC_WEIGHT`` ordinary ones, since toxic texts are the rarer and missing one costs more.
 
 Fitting uses a bounded sample: about ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` labelled rows,
-chosen by a hash of doc_id, never more than ``2 * (TOXIC_ROWS + ORDINARY_ROWS)``.
+chosen by a hash of doc_id, never more than ``2 * (TOXIC_ROWS + ORDINARY_ROWS)``, and ``SAMPLE_BYTES`` of each.
 
 Defined results: null, empty and wordless texts have no windows and get the score of no
 gain; with no rows of one class to learn from every score is 0; labels that repeat a
@@ -32,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, table
+from .common import WORD_BYTES, map_arrow, table
 
 STEP, OVERLAP = 48, 16
 ORDINARY_BYTES = 32768
-TOXIC_BYTES = 1 << 17
-RATIO, LEAST_DOCS = 4.0, 0.02
+TOXIC_BYTES = 4096
+#: How many times the ordinary share of documents must hold a word start, once or repeatedly, and in what share of toxic ones at least.
+ONCE, REPEATED = (6.0, 0.02), (12.0, 0.015)
+TOXIC_WEIGHT = 3.0
 TOXIC_ROWS, ORDINARY_ROWS = 800, 1600
+#: Bytes of a sampled row's text that are learned from (scores read whole texts).
+SAMPLE_BYTES = 1 << 16
 FAST, STRONG = 3, 19
 #: Gains that count, in bytes.
 THRESHOLDS = (1, 2, 4)
@@ -93,33 +98,35 @@ def features(gains: list[int]) -> list[float]:
     return [top[0], top[:3].sum(), gained / len(g), gained / root, *((g >= t).sum() / root for t in THRESHOLDS)]
 
 
-def _starts(texts: list[bytes]) -> Counter:
-    """Documents that hold each word start of 4 to 10 bytes."""
-    held: Counter = Counter()
+def _starts(texts: list[bytes]) -> tuple[Counter, Counter]:
+    """Documents that hold each word start of 4 to 10 bytes, and those that hold it in several words."""
+    once: Counter = Counter()
+    repeated: Counter = Counter()
     for text in texts:
-        held.update({w[:n] for w in set(text.split()) for n in range(4, min(len(w), 10) + 1)})
-    return held
+        held = Counter(w[:n] for w in text.split() for n in range(4, min(len(w), 10) + 1))
+        once.update(held.keys())
+        repeated.update(w for w, n in held.items() if n > 1)
+    return once, repeated
 
 
-def _segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """What the toxic dictionary's content holds that parts the classes, commonest last."""
+def _toxic_samples(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Words of the toxic texts, at each of their places, whose start parts the classes."""
+    starts: set[bytes] = set()
+    for inside, outside, (ratio, share) in zip(_starts(toxic), _starts(ordinary), (ONCE, REPEATED), strict=True):
+        least = max(2, share * len(toxic))
+        starts |= {w for w, n in inside.items() if n >= least and n / len(toxic) >= ratio * (outside[w] + 1) / len(ordinary)}
+    return [b" " + w + b" " for t in toxic for w in t.split() if any(w[:n] in starts for n in range(4, min(len(w), 10) + 1))]
+
+
+def _toxic_content(samples: list[bytes]) -> bytes:
+    """What zstandard's training makes of the samples; the samples themselves where they are too few to train on."""
     import zstandard as z
 
-    in_toxic, in_ordinary = _starts(toxic), _starts(ordinary)
-    content = b" "
-    for size in (96, 48):
-        samples = [t[i : i + size] for t in toxic for i in range(0, len(t), size)]
-        try:
-            content += z.train_dictionary(TOXIC_BYTES, samples, k=size // 4, d=6).as_bytes() + b" "
-        except z.ZstdError:  # too little text to train on: the text itself is the content
-            content += b" ".join(samples)[:TOXIC_BYTES]
-    seen = {w[:n] for w in content.split() for n in range(4, min(len(w), 10) + 1)}
-    seen |= {w for w, n in in_toxic.items() if n >= 0.1 * len(toxic)}  # trained content may leave out a common word for space
-    least = max(2, LEAST_DOCS * len(toxic))
-    kept = [w for w in seen if in_toxic[w] >= least and in_toxic[w] / len(toxic) >= RATIO * (in_ordinary[w] + 1) / len(ordinary)]
-    kept.sort(key=lambda w: (in_toxic[w], len(w), w))
-    longer = {w: max((in_toxic[v] for v in kept if len(v) > len(w) and v.startswith(w)), default=0) for w in kept}
-    return [w for w in kept if longer[w] < 0.9 * in_toxic[w]][-400:]
+    try:
+        trained = z.train_dictionary(TOXIC_BYTES, samples, k=24, d=6).as_bytes()
+        return trained[trained.index(_TABLES_END) + len(_TABLES_END) :]
+    except (z.ZstdError, ValueError):
+        return b"".join(samples)[-TOXIC_BYTES:]
 
 
 def train(rows: list[tuple[bytes, int]]) -> Model | None:
@@ -137,17 +144,18 @@ def train(rows: list[tuple[bytes, int]]) -> Model | None:
     except (z.ZstdError, ValueError):
         return None
     tables, content = trained[:at], trained[at:]
-    model = Model(tables, content, b"".join(b" " + w + b" " for w in _segments(toxic, ordinary)), *[np.zeros(0)] * 3, 0.0)
+    model = Model(tables, content, _toxic_content(_toxic_samples(toxic, ordinary)), *[np.zeros(0)] * 3, 0.0)
     gains = Gains(tables, content, model.toxic)
     x = np.array([features(gains.of(t)) for t, _ in rows])
     y = np.array([float(bool(label)) for _, label in rows])
     model.mean, model.spread = x.mean(0), x.std(0) + 1e-9
     x = (x - model.mean) / model.spread
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(2000):
-        error = 1 / (1 + np.exp(-(x @ w + b))) - y
-        w -= 0.5 * (x.T @ error / len(y) + 1e-3 * w)
-        b -= 0.5 * error.mean()
+    w, b, weight = np.zeros(x.shape[1]), 0.0, np.where(y > 0, TOXIC_WEIGHT, 1.0)
+    weight /= weight.sum()
+    for _ in range(3000):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * weight
+        w -= 0.5 * (x.T @ error + 1e-3 * w)
+        b -= 0.5 * error.sum()
     model.weights, model.bias = w, float(b)
     return model
 
@@ -162,7 +170,7 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, o
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("y"), min(1.0, toxic_rows / max(1, counts.get(True, 0)))).otherwise(min(1.0, ordinary_rows / max(1, counts.get(False, 0))))
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000 < share).limit(2 * (toxic_rows + ordinary_rows))
-    rows = documents.select("doc_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").limit(2 * (toxic_rows + ordinary_rows)).collect()
+    rows = documents.select("doc_id", F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").limit(2 * (toxic_rows + ordinary_rows)).collect()
     return train([(bytes(r["text"]), int(r["y"])) for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["text"])))])
 
 
@@ -182,7 +190,7 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_score(model), "doc_id long, score double")
+    return map_arrow(rows, _score(model), "doc_id long, score double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

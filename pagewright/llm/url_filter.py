@@ -25,21 +25,44 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 N_BUCKETS = 4096
 GRAM = 4
 
-#: Stems of the small labelled table.
-BAD_NAMES = ("spam-farm", "adult-x", "casino-win", "ads-track", "cheap-pills", "free-bets", "porn-tube", "xxx-cams", "viagra-shop", "slots-bonus", "poker-win", "loan-fast", "click-track", "warez-crack")
-GOOD_NAMES = ("therou", "ththra", "erinan", "news-daily", "city-library", "open-science", "garden-notes", "recipes", "weather", "university", "museum", "history", "thanin", "ondere", "maths-club", "read-more", "health-info", "school")
+#: Stems of the small labelled table: words that unwanted hosts are made of, alone and joined, and ordinary names.
+BAD_WORDS = ("spam", "adult", "casino", "poker", "slots", "bets", "betting", "lotto", "pills", "viagra", "cheap", "free", "bonus", "win", "track", "tracker", "ads", "adserver", "click", "porn", "xxx", "sex", "cams", "tube", "loan", "crack", "warez", "keygen", "replica", "farm")
+GOOD_NAMES = (
+    "therou", "ththra", "erinan", "news-daily", "city-library", "open-science", "garden-notes", "recipes", "weather", "university", "museum", "history",
+    "thanin", "ondere", "maths-club", "read-more", "health-info", "school", "einkeit", "achung", "lesaux", "queteau", "anento", "osmente", "radio", "theatre",
+    "farmers-market", "free-software", "music-hall", "travel-guide", "bookshop", "letters", "philosophy", "archive", "physics", "kitchen", "photo-walks", "the-reader",
+)
+#: Common syllables; ordinary names are made of them as well.
+SYLLABLES = ("the", "tion", "ing", "er", "an", "re", "on", "in", "ed", "st", "en", "ble", "ou", "ha", "ly", "sh", "ti", "ter", "men", "lich", "eau", "que", "ado", "ver")
 BAD_PATHS = ("/buy-now/pills", "/casino/bonus", "/adult/video", "/track/click", "/bets/free")
 GOOD_PATHS = ("/en/12", "/de/7.html", "/fr/825", "/es/93/", "/article/history", "/docs/index.html", "/blog/2020/notes")
+#: Joins of two bad words that are left out of the table, so that whole hosts are judged by what they are made of.
+LEFT_OUT = {("spam", "farm"), ("casino", "win"), ("ads", "track"), ("cheap", "pills"), ("free", "bets")}
+
+
+def bad_names() -> list[str]:
+    """Every word with four others after it, in a fixed order, and alone."""
+    n = len(BAD_WORDS)
+    joins = [(w, BAD_WORDS[(i + step) % n]) for i, w in enumerate(BAD_WORDS) for step in (1, 7, 12, 19)]
+    return [*BAD_WORDS, *(f"{a}-{b}" for a, b in joins if (a, b) not in LEFT_OUT)]
+
+
+def good_names() -> list[str]:
+    """The ordinary names, and each syllable with others after it, in a fixed order."""
+    n = len(SYLLABLES)
+    made = [SYLLABLES[i] + SYLLABLES[(i + step) % n] + (SYLLABLES[(i + 3 * step) % n] if step % 2 else "") for i in range(n) for step in (1, 2, 5, 7, 10, 13)]
+    return [*GOOD_NAMES, *made]
 
 
 def training_rows() -> list[tuple[str, int]]:
-    """The labelled table: every stem under a few prefixes, endings and paths, in a fixed order."""
+    """The labelled table: names under prefixes, endings and paths, in a fixed order; most are good, as most pages are."""
     rows = []
-    for label, names, paths in ((1, BAD_NAMES, BAD_PATHS + GOOD_PATHS), (0, GOOD_NAMES, GOOD_PATHS)):
+    for label, names, paths, forms in ((1, bad_names(), BAD_PATHS + GOOD_PATHS, 1), (0, good_names(), GOOD_PATHS, 2)):
         for i, name in enumerate(names):
-            for j, prefix in enumerate(("", "www.", "blog.", "m.")):
-                ending = ("example.com", "example.org", "example.net", "com")[(i + j) % 4]
-                rows.append((f"http{'s' * (j % 2)}://{prefix}{name}.{ending}{paths[(i + 3 * j) % len(paths)]}", label))
+            for j in range(forms):
+                k = i + j
+                prefix, ending = ("", "www.", "blog.", "m.")[k % 4], ("example.com", "example.org", "example.net", "com")[(k // 4 + j) % 4]
+                rows.append((f"http{'s' * (k % 2)}://{prefix}{name}.{ending}{paths[(i + 3 * j) % len(paths)]}", label))
     return rows
 
 

@@ -128,6 +128,14 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(1000, [3e6, 3e6]), (1, [2.0, 1.0]), (2, [-3.0, 1.0]), (2, [1.0, 1.0]), (3, [3e6, 2e6]), (1100, [1e25, -1e25, 1.0]), (3, [1e25, 1.0, 1.0])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    unit = 3_000_000 * 1024
+    assert got[:4] == [(1000, 1, 3, (1 << 63) - 1), (1000, 2, 1, unit * 3072), (1000, 3, 2, unit * 2048), (1000, 4, 2, unit * -2048)]
+    assert [x[:3] for x in got[4:]] == [(1100, 1, 3)]
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(40)]
@@ -186,3 +194,14 @@ def test_url_rules_and_model(spark):
         assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, rule)
         assert got[k]["verdict"] in ("allow", "block") if verdict is None else got[k]["verdict"] == verdict
     assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    hosts = "spam-farm adult-x casino-win ads-track cheap-pills free-bets".split()
+    learned = {u.split("//")[1].split("/")[0] for u, _ in url_filter.training_rows()}
+    assert not any(h in u for h in hosts for u in learned)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    judged = [r for r in url_filter.judge(pages).collect() if r["rule"] is None and r["host"]]
+    bad = [r["verdict"] == "block" for r in judged if any(h in r["host"] for h in hosts)]
+    good = [r["verdict"] == "allow" for r in judged if not any(h in r["host"] for h in hosts)]
+    assert len(bad) >= 5 and np.mean(bad) >= 0.9 and np.mean(good) >= 0.97

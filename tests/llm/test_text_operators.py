@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -49,6 +50,27 @@ def test_license_scan_matches_plain_counts(spark, docs):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_places_in_a_long_text_take_linear_time():
+    import time
+
+    scanner = license_scan._scan(license_scan.PHRASES)
+    text = b"cc by all rights reserved general pubic license x " * 20_000
+    began = time.time()
+    (out,) = scanner([pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array([text], pa.binary())})])
+    spans = out["spans"][0].as_py()
+    assert len(spans) == 60_000 and out["n_words"][0].as_py() == 180_000 and time.time() - began < 30
+    assert [(s["start"], s["stop"], s["edits"]) for s in spans[-3:]] == [(179_991, 179_993, 0), (179_993, 179_996, 0), (179_996, 179_999, 1)]
+
+
+def test_edits_are_spans_with_their_counts_and_no_false_hits():
+    scanner = license_scan.Scanner()
+    found = lambda t: [(license_scan.PHRASES[p][1], t[a:b], e) for p, a, b, e in scanner.spans(t)]
+    assert found(" a general publi license ") == [("gpl", "general publi license", 1)]  # a deletion
+    assert found(" a general publicc license ") == [("gpl", "general publicc license", 1)]  # an insertion
+    assert found(" a general pablic licence ") == [("gpl", "general pablic licence", 2)]
+    assert found(" a general pablik licence ") == [] and found(" rights reserved generals ") == [] and found(" cc bi ") == []
+
+
 def test_every_phrase_within_its_edits_is_found():
     scanner = license_scan.Scanner()
     rng = np.random.default_rng(5)
@@ -88,7 +110,6 @@ def test_long_words_take_the_same_merges():
 def test_token_files_round_trip(spark, docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     token_files.write_shards(docs, path, str(tmp_path / "shards"), shards=3, block_ids=1000)
     got = sorted(token_files.read_documents(spark, str(tmp_path / "shards")).collect(), key=lambda r: (r["start"]))
     start = 0
@@ -102,6 +123,18 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert token_files.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_take_special_literals_as_the_library_does(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain", None, "<|endoftext", "|>x<|endoftext|><|endoftext|> y", "é<|endoftext|>\n\n z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_shards(docs, path, str(tmp_path / "shards"), shards=1)
+    for r in token_files.read_documents(spark, str(tmp_path / "shards")).collect():
+        ids = [*plain.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), texts[r["doc_id"]]
+    assert plain.encode(texts[0], add_special_tokens=False).ids.count(50256) == 1
+
+
 def test_grammar_is_exact_and_random_access():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 9, 5000), np.zeros(1001), np.tile([1, 2, 3], 900), np.zeros(0), np.array([7])):
@@ -165,9 +198,12 @@ def test_language_on_held_out_rows(spark):
 def test_toxicity_on_held_out_rows(spark):
     from pagewright.llm.catalog import queries
 
-    sf = "/root/testdata/sf0.01"
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    got = [r for r in queries()["op2_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
-    assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in got]) > 0.9
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+        got = [r for r in queries()["op2_toxicity"](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
+        assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in got]) > 0.9
+    # six rows of the small table are toxic: only the large one says something about recall
+    toxic, clean = ([r["predicted"] for r in got if labels[r["doc_id"]] == k] for k in (1, 0))
+    assert len(toxic) > 90 and np.mean(toxic) >= 0.8 and np.mean(clean) <= 0.04
     empty = toxicity.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), None)
     assert {r["score"] for r in empty.collect()} == {0.0}
