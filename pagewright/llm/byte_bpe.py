@@ -37,7 +37,7 @@ from .common import map_arrow, materialize, table
 from .pieces import cut, ragged, simple, texts_of
 from .windows import mixed, powers
 
-HEAD, HEAD_LONGEST = 1 << 20, 24
+HEAD, HEAD_LONGEST = 1 << 18, 24
 LONGEST = 256
 SLICE = 1 << 20
 _SLOTS = 1 << 18

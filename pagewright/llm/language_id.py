@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import map_arrow, table
 from .pieces import texts_of
 
 WINDOW = 128
@@ -152,7 +152,7 @@ def fit(documents: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Net
         share = F.when(F.col("lang") == name, min(1.0, rows_per_language / counts[name])).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     spans = F.transform(F.sequence(F.lit(0), F.lit(SPANS - 1)), lambda i: F.substring(F.col("text"), (F.length("text") * i / SPANS).cast("int") + 1, F.lit(WINDOW)))
-    rows = usable.where(draw < share).select("doc_id", "lang", F.array_distinct(spans).alias("spans")).orderBy("doc_id").collect()
+    rows = usable.where(draw < share).select("doc_id", "lang", F.array_distinct(spans).alias("spans")).orderBy("doc_id", "spans").limit(2 * rows_per_language * len(names)).collect()
     data, labels = [], []
     for r in rows:
         for s in r["spans"]:
@@ -202,7 +202,7 @@ def predict(documents: DataFrame, net: Network | None, keep: list[str]) -> DataF
         return documents.select(*keep, F.lit(UNKNOWN).alias("__lang_pred"), F.lit(0.0).alias("__score"))
     rows = documents.select(*keep, F.col("text").cast("binary").alias("__bytes"))
     schema = T.StructType([*(f for f in rows.schema.fields[:-1]), T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
-    return rows.mapInArrow(_predict(net), schema)
+    return map_arrow(rows, _predict(net), schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

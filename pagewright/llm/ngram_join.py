@@ -8,15 +8,16 @@ shared prefix shingle:
 
 * shingles in one prefix only are dropped first, by a count and a join;
 * a group's classes are paired in a join whose condition holds the length and positional
-  filters; a pair of several groups is made distinct and keeps its first shared shingle;
+  filters; a pair of several groups is made distinct;
+* the suffix filter bounds what a pair's sets may share beyond that, from counts by part of the hash space
+  that were taken when the texts were read: most pairs of unlike texts end here;
 * pairs are verified in units, one for each: a unit is a group's pairs, cut by the bytes of
   their sets.  A class's text goes once to each unit that has a pair of it, and the unit makes its
-  set.  There the suffix filter bounds what may follow the shared shingle, and the full sets
-  decide; a pair that is linked already through others needs no more.
+  set and compares it exactly; a pair that is linked already through others needs no more.
 
-In a group of more than ``small`` classes every class first meets ``HUBS`` others only, those of
-least hash, and links join components; what is paired after that are classes of
-different components, in blocks.  So a large group of near copies costs a few pairs a class,
+In a group of more than ``small`` classes every class first meets ``HUBS`` others only, and links join
+components; what is paired after that are classes of different components, in blocks, where
+marks of the sets (a suffix filter too) are compared in the join.  So a large group of near copies costs a few pairs a class,
 and never all its pairs, and yet no link between components is lost.
 
 Links become components (see ``components``) of documents; a class stands for its rows as its
@@ -42,9 +43,11 @@ from .windows import mixed, powers
 
 FREQUENCY_BITS = 18
 #: Classes of a group that are paired at once; in larger groups each meets some hubs first.
-SMALL, HUBS = 32, 3
-#: Classes of a block of a group, and bytes of sets in a unit, about.
-BLOCK, UNIT_BYTES = 2048, 4 << 20
+SMALL, HUBS = 32, 16
+#: A large group of c classes is cut into sqrt(c) / BLOCK blocks, more where sets hold many bytes; a unit holds UNIT_BYTES, about.
+BLOCK, UNIT_BYTES = 4, 4 << 20
+#: Bits that mark a set's shingles in joins of large groups.
+MARKS = 1024
 #: Bits of the bitmap of documents whose texts take part in pairs.
 BITS = 1 << 22
 #: Copies of the labels that a large class's rows are dealt over.
@@ -126,7 +129,23 @@ def _signatures(t: np.ndarray, h: np.ndarray, seed: int):
     return t[at], counts, mixed(one).view(np.int64), mixed(two).view(np.int64)
 
 
-_READ = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("proof", pa.int64()), ("bucket", pa.int32())])
+_READ = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("proof", pa.int64()), ("sketch", pa.binary()), ("bits", pa.list_(pa.int64())), ("bucket", pa.int32())])
+
+
+def _sketch(h: np.ndarray) -> bytes | None:
+    """Counts of a set's hashes by part of the hash space, about 16 in each; None where a count doesn't fit a byte."""
+    parts = max(4, (len(h) // 16).bit_length() - 1)
+    counts = np.bincount((h >> np.uint64(64 - parts)).astype(np.int64), minlength=1 << parts)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _bits(h: np.ndarray) -> np.ndarray | None:
+    """MARKS bits, one set for each hash; None for sets that would fill them."""
+    if len(h) > MARKS // 2:
+        return None
+    held = np.zeros(MARKS, np.uint8)
+    held[(h & np.uint64(MARKS - 1)).astype(np.int64)] = 1
+    return np.packbits(held).view(np.int64)
 
 
 def _read(n: int, seed: int):
@@ -136,14 +155,18 @@ def _read(n: int, seed: int):
         frequency = np.zeros(1 << FREQUENCY_BITS, np.int64)
         for batch in batches:
             size, one, two = (np.zeros(len(batch), np.int64) for _ in range(3))
+            sketch, bits = [None] * len(batch), [None] * len(batch)
             for begin, _, t, h in _sets(batch["text"], n):
                 frequency += np.bincount(_bucket(h), minlength=len(frequency))
                 text, counts, a, b = _signatures(t, h, seed)
                 size[begin + text], one[begin + text], two[begin + text] = counts, a, b
-            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(size), pa.array(one), pa.array(two), pa.nulls(len(batch), pa.int32())], schema=_READ)
+                ends = np.cumsum(counts).tolist()
+                for k, start, stop in zip((begin + text).tolist(), [0, *ends], ends, strict=False):
+                    sketch[k], bits[k] = _sketch(h[start:stop]), _bits(h[start:stop])
+            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(size), pa.array(one), pa.array(two), pa.array(sketch, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.nulls(len(batch), pa.int32())], schema=_READ)
         at = np.flatnonzero(frequency)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(frequency[at]), none, none, pa.array(at.astype(np.int32))], schema=_READ)
+        yield pa.RecordBatch.from_arrays([none, pa.array(frequency[at]), none, none, pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at.astype(np.int32))], schema=_READ)
 
     return run
 
@@ -213,13 +236,47 @@ def _near(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * shared >= percent * (n + m - shared))
 
 
+def _alike(x: str, y: str, percent: int) -> Column:
+    """The suffix filter in a join: a mark of one set that the other lacks is a shingle they don't share."""
+    n, m = (F.shiftright(f"{s}.np", 32) for s in (x, y))
+
+    def lacks(a: str, b: str) -> Column:
+        return sum((F.bit_count(F.get(f"{a}.bits", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{b}.bits", F.lit(k))))) for k in range(MARKS // 64)), F.lit(0))
+
+    most = F.least(n - lacks(x, y), m - lacks(y, x))
+    return F.coalesce(100 * most >= percent * (n + m - most), F.lit(True))
+
+
+def _likely(percent: int):
+    """The suffix filter on pairs of any size: what two sets hold of each part of the hash space bounds what they share."""
+    names = ["unit", "a_cls", "a_doc", "b_cls", "b_doc"]
+
+    def parts(sketch: bytes, size: int) -> np.ndarray:
+        counts = np.frombuffer(sketch, np.uint8).astype(np.int64)
+        return counts.reshape(size, -1).sum(1)
+
+    def likely(x, y) -> bool:
+        if x is None or y is None:
+            return True
+        size = min(len(x), len(y))
+        a, b = parts(x, size), parts(y, size)
+        most = int(np.minimum(a, b).sum())
+        return 100 * most >= percent * (int(a.sum()) + int(b.sum()) - most)
+
+    def run(batches):
+        for batch in batches:
+            keep = [likely(x, y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _pairs(met: DataFrame, unit: Column) -> DataFrame:
-    """The rows x and y that met, the smaller class first, with the places of their shared shingle and a unit to verify them in."""
-    place = F.lit(0xFFFFFFFF).cast("bigint")
-    low, high = (F.struct(F.col(f"{s}.cls"), F.col(f"{s}.doc"), F.col(f"{s}.np").bitwiseAND(place).alias("at")) for s in ("x", "y"))
+    """The rows x and y that met, the smaller class first, and a unit to verify them in."""
+    low, high = (F.struct(F.col(f"{s}.cls"), F.col(f"{s}.doc")) for s in ("x", "y"))
     first = F.col("x.cls") < F.col("y.cls")
     pair = met.select(F.when(first, low).otherwise(high).alias("a"), F.when(first, high).otherwise(low).alias("b"), unit.alias("unit"))
-    return pair.select("unit", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("cls", "doc", "at")])
+    return pair.select("unit", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("cls", "doc")])
 
 
 def _block(side: str) -> Column:
@@ -228,12 +285,11 @@ def _block(side: str) -> Column:
     return F.pmod(F.xxhash64(f"{side}.cls"), parts)
 
 
-def _verify(n: int, percent: int, seed: int, frequency):
+def _verify(n: int, percent: int, seed: int):
     """Links among the pairs of each unit: rows come sorted by unit, texts before pairs."""
 
     def run(batches):
-        table_of, unit = frequency.value, None
-        sets, parts, label = {}, {}, {}
+        unit, sets, label = None, {}, {}
 
         def root(x):
             while label.setdefault(x, x) != x:
@@ -244,32 +300,22 @@ def _verify(n: int, percent: int, seed: int, frequency):
         def hold(cls: int, text) -> None:
             for _, _, t, h in _sets(pa.array([text], pa.binary()), n):
                 if len(t) and int(_signatures(t, h, seed)[2][0]) == cls:  # a doc_id may have several texts
-                    # rare shingles first, for the suffix filter; by value, to count what is common
-                    sets[cls] = _ordered(t, h, table_of)[0], h
-                    parts[cls] = np.bincount((h & np.uint64(15)).astype(np.int64), minlength=16)
-
-        def linked(a: int, b: int, i: int, j: int) -> bool:
-            (x, by_x), (y, by_y) = sets[a], sets[b]
-            # what is common up to the shared shingle; what follows it, counted in parts of the hash space
-            x, y = x[: i + 1], y[: j + 1]
-            left = parts[a] - np.bincount((x & np.uint64(15)).astype(np.int64), minlength=16)
-            right = parts[b] - np.bincount((y & np.uint64(15)).astype(np.int64), minlength=16)
-            most = len(np.intersect1d(x, y, assume_unique=True)) + int(np.minimum(left, right).sum())
-            if 100 * most < percent * (len(by_x) + len(by_y) - most):
-                return False
-            at = np.searchsorted(by_x, by_y)
-            shared = int((by_x[np.minimum(at, len(by_x) - 1)] == by_y).sum())
-            return 100 * shared >= percent * (len(by_x) + len(by_y) - shared)
+                    sets[cls] = h
+
+        def linked(a: int, b: int) -> bool:
+            x, y = sets[a], sets[b]  # sorted
+            shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            return 100 * shared >= percent * (len(x) + len(y) - shared)
 
         for batch in batches:
             a_out, b_out = [], []
-            columns = [batch[name].to_pylist() for name in ("unit", "kind", "cls", "doc", "b_cls", "b_doc", "i", "j")]
-            for row, (of, kind, cls, doc, b_cls, b_doc, i, j) in enumerate(zip(*columns, strict=True)):
+            columns = [batch[name].to_pylist() for name in ("unit", "kind", "cls", "doc", "b_cls", "b_doc")]
+            for row, (of, kind, cls, doc, b_cls, b_doc) in enumerate(zip(*columns, strict=True)):
                 if of != unit:
-                    unit, sets, parts, label = of, {}, {}, {}
+                    unit, sets, label = of, {}, {}
                 if kind == 0:
                     hold(cls, batch["text"][row].as_py())
-                elif cls in sets and b_cls in sets and root(cls) != root(b_cls) and linked(cls, b_cls, i, j):
+                elif cls in sets and b_cls in sets and root(cls) != root(b_cls) and linked(cls, b_cls):
                     label[root(b_cls)] = root(cls)
                     a_out.append(doc)
                     b_out.append(b_doc)
@@ -278,35 +324,39 @@ def _verify(n: int, percent: int, seed: int, frequency):
     return run
 
 
-def _links(pairs: DataFrame, rows: DataFrame, check) -> DataFrame:
+def _links(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, likely, check) -> DataFrame:
     """Links (a, b) that join the documents of what the pairs link; each pair is verified once, in one of its units."""
-    first = [F.min(c).alias(c) for c in ("unit", "a_doc", "b_doc", "a_at", "b_at")]
-    pairs = materialize(pairs.groupBy("a_cls", "b_cls").agg(*first), "join-pairs")
+    first = [F.min(c).alias(c) for c in ("unit", "a_doc", "b_doc")]
+    pairs = pairs.groupBy("a_cls", "b_cls").agg(*first)
+    for s, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sketches.select(F.col("cls").alias(f"{s}_cls"), F.col("sketch").alias(name)), f"{s}_cls")
+    pairs = map_arrow(pairs, likely, "unit string, a_cls long, a_doc long, b_cls long, b_doc long")
+    pairs = materialize(pairs, "join-pairs")
     side = F.explode(F.array(*[F.struct(F.col(f"{s}_cls").alias("cls"), F.col(f"{s}_doc").alias("doc")) for s in ("a", "b")])).alias("x")
     held = pairs.select("unit", side).select("unit", "x.cls", "x.doc").distinct()
     texts = rows.where(_bitmap(held.select("doc"))).join(held, "doc")
     no, none = F.lit(None).cast("long"), F.lit(None).cast("binary")
-    texts = texts.select("unit", F.lit(0).alias("kind"), "cls", "doc", "text", no.alias("b_cls"), no.alias("b_doc"), no.alias("i"), no.alias("j"))
-    asked = pairs.select("unit", F.lit(1).alias("kind"), F.col("a_cls").alias("cls"), F.col("a_doc").alias("doc"), none.alias("text"), "b_cls", "b_doc", F.col("a_at").alias("i"), F.col("b_at").alias("j"))
+    texts = texts.select("unit", F.lit(0).alias("kind"), "cls", "doc", "text", no.alias("b_cls"), no.alias("b_doc"))
+    asked = pairs.select("unit", F.lit(1).alias("kind"), F.col("a_cls").alias("cls"), F.col("a_doc").alias("doc"), none.alias("text"), "b_cls", "b_doc")
     units = texts.unionByName(asked).repartition("unit").sortWithinPartitions("unit", "kind")
     return materialize(map_arrow(units, check, "a long, b long"), "join-links")
 
 
 def _across(big: DataFrame, known: DataFrame, percent: int, block: int) -> DataFrame | None:
     """Pairs of classes that share a large group and not a component yet, met in blocks of the group; None if there are none."""
-    rows = big.join(known, big["doc"] == known["node"], "left").select("token", "cls", "doc", "np", "c", "held", F.coalesce("component", "doc").alias("of"))
+    rows = big.join(known, big["doc"] == known["node"], "left").select("token", "cls", "doc", "np", "c", "held", "bits", F.coalesce("component", "doc").alias("of"))
     rows = materialize(rows, "join-crowds")
     parted = rows.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("token")
     if parted.isEmpty():
         return None
-    parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("held") * 8 / UNIT_BYTES)).cast("int")
+    parts = F.greatest(F.ceil(F.sqrt("c") / block), F.ceil(F.col("held") * 8 / UNIT_BYTES)).cast("int")
     rows = rows.join(parted, "token").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("token", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "cls", "doc", "np", "of")
+    rows = rows.select("token", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "part", "cls", "doc", "np", "bits", "of")
     x, y = rows.alias("x"), rows.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
     apart = (F.col("x.of") != F.col("y.of")) & ((F.col("x.part") < F.col("y.part")) | (F.col("x.p") == F.col("x.q")) & (F.col("x.cls") < F.col("y.cls")))
-    return _pairs(x.join(y, on & apart & _near("x", "y", percent)), F.concat_ws(":", "x.token", "x.p", "x.q"))
+    return _pairs(x.join(y, on & apart & _near("x", "y", percent) & _alike("x", "y", percent)), F.concat_ws(":", "x.token", "x.p", "x.q"))
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
@@ -314,16 +364,16 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80, small:
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("text"))
     for seed in range(8):
-        read = materialize(map_arrow(rows, _read(n, seed), "doc long, n long, cls long, proof long, bucket int"), "join-read")
+        read = materialize(map_arrow(rows, _read(n, seed), "doc long, n long, cls long, proof long, sketch binary, bits array<bigint>, bucket int"), "join-read")
         members = read.where("bucket IS NULL")
-        classes = members.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+        classes = members.where("n > 0").groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.min("proof").alias("p"), F.max("proof").alias("q"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
         classes = materialize(classes, "join-classes")
         if classes.where("p <> q").isEmpty():  # else two sets share a name: other names are drawn
             break
     else:
         raise RuntimeError("set names collide")
     frequency = spark.sparkContext.broadcast(frequencies(read))
-    check = _verify(n, percent, seed, frequency)
+    verify = lambda pairs: _links(pairs, rows, classes.select("cls", "sketch"), _likely(percent), _verify(n, percent, seed))
 
     texts = rows.select("text").where(F.length("text") > 0)
     prefixes = map_arrow(texts, _prefixes(n, percent, seed, frequency), "token long, cls long, np long")
@@ -337,15 +387,19 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80, small:
     x, y = few.alias("x"), few.alias("y")
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & _near("x", "y", percent))
     pairs = _pairs(met, F.concat_ws(":", "x.token", F.least(_block("x"), _block("y")), F.greatest(_block("x"), _block("y"))))
-    # in a large group every class first meets HUBS others only, those of least hash
-    chosen = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "doc", "np")).alias(f"h{k}") for k in range(HUBS)]
-    hubs = big.groupBy("token").agg(*chosen).select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"h{k}.cls", f"h{k}.doc", f"h{k}.np") for k in range(HUBS)]))).alias("y"))
-    met = big.alias("x").join(hubs.alias("hubs"), "token").where((F.col("x.cls") != F.col("y.cls")) & _near("x", "y", percent))
-    links = _links(pairs.unionByName(_pairs(met, F.concat_ws(":", "token", F.lit("h"), _block("x")))), rows, check)
+    # in a large group every class first meets HUBS others only: those that share most with large groups, which
+    # is what the others were copied from, and some by chance
+    shares = big.groupBy("cls").agg((-F.count("*")).alias("shares"))
+    big = materialize(big.join(shares, "cls").join(classes.select("cls", "bits"), "cls"), "join-big")
+    rank = lambda k: F.struct(F.when(F.lit(k < HUBS // 4), F.col("shares")).otherwise(0).alias("s"), F.xxhash64("cls", F.lit(k)).alias("h"), "cls", "doc", "np", "bits")
+    hubs = big.groupBy("token").agg(*[F.min(rank(k)).alias(f"h{k}") for k in range(HUBS)])
+    hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[F.col(f"h{k}") for k in range(HUBS)]))).alias("y"))
+    met = big.alias("x").join(hubs.alias("hubs"), "token").where((F.col("x.cls") != F.col("y.cls")) & _near("x", "y", percent) & _alike("x", "y", percent))
+    links = verify(pairs.unionByName(_pairs(met, F.concat_ws(":", "token", F.lit("h"), _block("x")))))
     reached = components(links)
     pairs = None if big.isEmpty() else _across(big, reached, percent, BLOCK)
     if pairs is not None:
-        reached = components(links.unionByName(_links(pairs, rows, check)))
+        reached = components(links.unionByName(verify(pairs)))
 
     # a large class or component is dealt over SALTS copies of its label; rows alone in their class and without links need none
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")

@@ -31,6 +31,25 @@ def test_stages_keep_clean_rows_and_drop_planted_ones(spark, tmp_path):
     assert sorted(r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()) == ids[4]
 
 
+def test_extra_columns_and_empty_tables_come_through(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["row", "__bytes", "__text", "__ranges", "__k", "component", "d", "key", "unit", "__lang_pred"]
+    schema = "doc_id long, text string, lang string, n_chars int, " + ", ".join(f"`{n}` string" for n in names)
+    texts = ["some words stand here", "und andere stehen dort", None, "some words stand here"]
+    docs = spark.createDataFrame([(i, t, ["en", "de"][i % 2], 5, *[n + str(i) for n in names]) for i, t in enumerate(texts)], schema)
+    for held in (docs, docs.limit(0)):
+        n = held.count()
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, held, str(tmp_path))
+            if name == "tokens":
+                assert out.count() == n
+                break
+            assert out.columns == docs.columns
+            held = pipeline.materialize(out, "test")
+            n = held.count()
+            assert all(r["__bytes"] == f"__bytes{r['doc_id']}" for r in held.collect())
+
+
 def test_stages_judge_rows_and_not_ids(spark, tmp_path):
     import random
 
