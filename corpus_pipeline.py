@@ -12,7 +12,8 @@ and read back as the next one's docs.  All but the last return the columns of do
 * tokens: byte-level BPE ids of what is left, decoded again: digests and counts.
 
 Every stage decides row by row: rows that share a doc_id, or have none, are judged by their own
-texts.  Rows with an empty table run through every stage and stay empty.
+texts; of linked rows with equal doc_ids, or none, one stays.  A row's columns travel as one
+value, so extra columns, whatever their names, come through.  An empty table runs through every stage and stays empty.
 """
 
 from __future__ import annotations
@@ -30,8 +31,13 @@ from pagewright.llm.suffix_dedup import remove_repeats
 SHINGLE, PERCENT = 5, 80
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Each row as one value beside the columns that operators read."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return predict(docs, fit(docs), docs.columns).where(F.col("__lang_pred") != UNKNOWN).select(*docs.columns)
+    return predict(whole(docs), fit(docs), ["row"]).where(F.col("__lang_pred") != UNKNOWN).select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,16 +54,18 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = remove_repeats(docs, docs.columns, with_text=True).where("__n_removed < __n_bytes OR __n_bytes = 0")
-    left = F.when(F.col("__n_removed") > 0, F.col("__kept_text")).otherwise(F.col("text"))
-    return cut.select(*[left.alias(c) if c == "text" else F.length(left).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    cut = remove_repeats(whole(docs), ["row"], with_text=True).where("__n_removed < __n_bytes OR __n_bytes = 0")
+    left = F.when(F.col("__n_removed") > 0, F.col("__kept_text")).otherwise(F.col("row.text"))
+    of = {"text": left, "n_chars": F.length(left)}
+    return cut.select(*[of[f.name].cast(f.dataType).alias(f.name) if f.name in of else F.col(f"row.`{f.name}`") for f in docs.schema])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(F.col("doc_id").alias("id"), F.md5("text").alias("text"))  # equal rows get equal verdicts
     judged = decontaminate(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     tainted = judged.where("contaminated").select(F.col("doc_id").alias("__tainted")).distinct()
-    return docs.join(tainted, row.eqNullSafe(F.col("__tainted")), "left_anti")
+    rows = whole(docs).select("row", row.alias("key"))
+    return rows.join(tainted, F.col("key").eqNullSafe(F.col("__tainted")), "left_anti").select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
