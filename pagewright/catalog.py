@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as X
-from . import plans, sources, streaming
+from . import sources, streaming
 from .functions import lines as L
 from .registry import QUERIES, SQL, listed as _in, query
-from .operators import checks, html_blocks, line_joins, lists_notes, page_layout, reading_order, text_quality
+from .operators import checks, html_blocks, line_joins, page_layout, reading_order, text_quality
 
 # --- text quality -----------------------------------------------------------------------------------
 
@@ -286,11 +286,6 @@ def link_targets(spark, sf_dir):
     return html_blocks.link_targets(sources.table(spark, sf_dir, "pages").withColumn("more", F.when(url.isNotNull(), made)))
 
 
-@query("SELECT page_id, len(t) AS entries, len(t) >= 2 AND len(t) <= 30 AND len(list_distinct(t)) * 2 > len(t) AS navigation FROM (SELECT page_id, regexp_extract_all(html, '<li>([^<]*)', 1) AS t FROM pages WHERE html IS NOT NULL)")
-def outline_navigation(spark, sf_dir):
-    return html_blocks.outline_navigation(sources.table(spark, sf_dir, "pages"))
-
-
 @query(r"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM pages WHERE html IS NOT NULL)")
 def page_text(spark, sf_dir):
     return html_blocks.plain_text_length(sources.table(spark, sf_dir, "pages"))
@@ -320,20 +315,6 @@ def run_diff(spark, sf_dir):
 _BLOCKS = "CASE WHEN length(line) < 40 THEN 'heading' ELSE 'paragraph' END"
 
 
-@query(
-    f"""WITH {sources.DOC_LINES_SQL}, b AS (SELECT doc_id, line_no AS seq, {_BLOCKS} AS kind, length(line) % 8 AS level, line FROM doc_lines)
-SELECT doc_id, seq, 'heading_level' AS code FROM b WHERE kind = 'heading' AND level NOT BETWEEN 1 AND 6 UNION ALL SELECT doc_id, seq, 'empty_text' FROM b WHERE length(trim(line)) = 0"""
-)
-def model_violations(spark, sf_dir):
-    lines = sources.doc_lines(spark, sf_dir)
-    return checks.model_violations(lines.select("doc_id", F.col("line_no").alias("seq"), F.expr(_BLOCKS).alias("kind"), (F.length("line") % 8).alias("level"), F.col("line").alias("text")))
-
-
-@query()
-def spine_pack(spark, sf_dir):
-    return checks.spine_pack(sources.table(spark, sf_dir, "documents"))
-
-
 @query(
     """WITH t AS (SELECT user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events)
 SELECT user_id, count(*) AS n_breaks FROM t WHERE value < top GROUP BY user_id"""
@@ -347,30 +328,6 @@ def progress_monotone(spark, sf_dir):
 _ITEMS = "SELECT doc_id, page_no, row_no + 8 * page_no AS seq, CASE WHEN length(line) % 3 = 0 THEN 'letter' ELSE 'number' END AS family, CASE WHEN row_no % 6 = 0 THEN 1 ELSE length(line) % 4 + row_no END AS value FROM {lines}"
 
 
-@query(
-    f"""WITH {sources.DOC_PAGES_SQL}, i AS ({_ITEMS.format(lines='doc_pages')}),
-m AS (SELECT *, value - lag(value) OVER w AS step, page_no - lag(page_no) OVER w AS pages FROM i WINDOW w AS (PARTITION BY doc_id, family ORDER BY seq)),
-o AS (SELECT *, CASE WHEN step IS NULL OR value = 1 OR step NOT BETWEEN 1 AND 2 OR pages > 1 THEN 1 ELSE 0 END AS opens FROM m),
-r AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, family ORDER BY seq) AS run FROM o)
-SELECT doc_id, family, CAST(min(seq) AS INTEGER) AS first_seq, count(*) AS n, coalesce(bool_and(step = 1) FILTER (opens = 0), true) AND count(*) >= 2 AS is_list FROM r GROUP BY doc_id, family, run"""
-)
-def list_runs(spark, sf_dir):
-    lines = sources.doc_pages(spark, sf_dir)
-    family = F.when(F.length("line") % 3 == 0, "letter").otherwise("number")
-    value = F.when(F.col("row_no") % 6 == 0, 1).otherwise(F.length("line") % 4 + F.col("row_no"))
-    return lists_notes.list_runs(lines.select("doc_id", "page_no", (F.col("row_no") + 8 * F.col("page_no")).alias("seq"), family.alias("family"), value.alias("value")))
-
-
-@query(
-    f"""WITH {sources.DOC_PAGES_SQL}, k AS (SELECT doc_id, page_no, row_no, length(line) % 9 AS number FROM doc_pages),
-o AS (SELECT doc_id, page_no, number, min(row_no) AS note_row FROM k WHERE row_no >= 5 GROUP BY ALL HAVING count(*) = 1)
-SELECT doc_id, page_no, row_no, note_row FROM k JOIN o USING (doc_id, page_no, number) WHERE row_no < 5"""
-)
-def note_links(spark, sf_dir):
-    lines = sources.doc_pages(spark, sf_dir).select("doc_id", "page_no", "row_no", (F.length("line") % 9).alias("number"))
-    return lists_notes.note_links(lines.where("row_no < 5"), lines.where("row_no >= 5"))
-
-
 @query()
 def page_order(spark, sf_dir):
     # two columns: even rows stand left, odd rows right
@@ -389,7 +346,7 @@ def xml_text(spark, sf_dir):
     return sources.table(spark, sf_dir, "pages").select("page_id", F.md5(X.xml_text(F.col("html"))).alias("digest"))
 
 
-from . import catalog_judges, catalog_layout, catalog_rules  # noqa: E402, F401  (they register their queries)
+from . import catalog_blocks, catalog_judges, catalog_layout, catalog_rules  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,14 +1,12 @@
-"""Evaluation operators: contracts, run comparison, model validity, packing."""
+"""Evaluation operators: contracts and run comparison."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Phrases the content contract asks for.
 CONTRACT = ("all rights reserved", "licensed under the apache license", "privacy policy", "the and attion to")
-PACK_BYTES = 60_000
 
 
 def contract_checks(documents: DataFrame, phrases: tuple[str, ...] = CONTRACT) -> DataFrame:
@@ -27,32 +25,3 @@ def run_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     both = a.join(b, a["doc_id"] == b["other"], "full")
     change = F.when(F.col("doc_id").isNull(), "added").when(F.col("other").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.select(F.coalesce("doc_id", "other").alias("doc_id"), change.alias("change")).where("change IS NOT NULL")
-
-
-def model_violations(blocks: DataFrame) -> DataFrame:
-    """Violations of the block model: heading levels outside 1-6, empty text, marks out of order."""
-    codes = F.array_compact(
-        F.array(
-            F.when((F.col("kind") == "heading") & ~F.col("level").between(1, 6), "heading_level"),
-            F.when(F.length(F.trim("text")) == 0, "empty_text"),
-            F.when((F.col("kind") == "listItem") & (F.col("level") < 0), "list_level"),
-        )
-    )
-    return blocks.select("doc_id", "seq", F.explode(codes).alias("code"))
-
-
-def spine_pack(documents: DataFrame, most: int = PACK_BYTES, buckets: int = 64) -> DataFrame:
-    """doc_id, file: documents in order fill files of at most ``most`` bytes; a fold within one bucket of ids."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id")
-        files, used, number = [], 0, 0
-        for size in group["n_bytes"]:
-            if used and used + size > most:
-                number, used = number + 1, 0
-            used += size
-            files.append(number)
-        return pd.DataFrame({"doc_id": group["doc_id"], "bucket": group["bucket"], "file": files})
-
-    sized = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.floor(F.col("doc_id") / buckets).cast("long").alias("bucket"))
-    return sized.groupBy("bucket").applyInPandas(fold, "doc_id long, bucket long, file int")

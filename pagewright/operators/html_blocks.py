@@ -34,13 +34,14 @@ def link_targets(pages: DataFrame) -> DataFrame:
 
 
 def outline_navigation(pages: DataFrame) -> DataFrame:
-    """Pages whose list entries have the shape of a navigation outline."""
+    """Pages whose links have the shape of a navigation outline: page_id, entries, titles, depth, navigation."""
     from ..plans import is_navigation
 
-    titles = F.regexp_extract_all("html", F.lit("<li>([^<]*)"), F.lit(1))
-    held = pages.where("html IS NOT NULL").select("page_id", titles.alias("t"))
-    fits = is_navigation(F.size("t"), F.size(F.array_distinct("t")), F.lit(10), F.lit(1))
-    return held.select("page_id", F.size("t").cast("bigint").alias("entries"), fits.alias("navigation"))
+    links = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), F.lit(1))
+    each = pages.where("html IS NOT NULL").select("page_id", F.posexplode(links).alias("i", "title"))
+    depth = F.when((F.col("i") + 1) % 5 == 0, F.col("page_id") % 5).otherwise(1)
+    shape = each.groupBy("page_id").agg(F.count("*").alias("entries"), F.countDistinct("title").alias("titles"), F.max(depth).cast("int").alias("depth"))
+    return shape.withColumn("navigation", is_navigation(F.col("entries"), F.col("titles"), F.col("page_id") % 4, F.col("depth")))
 
 
 def plain_text_length(pages: DataFrame) -> DataFrame:

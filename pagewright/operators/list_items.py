@@ -112,6 +112,11 @@ class Builder:
         self.heading, self.shaped_page, self.entry = "", None, None
 
     def accept(self, block: Block) -> None:
+        """Take the next block; runs that ended ``HORIZON`` pages ago are judged by what is known by now."""
+        self._take(block)
+        self.settle(block.page - HORIZON)
+
+    def _take(self, block: Block) -> None:
         self.blocks.append(block)
         if block.kind == "heading":
             self.heading = block.text
@@ -150,6 +155,8 @@ class Builder:
     def settle(self, page: int | None = None) -> list[Run]:
         """Judge the runs whose last member stands on ``page`` or before it (all, without a page)."""
         done = [r for r in self.runs if page is None or r.last.page <= page]
+        if not done:
+            return done
         for run in done:
             self._judge(run)
         self.runs = [r for r in self.runs if not any(r is d for d in done)]
@@ -275,8 +282,6 @@ class ListStream:
     def page(self, blocks: list[Block]) -> list[Block]:
         for block in blocks:
             self.builder.accept(block)
-        if blocks:
-            self.builder.settle(blocks[-1].page - HORIZON)
         return self._settled()
 
     def finish(self) -> list[Block]:

@@ -1,4 +1,4 @@
-"""Page evidence: furniture, margin slots, folios, body size, leading, label styles.
+"""Page evidence: recurring lines, margin slots, body size, leading, label styles.
 
 Windows are partitioned by document (or document and signature), so a group never exceeds
 one document; sums that span documents are partial aggregates.
@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN_LENGTH = 3
-RUN_GAP = 2
 SLOT_FLOOR = 6
 PAIRS_FLOOR = 4
 
@@ -26,18 +24,7 @@ def recurring_lines(lines: DataFrame) -> DataFrame:
     per = marked.distinct().groupBy("lang", "signature").agg(F.count("*").alias("n_docs"))
     total = lines.select("lang", "doc_id").distinct().groupBy("lang").agg(F.count("*").alias("docs"))
     floor = F.greatest(F.lit(3), F.floor((F.col("docs") + 1) / 200))
-    return per.join(F.broadcast(total), "lang").where(F.col("n_docs") >= floor).select("lang", "signature", "n_docs")
-
-
-def furniture_runs(pages: DataFrame) -> DataFrame:
-    """Runs of a signature in one slot over consecutive or alternating pages: islands whose gaps are at most RUN_GAP."""
-    found = pages.select("doc_id", "page_no", "row_no", signature(F.col("line")).alias("signature")).where("signature IS NOT NULL AND row_no < 2")
-    slot = Window.partitionBy("doc_id", "row_no", "signature").orderBy("page_no")
-    gap = F.col("page_no") - F.lag("page_no").over(slot)
-    found = found.withColumn("new", (gap.isNull() | (gap > RUN_GAP)).cast("int"))
-    found = found.withColumn("run", F.sum("new").over(slot.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = found.groupBy("doc_id", "row_no", "signature", "run").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("n"))
-    return runs.where(F.col("n") >= RUN_LENGTH).select("doc_id", "row_no", "signature", "first_page", "last_page", "n")
+    return per.join(total, "lang").where(F.col("n_docs") >= floor).select("lang", "signature", "n_docs")
 
 
 def margin_slots(pages: DataFrame) -> DataFrame:
@@ -48,14 +35,6 @@ def margin_slots(pages: DataFrame) -> DataFrame:
     return slots.join(count, "doc_id").where(F.col("filled") >= floor).select("doc_id", "row_no", "filled")
 
 
-def folio_offsets(pages: DataFrame) -> DataFrame:
-    """Offsets between numbers printed first or last on a line and the line's page."""
-    words = F.split(F.col("line"), " ")
-    ends = pages.select("doc_id", "page_no", F.explode(F.array_distinct(F.array(F.element_at(words, 1), F.element_at(words, -1)))).alias("w"))
-    numbers = ends.where(F.col("w").rlike("^[0-9]{1,6}$")).select("doc_id", "page_no", (F.col("w").cast("int") - F.col("page_no")).alias("offset"))
-    return numbers.distinct().groupBy("doc_id", "offset").agg(F.count("*").alias("n_pages"))
-
-
 def body_size(pages: DataFrame) -> DataFrame:
     """The size most characters are set in, ties to the smaller; established with 3 lines and 200 characters."""
     weights = pages.groupBy("doc_id", "size").agg(F.sum(F.length("line")).alias("chars"), F.count("*").alias("lines"))
@@ -77,20 +56,3 @@ def label_styles(pages: DataFrame) -> DataFrame:
     """Bold styles that stand on three pages of a document at least."""
     styles = pages.where("bold").groupBy("doc_id", F.round(F.col("size") * 2).cast("int").alias("size_key")).agg(F.countDistinct("page_no").alias("n_pages"))
     return styles.where("n_pages >= 3")
-
-
-def line_height_quartile(pages: DataFrame) -> DataFrame:
-    """Per size, the entry at index n / 4 of the sorted line lengths, without gathering a size's lines."""
-    order = Window.partitionBy("doc_id", "size").orderBy(F.length("line"), "page_no", "row_no")
-    ranked = pages.withColumn("k", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "size")))
-    return ranked.where(F.col("k") == F.floor(F.col("n") / 4) + 1).select("doc_id", "size", F.length("line").alias("value"))
-
-
-def drop_furniture(pages: DataFrame, runs: DataFrame) -> DataFrame:
-    """Lines that no run covers; a page that would be left empty stays whole."""
-    keyed = pages.withColumn("signature", signature(F.col("line")))
-    covered = keyed.join(runs.select("doc_id", "row_no", "signature", "first_page", "last_page"), ["doc_id", "row_no", "signature"])
-    covered = covered.where(F.col("page_no").between(F.col("first_page"), F.col("last_page"))).select("doc_id", "page_no", "row_no").distinct().withColumn("gone", F.lit(True))
-    marked = pages.join(covered, ["doc_id", "page_no", "row_no"], "left")
-    left = marked.withColumn("kept", F.sum(F.when(F.col("gone").isNull(), 1).otherwise(0)).over(Window.partitionBy("doc_id", "page_no")))
-    return left.where("gone IS NULL OR kept = 0").groupBy("doc_id", "page_no").agg(F.count("*").alias("n_lines"))

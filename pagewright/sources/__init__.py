@@ -176,3 +176,25 @@ every AS (SELECT doc_id, p + 1 AS page_no, row_no, CASE WHEN title THEN CAST(p /
   UNION ALL SELECT doc_id, p + 1, 99, CAST(p + 1 AS VARCHAR), 290.0, 30.0 + (p % 7) * 3.0, 9.0, false FROM pages),
 layout_lines AS (SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(row_no AS INTEGER) AS row_no, text, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(size AS DOUBLE) AS size, bold, least(450.0, length(text) * CAST(size AS DOUBLE) * 0.5) AS w, CAST(size AS DOUBLE) * 1.2 AS h FROM every)"""
 )
+
+
+def list_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, seq, page, kind, text, recognized, edge, size: lines as blocks, each five in a row a list of one kind, or prose.
+
+    Numbers skip in every seventh group; each page opens with its mark, and every fifth page with a heading.
+    """
+    lines = doc_lines(spark, sf_dir).where("line <> ''")
+    n, doc = F.col("line_no"), F.coalesce("doc_id", F.lit(0))
+    group, at = F.floor(n / 5), n % 5
+    family = (doc + group) % 6
+    value = at + 1 + F.when(((doc + group) % 7 == 3) & (at >= 2), 1).otherwise(0)
+    letter = F.get(F.array(*[F.lit(c) for c in "abcdef"]), value.cast("int") - 1)
+    marker = F.when(family == 0, "• ").when(family == 1, F.concat(value.cast("string"), F.lit(". "))).when(family == 2, F.concat(value.cast("string"), F.lit(") "))).when(family == 3, F.concat(letter, F.lit(". "))).when(family == 4, "- ")
+    page = (F.floor(n / LINES_PER_PAGE) + 1).cast("int")
+    text = F.concat(F.coalesce(marker, F.lit("")), "line")
+    items = lines.select("doc_id", (n * 3 + 2).cast("int").alias("seq"), page.alias("page"), F.when(marker.isNull(), "paragraph").otherwise("preformatted").alias("kind"), text.alias("text"), F.lit(False).alias("recognized"), F.when(family == 3, 90.0).otherwise(72.0).alias("edge"), F.lit(11.0).alias("size"))
+    first = items.groupBy("doc_id", "page").agg(F.min("seq").alias("s"))
+    none = F.lit(None).cast("double")
+    marks = first.select("doc_id", (F.col("s") - 2).alias("seq"), "page", F.lit("page").alias("kind"), F.lit("").alias("text"), F.lit(False).alias("recognized"), none.alias("edge"), none.alias("size"))
+    heads = first.where("page % 5 = 0").select("doc_id", (F.col("s") - 1).alias("seq"), "page", F.lit("heading").alias("kind"), F.lit("Some Exercises").alias("text"), F.lit(False).alias("recognized"), none.alias("edge"), none.alias("size"))
+    return items.unionByName(marks).unionByName(heads)

@@ -33,15 +33,6 @@ def test_query_equals_sql(spark, database, name):
     assert sorted(map(str, got)) == sorted(str(tuple(plain(v) for v in r)) for r in want)
 
 
-def test_spine_files_keep_their_bound(spark):
-    documents = spark.createDataFrame([(i, "x" * (i % 9) * 10_000) for i in range(50)] + [(60, None)], "doc_id long, text string")
-    rows = catalog.checks.spine_pack(documents, most=60_000, buckets=1000).collect()
-    used: dict[int, list[int]] = {}
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        used.setdefault(r["file"], []).append(0 if r["doc_id"] == 60 else (r["doc_id"] % 9) * 10_000)
-    assert len(rows) == 51 and all(sum(v) <= 60_000 or len(v) == 1 for v in used.values())
-
-
 def test_entry_runs_without_the_training_subpackage(spark):
     import __spark_entry__
 
@@ -59,28 +50,3 @@ def test_reading_order_takes_columns_before_rows():
     heading = [(0, 140, 200, 12), *mixed]
     assert ordered(heading, 11)[0] == 0 and ordered(heading, 11)[1:6] == [1, 3, 5, 7, 9]
     assert ordered([], 11) == []
-
-
-def test_numbered_outline_reads_every_row(spark, tmp_path):
-    at = lambda lines: "\n".join(lines.get(i, "some text of 7 words") for i in range(24))
-    texts = {
-        1: at({1: "1 Introduction", 11: "2 Method", 20: "4 Results"}),  # rows 1, 3 and 4 of their pages
-        2: at({0: "1 Introduction", 6: "9 Appendix", 13: "2 Method", 16: "3 Results"}),  # row 6 breaks the numbering
-        3: at({0: "1 of many", 5: "2. Listed item", 8: "3 Ends a sentence."}),  # no titles
-        4: at({2: "1 First", 9: "2 Second"}),  # too few
-    }
-    spark.createDataFrame(list({k: (k, "en", t) for k, t in texts.items()}.values()), "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert [tuple(r) for r in catalog.queries()["numbered_outline"](spark, str(tmp_path)).collect()] == [(1, 3)]
-
-
-def test_markers_and_values_of_every_line(spark, tmp_path):
-    text = "\n".join([*catalog._SAMPLES, *catalog._VALUES])
-    spark.createDataFrame([(1, "en", text), (2, "en", None), (3, "de", "7) seven\nplain\n(2)")], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    read = lambda name: {(r[0], r[1]): tuple(r)[2:] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
-    markers, values = read("line_markers"), read("line_values")
-    assert len(markers) == len(values) == len(catalog._SAMPLES) + len(catalog._VALUES) + 3
-    at = len(catalog._SAMPLES)
-    assert {(1, r["id"]): (r["family"], r["value"]) for r in catalog.list_markers(spark, "").collect()}.items() <= markers.items()
-    assert {(1, r["id"] + at): (r["is_value"],) for r in catalog.value_cells(spark, "").collect()}.items() <= values.items()
-    assert [markers[3, i] for i in range(3)] == [("number", 7), (None, None), (None, None)]
-    assert [values[3, i] for i in range(3)] == [(False,), (False,), (True,)]
