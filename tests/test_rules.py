@@ -152,3 +152,25 @@ def test_windows_of_a_stream(spark, tmp_path):
     run = windowed_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((r["window"]["start"].hour, r["event_type"], r["n"]) for r in spark.table("windows").collect()) == [(0, "a", 2), (0, "b", 1), (1, "a", 1), (1, "b", 2), (2, "a", 2), (2, "b", 1)]
+
+
+def test_styled_text(spark):
+    from pagewright.operators import inline
+
+    kind = "array<struct<text:string,style:int,href:string>>"
+    runs = [("ab ", 2, None), ("cd", 3, "u"), (" ", 0, None), ("ef", 0, "u"), ("gh ", 8, None)]
+    frame = spark.createDataFrame([(1, runs), (2, []), (3, [("  x ", 2, None), (" ", 0, None)])], f"i int, r {kind}")
+
+    def of(column):
+        return [r[0] for r in frame.orderBy("i").select(column).collect()]
+
+    r = F.col("r")
+    assert of(inline.plain_text(r)) == ["ab cd efgh ", "", "  x  "]
+    assert [[tuple(x) for x in v] for v in of(inline.trimmed(r))] == [[*runs[:4], ("gh", 8, None)], [], [("x", 2, None)]]
+    assert [tuple(x) for x in of(inline.dropped(r, F.lit(4)))[0]] == [("d", 3, "u"), *runs[2:]]
+    assert [tuple(x) for x in of(inline.links_merged(r))[0]] == [runs[0], ("cd ef", 3, "u"), runs[4]]
+    assert of(inline.divided_at(r, F.lit(4))) == [False, False, True] and of(inline.divided_at(r, F.lit(3))) == [True, False, True]
+    assert of(inline.wholly_bold(r)) == [False, True, True]
+    assert of(inline.markup(r))[0] == '<strong>ab </strong><a href="u"><strong><em>cd</em></strong></a> <a href="u">ef</a><sup>gh </sup>'
+    assert of(inline.href(F.lit("page"), F.lit("7")))[0] == "page-7" + "-" * 42
+    assert len(of(inline.href(F.lit("note"), F.lit("n")))[0]) == 128 and of(inline.href(F.lit("external"), F.lit("a&b")))[0] == "a&amp;b"
