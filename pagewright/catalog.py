@@ -346,7 +346,7 @@ def xml_text(spark, sf_dir):
     return sources.table(spark, sf_dir, "pages").select("page_id", F.md5(X.xml_text(F.col("html"))).alias("digest"))
 
 
-from . import catalog_blocks, catalog_compare, catalog_judges, catalog_layout, catalog_rules  # noqa: E402, F401  (they register their queries)
+from . import catalog_blocks, catalog_compare, catalog_geometry, catalog_judges, catalog_layout, catalog_rules  # noqa: E402, F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
