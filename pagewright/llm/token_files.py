@@ -46,14 +46,16 @@ _HASH_BITS = 18
 BLOCK_SCHEMA = "shard int, base long, n_ids long, first_new int, rules binary, lengths binary, sequence binary, doc_ids array<long>, doc_tokens array<long>"
 
 
-def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent pairs of neighbours (64-bit keys, most frequent first), and their places with each place's rank.
+def _frequent(seq: np.ndarray, least: int, most: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs of neighbours (64-bit keys, most frequent first), and their places with each place's rank; only
+    pairs that begin at ``where`` count, if it is given.
 
     Pairs are counted in hashed slots; a slot stands for one pair that fell into it, and
     that pair is then counted exactly.  Where no slot's pair is frequent, a frequent one may
     have lost its slot, so the places in full slots are sorted: none is left only if none is found.
     """
-    keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    left, right = (seq[:-1], seq[1:]) if where is None else (seq[where], seq[where + 1])
+    keys = (left.astype(np.uint64) << np.uint64(32)) | right
     slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
     counts = np.bincount(slot, minlength=1 << _HASH_BITS)
     top = np.flatnonzero(counts >= least)
@@ -80,21 +82,28 @@ def _frequent(seq: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.nd
     rank = np.full(len(pair), -1, np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     rank = rank[at]
-    return pair[order], places[rank >= 0], rank[rank >= 0]
+    places, rank = places[rank >= 0], rank[rank >= 0]
+    return pair[order], places if where is None else where[places], rank
 
 
 def compress(ids: np.ndarray, pairs: int = PAIRS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """(first nonterminal, rules as pairs of symbols, expansion lengths, sequence).
 
+    After a round only pairs that hold one of its new symbols can have become frequent, so the next one looks beside those
+    places; where they give nothing the whole sequence is looked through, and if that gives nothing it is done.
+
     Of overlapping places the more frequent pair wins; in a run of one symbol every other place does.
     """
     seq = np.ascontiguousarray(ids, np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 1
-    rules, length_of = [], np.ones(first, np.int64)
+    rules, length_of, where = [], np.ones(first, np.int64), None
     while len(seq) >= 2:
-        found, places, rank = _frequent(seq, least, pairs)
+        found, places, rank = _frequent(seq, least, pairs, where)
         if not len(places):
-            break
+            if where is None:
+                break
+            where = None
+            continue
         best = np.full(len(seq) + 2, len(found), np.int32)  # best[i + 1]: rank of the pair that starts at i
         best[places + 1] = rank
         before, after = best[places], best[places + 2]
@@ -117,6 +126,9 @@ def compress(ids: np.ndarray, pairs: int = PAIRS, least: int = LEAST) -> tuple[i
         stay = np.ones(len(seq), bool)
         stay[places + 1] = False
         seq = seq[stay]
+        beside = np.zeros(len(seq) + 1, bool)  # places in order: each moves up by those before it
+        beside[places - np.arange(len(places)) + 1] = True
+        where = np.flatnonzero((beside[1:] | np.append(beside[2:], False))[:-1])
     return first, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), length_of[first:].astype(np.uint32), seq
 
 
