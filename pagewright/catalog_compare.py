@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import functions as X
 from . import sources
-from .operators import compare, inline
+from .operators import checks, compare, inline
 from .registry import query
 
 _RUNS = """b AS (SELECT doc_id, 'image-' || doc_id AS name, md5(coalesce(text, '')) AS sha, length(text) AS n, lang FROM documents WHERE doc_id % 10 <> 1),
@@ -178,3 +178,49 @@ def block_markup(spark, sf_dir):
     ident = F.concat(F.lit("h"), n.cast("string"), F.when(n % 5 == 0, '"').otherwise(""))
     html = inline.block_markup(kind, X.xml_text(F.col("line")), 1 + n % 4, ident, X.reads_right_to_left(F.col("line")))
     return sources.doc_lines(spark, sf_dir).select("doc_id", "line_no", html.alias("html"))
+
+
+# --- contracts of content --------------------------------------------------------------------------------------
+
+_KINDS = "['heading', 'paragraph', 'aside', 'quotation', 'preformatted']"
+_CONTRACT_SQL = (
+    sources.DOC_LINES_SQL
+    + f""",
+nl AS (SELECT doc_id, line_no, line_no // 5 AS page, {_KINDS}[1 + line_no % 5] AS kind, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS text FROM doc_lines WHERE line <> ''),
+blocks AS (SELECT doc_id, page, kind, text FROM nl UNION ALL SELECT doc_id, page, 'page', string_agg(text, ' ' ORDER BY line_no) FROM nl GROUP BY doc_id, page),
+ph AS (SELECT doc_id, page, kind, line_no, trim(substring(text, 4, 14)) || CASE WHEN (doc_id + line_no) % 7 = 0 THEN '#x' ELSE '' END AS phrase, left(text, 10) || CASE WHEN (doc_id + line_no) % 7 = 1 THEN '#x' ELSE '' END AS opening FROM nl WHERE length(text) >= 8),
+expected AS (SELECT doc_id, page, CASE kind WHEN 'heading' THEN 'headings' WHEN 'paragraph' THEN 'paragraphs' WHEN 'aside' THEN 'asides' WHEN 'quotation' THEN 'quotations' ELSE 'preformatted' END AS "check", phrase FROM ph
+  UNION ALL SELECT doc_id, page, 'paragraphOpenings', opening FROM ph WHERE kind = 'paragraph' UNION ALL SELECT doc_id, page, 'text', phrase FROM ph WHERE line_no % 2 = 0
+  UNION ALL SELECT doc_id, page, 'absentText', phrase FROM ph WHERE line_no % 9 = 0 UNION ALL SELECT doc_id, page, 'absentPreformatted', phrase FROM ph WHERE line_no % 3 = 0)"""
+)
+
+
+def _contract(spark, sf_dir):
+    """Lines as blocks of five kinds, and expectations made of their own words, some of them spoilt."""
+    n, text = F.col("line_no"), F.trim(F.regexp_replace("line", "[ \\t]+", " "))
+    kind = F.get(F.array(*[F.lit(k) for k in ("heading", "paragraph", "aside", "quotation", "preformatted")]), n % 5)
+    lines = sources.doc_lines(spark, sf_dir).where("line <> ''").select("doc_id", "line_no", F.floor(n / 5).alias("page"), kind.alias("kind"), text.alias("text"))
+    pages = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("t"))
+    whole = pages.select("doc_id", "page", F.lit("page").alias("kind"), F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"))
+    d, t = F.col("doc_id"), F.col("text")
+    spoilt = lambda k: F.when((d + n) % 7 == k, "#x").otherwise("")
+    said = lines.where(F.length(t) >= 8).select("doc_id", "page", "kind", "line_no", F.concat(F.trim(F.substring(t, 4, 14)), spoilt(0)).alias("phrase"), F.concat(F.substring(t, 1, 10), spoilt(1)).alias("opening"))
+    of_kind = F.when(F.col("kind") == "preformatted", "preformatted").otherwise(F.concat("kind", F.lit("s")))
+    wants = lambda rows, check, phrase="phrase": rows.select("doc_id", "page", (F.lit(check) if isinstance(check, str) else check).alias("check"), F.col(phrase).alias("phrase"))
+    expected = wants(said, of_kind).unionByName(wants(said.where("kind = 'paragraph'"), "paragraphOpenings", "opening")).unionByName(wants(said.where(n % 2 == 0), "text"))
+    expected = expected.unionByName(wants(said.where(n % 9 == 0), "absentText")).unionByName(wants(said.where(n % 3 == 0), "absentPreformatted"))
+    return expected, lines.select("doc_id", "page", "kind", "text").unionByName(whole)
+
+
+@query(
+    f"""WITH {_CONTRACT_SQL}, e AS (SELECT DISTINCT *, CASE "check" WHEN 'text' THEN 'page' WHEN 'absentText' THEN 'page' WHEN 'headings' THEN 'heading' WHEN 'asides' THEN 'aside' WHEN 'quotations' THEN 'quotation' WHEN 'preformatted' THEN 'preformatted' WHEN 'absentPreformatted' THEN 'preformatted' ELSE 'paragraph' END AS kind FROM expected),
+m AS (SELECT e.doc_id, e.page, e."check", e.phrase, coalesce(bool_or(CASE WHEN e."check" = 'paragraphOpenings' THEN starts_with(b.text, e.phrase) ELSE contains(b.text, e.phrase) END), false) AS found FROM e LEFT JOIN blocks b ON b.doc_id = e.doc_id AND b.page = e.page AND b.kind = e.kind GROUP BY ALL)
+SELECT doc_id, page, "check", phrase FROM m WHERE found = starts_with("check", 'absent')"""
+)
+def content_violations(spark, sf_dir):
+    return checks.content_violations(*_contract(spark, sf_dir))
+
+
+@query(f'WITH {_CONTRACT_SQL} SELECT "check", count(*) AS n, count(DISTINCT (doc_id, page)) AS pages, count(DISTINCT doc_id) AS documents FROM expected GROUP BY "check"')
+def check_census(spark, sf_dir):
+    return checks.check_census(_contract(spark, sf_dir)[0])

@@ -174,3 +174,24 @@ def test_styled_text(spark):
     assert of(inline.markup(r))[0] == '<strong>ab </strong><a href="u"><strong><em>cd</em></strong></a> <a href="u">ef</a><sup>gh </sup>'
     assert of(inline.href(F.lit("page"), F.lit("7")))[0] == "page-7" + "-" * 42
     assert len(of(inline.href(F.lit("note"), F.lit("n")))[0]) == 128 and of(inline.href(F.lit("external"), F.lit("a&b")))[0] == "a&amp;b"
+
+
+def test_phrases_across_files(spark):
+    from pagewright.operators.checks import spine_crossings
+
+    files = spark.createDataFrame([(1, 1, "a b. c"), (1, 2, "d e"), (1, 3, "c f")], "doc_id long, file int, text string")
+    joins = spark.createDataFrame([(1, 0, "a", "b."), (1, 1, "b.", "a"), (1, 2, "b.", "d"), (1, 3, "a", "f"), (1, 4, "a", "c"), (1, 5, "a", "zz")], "doc_id long, ord int, before string, after string")
+    got = {r["ord"]: r["verdict"] for r in spine_crossings(joins, files).collect()}
+    assert got == {0: "inside", 1: "disordered", 2: "across", 3: "apart", 4: "repeated", 5: "repeated"}
+
+
+def test_word_classes(spark):
+    from pagewright.operators import word_classes
+
+    lines = [(1, 0, "The dog's don't a 12th 3 mis- xq zzq"), (1, 1, "I a"), (1, 2, "McDonald NATO Привет wo rd b"), (2, 0, "")]
+    known = spark.createDataFrame([(w,) for w in ("the", "dog", "do", "word")], "word string")
+    got = {r["doc_id"]: r.asDict() for r in word_classes.word_counts(spark.createDataFrame(lines, "doc_id long, line_no int, line string"), known).collect()}
+    # the, dog, do and a are known; I and a stand alone on their line; wo and rd join to a known word
+    assert {k: got[1][k] for k in ("tokens", "numeric_tokens", "number_tokens", "english", "neutral", "lonely")} == {"tokens": 17, "numeric_tokens": 2, "number_tokens": 1, "english": 6, "neutral": 2, "lonely": 2}
+    assert (got[1]["damaged"], got[1]["misread"]) == (8, 2)  # th, mis, xq, zzq, a foreign word, wo, rd and b; of them mis and zzq are long enough and join to nothing
+    assert got[2]["tokens"] == got[2]["english"] == 0
