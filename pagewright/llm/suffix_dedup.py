@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import map_arrow, materialize, table
 from .pieces import ragged, texts_of
 from .windows import SPAN, slices, stretches
 
@@ -258,7 +258,7 @@ def repeated_ranges(documents: DataFrame, group: int = GROUP) -> DataFrame:
     owners = texts.select("text").mapInArrow(_owners, "owner long, n long, least long, most long").groupBy("owner").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     owners = materialize(owners.where("n > 1").select("owner", (F.col("least") == F.col("most")).alias("alike")), "dedup-owners")
     bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(owners))
-    likely = texts.mapInArrow(_likely(bitmap), "doc long, key long, first int, count int, owner long, content long, bytes binary")
+    likely = map_arrow(texts, _likely(bitmap), "doc long, key long, first int, count int, owner long, content long, bytes binary")
     found = materialize(likely.join(owners, "owner"), "dedup-found")
 
     whole = found.where("alike").select("doc", "key", F.col("first").alias("a"), (F.col("first") + F.col("count") + (SPAN - 1)).alias("b"))
@@ -266,8 +266,8 @@ def repeated_ranges(documents: DataFrame, group: int = GROUP) -> DataFrame:
     different = materialize(different, "dedup-different")
     crowds = different.groupBy("owner").agg(F.count("*").alias("k")).where(F.col("k") > group).select("owner")
     usual = different.join(crowds, "owner", "left_anti").repartition("owner").sortWithinPartitions("owner", "content")
-    parts = usual.mapInArrow(_expand, "owner long, content long, parts array<struct<a:int,b:int>>").select("owner", "content", F.inline("parts"))
-    each = different.join(crowds, "owner", "left_semi").mapInArrow(_hashed, "owner long, content long, n long, at int, h1 long, h2 long")
+    parts = map_arrow(usual, _expand, "owner long, content long, parts array<struct<a:int,b:int>>").select("owner", "content", F.inline("parts"))
+    each = map_arrow(different.join(crowds, "owner", "left_semi"), _hashed, "owner long, content long, n long, at int, h1 long, h2 long")
     again = each.groupBy("owner", "h1", "h2").agg(F.sum("n").alias("starts")).where("starts > 1").drop("starts")
     once = each.where("n = 1").join(again, ["owner", "h1", "h2"]).select("owner", "content", "at")
     island = F.col("at") - F.row_number().over(Window.partitionBy("owner", "content").orderBy("at"))
@@ -318,7 +318,7 @@ def remove_repeats(documents: DataFrame, keep: list[str], with_text: bool = Fals
     joined = joined.select(*[rows[c] for c in keep], "__text", "__ranges")
     fields = [f for f in joined.schema.fields if f.name not in ("__text", "__ranges")]
     extra = [T.StructField(n, t) for n, t in (("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType()), ("__sha", T.StringType()))] + [T.StructField("__kept_text", T.StringType())] * with_text
-    return joined.mapInArrow(_cut(len(keep), with_text), T.StructType(fields + extra))
+    return map_arrow(joined, _cut(len(keep), with_text), T.StructType(fields + extra))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
