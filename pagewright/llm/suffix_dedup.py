@@ -255,7 +255,7 @@ def _hashed(batches):
 def repeated_ranges(documents: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc, key, ranges): byte ranges [a, b) covered by repeated windows; key tells texts of one doc_id apart."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text")).where(F.length("text") >= SPAN)
-    owners = texts.select("text").mapInArrow(_owners, "owner long, n long, least long, most long").groupBy("owner").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    owners = map_arrow(texts.select("text"), _owners, "owner long, n long, least long, most long").groupBy("owner").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     owners = materialize(owners.where("n > 1").select("owner", (F.col("least") == F.col("most")).alias("alike")), "dedup-owners")
     bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(owners))
     likely = map_arrow(texts, _likely(bitmap), "doc long, key long, first int, count int, owner long, content long, bytes binary")
