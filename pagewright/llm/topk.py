@@ -6,7 +6,8 @@ holds: |d(q, p) - d(x, p)| <= d(q, x) for every pivot p.  Every vector is keyed
 nearest pivot and the annulus (distance range) it lies in.  For every query the annuli are
 sorted by the best score that the inequality leaves possible, and searched in that order, in
 rounds that reach ``GROWTH`` times as many vectors each.  After a round the k-th score is the
-bound, which only rises; a query is done at the first annulus that can't reach its bound.
+bound, which only rises; a query is done at the first annulus that can't reach its bound.  A round in
+which no query has an annulus left, as one annulus filled it before, ends nothing: the next one goes on.
 
 Pivots and annulus edges come from a bounded sample (``SAMPLE`` rows of smallest hash);
 every row is indexed and the result is exact whatever the pivots are.  What the driver
@@ -204,15 +205,14 @@ def top_k(embeddings: DataFrame, query_every: int = QUERY_EVERY, k: int = K) ->
             asked = queries.join(least, "query_id", "left")
         asks = map_arrow(asked, _asks(indexes, rings, after, upto), "query_id long, q array<long>, dim int, pivot int, ring int, parts int")
         asks = materialize(asks, "topk-asks")
-        if found is not None and asks.isEmpty():
-            break
-        part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-        grouped = asks.select("query_id", "q", "dim", "pivot", "ring", part).groupBy("dim", "pivot", "ring", "part", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-        met = grouped.join(blocks, ["dim", "pivot", "ring", "part"]).select("queries", "block")
-        scored = map_arrow(met, _pairs(k), "query_id long, vec_id long, score long")
-        if found is not None:
-            scored = scored.unionByName(found.select("query_id", "vec_id", "score"))
-        found = materialize(scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "topk-found")
+        if found is None or not asks.isEmpty():  # a large annulus may fill whole rounds: what lies behind it comes later
+            part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+            grouped = asks.select("query_id", "q", "dim", "pivot", "ring", part).groupBy("dim", "pivot", "ring", "part", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
+            met = grouped.join(blocks, ["dim", "pivot", "ring", "part"]).select("queries", "block")
+            scored = map_arrow(met, _pairs(k), "query_id long, vec_id long, score long")
+            if found is not None:
+                scored = scored.unionByName(found.select("query_id", "vec_id", "score"))
+            found = materialize(scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "topk-found")
         after, upto = upto, upto * GROWTH
     return found.select("query_id", "rank", "vec_id", "score")
 

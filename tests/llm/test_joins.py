@@ -128,6 +128,20 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_looks_on_where_one_ring_fills_whole_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk.Index.__init__, "__defaults__", (1, 2))  # two rings of about 1,500 vectors: more than the second round reaches
+    rng = np.random.default_rng(11)
+    vectors = rng.normal(0, 0.3, (3000, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    whole = np.floor(1024 * vectors).astype(np.int64)
+    scores = whole[::100] @ whole.T
+    want = set()
+    for q, row in zip(range(0, 3000, 100), scores, strict=True):
+        best = [i for i in np.lexsort((np.arange(3000), -row)).tolist() if i != q][:10]
+        want |= {(q, k, i, int(row[i])) for k, i in enumerate(best, 1)}
+    assert {tuple(r) for r in topk.top_k(frame).collect()} == want
+
+
 def test_top_k_of_large_components(spark):
     rows = [(1000, [3e6, 3e6]), (1, [2.0, 1.0]), (2, [-3.0, 1.0]), (2, [1.0, 1.0]), (3, [3e6, 2e6]), (1100, [1e25, -1e25, 1.0]), (3, [1e25, 1.0, 1.0])]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
