@@ -3,7 +3,7 @@
 The merges are one ``aggregate`` over a word's bytes.  Its state is an array with one 64-bit
 number a symbol, the rank of the pair it begins above its id, so the least number is the
 next merge and its first place is where; each step merges there and looks up the two
-new neighbours only.  A pair's rank is found in a literal rank map, an array of slots in
+new neighbours only.  A pair's rank is found in a rank map, an array of slots in
 which every pair of ids has one of two places (two halves of ``xxhash64``), so a look-up
 reads two slots whatever the vocabulary's size.
 
@@ -99,8 +99,8 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold(word: Column, slots: Column, n_slots: int, pairs: Column, last: Column) -> Column:
-    """Ids of a word given as an array of its byte values."""
+def fold(word: Column, numbers: Column, n_slots: int) -> Column:
+    """Ids of a word given as an array of its byte values; ``numbers``: see ``Folder``."""
     mask, low_bits = F.lit(n_slots - 1).cast("bigint"), F.lit(_ID).cast("bigint")
     none = F.lit(_NONE << 17).cast("bigint")
 
@@ -112,8 +112,8 @@ def fold(word: Column, slots: Column, n_slots: int, pairs: Column, last: Column)
                 def pick(e: Column, other: Column) -> Column:
                     return F.when(F.shiftright(e, 17) == key, F.shiftleft(e.bitwiseAND(low_bits), 17)).otherwise(other)
 
-                one = F.get(slots, h.bitwiseAND(mask).cast("int"))
-                two = F.get(slots, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
+                one = F.get(numbers, h.bitwiseAND(mask).cast("int"))
+                two = F.get(numbers, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
                 return pick(one, pick(two, none))
 
             return let(F.xxhash64(key), at)
@@ -133,29 +133,35 @@ def fold(word: Column, slots: Column, n_slots: int, pairs: Column, last: Column)
         return let(F.array_min(state), lambda low: F.when(low >= none, state).otherwise(merged(low)))
 
     edge = F.array(F.lit((_NONE << 17) | _EDGE).cast("bigint"))
-    start = F.concat(edge, F.transform(word, lambda b, i: F.coalesce(F.get(pairs, b * 256 + F.get(word, i + 1)), F.get(last, b))), edge)
+    start = F.concat(edge, F.transform(word, lambda b, i: F.get(numbers, F.coalesce(F.get(word, i + 1) + (b + 1) * 256, b) + n_slots)), edge)
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(low_bits).cast("int")))
 
 
 class Folder:
-    """The fold with its literals, for use in one expression."""
+    """The fold with its numbers, for use in one expression: the rank map's slots, then the symbols that each byte is as a
+    word's last one, then those that each byte is before each other byte.
 
-    def __init__(self, ranks: Ranks):
+    They come as a scalar subquery: a literal's 4 MB would stand in every description of a plan, and the driver keeps those.
+    """
+
+    def __init__(self, ranks: Ranks, spark: SparkSession):
         pairs, byte_ids = ranks.pairs(), ranks.byte_ids()
         slots = rank_slots(pairs)
         self.n = len(slots)
-        none = _NONE
-        self.slots = self._literal(slots)
-        self.pairs = self._literal((pairs.get((x, y), none) << 17) | x for x in byte_ids for y in byte_ids)
-        self.last = self._literal((none << 17) | x for x in byte_ids)
+        last = [(_NONE << 17) | x for x in byte_ids]
+        before = [(pairs.get((x, y), _NONE) << 17) | x for x in byte_ids for y in byte_ids]
+        numbers = pa.array(np.array(slots + last + before, np.int64))
+        one = pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), numbers)
+        self.numbers = spark.createDataFrame(pa.table({"numbers": one}))
 
-    @staticmethod
-    def _literal(values) -> Column:
-        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    def with_ids(self, rows: DataFrame, words: Column, name: str) -> DataFrame:
+        """``rows`` with the ids of each of an array of byte arrays.
 
-    def words(self, words: Column) -> Column:
-        """Ids of each of an array of byte arrays."""
-        return let(self.slots, lambda s: let(self.pairs, lambda p: let(self.last, lambda e: F.transform(words, lambda w: fold(w, s, self.n, p, e)))))
+        A subquery may not be written inside a higher-order function, so it is a column first; that is read once, so the
+        optimizer puts the subquery in its place, and no row carries it.
+        """
+        ids = let(F.col("__numbers"), lambda t: F.transform(words, lambda w: fold(w, t, self.n)))
+        return rows.withColumn("__numbers", self.numbers.scalar()).withColumn(name, ids).drop("__numbers")
 
 
 def merge_long(word: bytes, pairs: dict[tuple[int, int], int], byte_ids: list[int]) -> list[int]:
@@ -360,17 +366,17 @@ def _look_up(ranks: Ranks, head: Head, fields: list[pa.Field]):
 def encode(documents: DataFrame, ranks: Ranks, most: int = HEAD) -> DataFrame:
     """Rows of slices: doc_id and n_ids (arrays, one entry a document), seq (32-bit numbers: ids, or -1 - i for
     the i-th own word) and own (ids of the slice's own words)."""
-    folder = Folder(ranks)
+    folder = Folder(ranks, documents.sparkSession)
     common = common_words(materialize(word_counts(documents, ranks.pattern), "bpe-words"), most)
     values = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.conv(F.hex(F.substring("word", i, F.lit(1))), 16, 10).cast("int"))
-    found = common.select("word", F.get(folder.words(F.array(values)), F.lit(0)).alias("ids")).toArrow().combine_chunks()
+    found = folder.with_ids(common, F.array(values), "ids").select("word", F.get("ids", F.lit(0)).alias("ids")).toArrow().combine_chunks()
     words, ids = (found[c].chunk(0) if found[c].num_chunks else found[c].combine_chunks() for c in ("word", "ids"))
     head = documents.sparkSession.sparkContext.broadcast(Head(words.cast(pa.binary()), ids))
     rows = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     fields = [pa.field("doc_id", pa.null())]
     slices = map_arrow(rows, lambda batches: _look_up(ranks, head.value, fields)(batches), f"doc_id array<{kind}>, n_ids array<bigint>, seq binary, own array<array<int>>")
-    return slices.withColumn("own", folder.words(F.col("own")))
+    return folder.with_ids(slices, F.col("own"), "own")
 
 
 def _finish(ranks: Ranks):

@@ -97,6 +97,12 @@ def test_byte_bpe_equals_library(spark, docs):
     assert byte_bpe.encode_and_decode(docs.limit(0), ranks).count() == 0
 
 
+def test_byte_bpe_plans_do_not_hold_the_rank_map(spark, docs):
+    plan = byte_bpe.encode_and_decode(docs, byte_bpe.public_ranks())._jdf.queryExecution()
+    assert len(plan.toString()) < 100_000  # the driver keeps every plan's description
+    assert "__numbers" not in plan.executedPlan().toString()  # nor does any row
+
+
 def test_long_words_take_the_same_merges():
     ranks = byte_bpe.public_ranks()
     library = tiktoken.Encoding("own", pat_str=ranks.pattern, mergeable_ranks={t: i for i, t in enumerate(ranks.tokens) if t}, special_tokens={})
