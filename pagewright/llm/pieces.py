@@ -96,7 +96,7 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 class PieceStore:
-    """Ids of distinct pieces; ``encode(list of bytes)`` gives a list of uint32 arrays.
+    """Ids of distinct pieces; ``encode(list of bytes)`` gives (flat ids, each piece's start in them, its number of ids).
 
     ``most`` bounds the entries that are kept and ``longest`` a kept piece's bytes.
     """
@@ -110,18 +110,17 @@ class PieceStore:
         self.flat, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, ids: list[np.ndarray]) -> int:
+    def _add(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> int:
         """Append the ids of new pieces; their first number."""
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, first = int(lengths.sum()), self.count
+        total, first, n = len(flat), self.count, len(lengths)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(ids) > len(self.starts):
+        while first + n > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
-        self.starts[first : first + len(ids)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[first : first + len(ids)] = lengths
-        self.used, self.count = self.used + total, first + len(ids)
+        self.flat[self.used : self.used + total] = flat
+        self.starts[first : first + n] = self.used + starts
+        self.lengths[first : first + n] = lengths
+        self.used, self.count = self.used + total, first + n
         return first
 
     def of(self, column: pa.Array, slice_bytes: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -154,15 +153,17 @@ class PieceStore:
         """(flat ids, start, length) of each of the distinct pieces."""
         if len(self.place) > self.most:
             self.clear()
-        known = list(map(self.place.get, pieces))
-        fresh = [i for i, k in enumerate(known) if k is None]
-        if fresh:
-            first = self._add(self.encode([pieces[i] for i in fresh]))
-            for number, i in enumerate(fresh, first):
-                known[i] = number
-                if len(pieces[i]) <= self.longest:
-                    self.place[pieces[i]] = number
-        at = np.array(known, np.int64)
+        get = self.place.get
+        at = np.array([get(p, -1) for p in pieces], np.int64)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = [pieces[i] for i in fresh.tolist()]
+            first = self._add(*self.encode(new))
+            at[fresh] = first + np.arange(len(new))
+            if max(map(len, new)) <= self.longest:
+                self.place.update(zip(new, range(first, first + len(new)), strict=True))
+            else:
+                self.place.update((p, n) for n, p in enumerate(new, first) if len(p) <= self.longest)
         out = self.flat, self.starts[at], self.lengths[at]
         if self.used > 8 * self.most:  # long pieces have filled the store
             self.clear()

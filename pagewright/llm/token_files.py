@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, new_path, table
-from .pieces import PieceStore, ragged, texts_of
+from .pieces import PieceStore, ragged, simple, texts_of
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
@@ -55,19 +55,22 @@ def _frequent(seq: np.ndarray, least: int, most: int, where: np.ndarray | None =
     have lost its slot, so the places in full slots are sorted: none is left only if none is found.
     """
     left, right = (seq[:-1], seq[1:]) if where is None else (seq[where], seq[where + 1])
-    keys = (left.astype(np.uint64) << np.uint64(32)) | right
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
+    slot = ((left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)).view(np.int32)
+
+    def keys(at: np.ndarray) -> np.ndarray:
+        return (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
+
     counts = np.bincount(slot, minlength=1 << _HASH_BITS)
     top = np.flatnonzero(counts >= least)
     if len(top) > most:
         top = top[np.argpartition(-counts[top], most)[:most]]
     if not len(top):
-        return keys[:0], top, top
+        return np.zeros(0, np.uint64), top, top
     slot_of = np.full(1 << _HASH_BITS, -1, np.int32)
     slot_of[top] = np.arange(len(top), dtype=np.int32)
     at = slot_of[slot]
     places = np.flatnonzero(at >= 0)
-    at, here = at[places], keys[places]
+    at, here = at[places], keys(places)
     pair = np.zeros(len(top), np.uint64)
     pair[at] = here
     same = pair[at] == here
@@ -75,7 +78,7 @@ def _frequent(seq: np.ndarray, least: int, most: int, where: np.ndarray | None =
     exact = np.bincount(at, minlength=len(top))
     if exact.max() < least:
         places = np.flatnonzero(counts[slot] >= least)
-        pair, at, exact = np.unique(keys[places], return_inverse=True, return_counts=True)
+        pair, at, exact = np.unique(keys(places), return_inverse=True, return_counts=True)
     order = np.argsort(-exact, kind="stable")
     order = order[exact[order] >= least]
     order = order[:most]
@@ -104,9 +107,9 @@ def compress(ids: np.ndarray, pairs: int = PAIRS, least: int = LEAST) -> tuple[i
                 break
             where = None
             continue
-        best = np.full(len(seq) + 2, len(found), np.int32)  # best[i + 1]: rank of the pair that starts at i
-        best[places + 1] = rank
-        before, after = best[places], best[places + 2]
+        near = np.diff(places) == 1  # the next place is the next symbol
+        before, after = np.full(len(places), len(found), np.int32), np.full(len(places), len(found), np.int32)  # ranks of the pairs beside
+        before[1:], after[:-1] = np.where(near, rank[:-1], before[1:]), np.where(near, rank[1:], after[:-1])
         keep = (rank < before) & (rank <= after) | (rank == before) & (rank <= after)
         places, rank = places[keep], rank[keep]
         touching = np.diff(places, prepend=-2) == 1
@@ -121,14 +124,14 @@ def compress(ids: np.ndarray, pairs: int = PAIRS, least: int = LEAST) -> tuple[i
         left, right = (found[used] >> np.uint64(32)).astype(np.uint32), (found[used] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         rules.append(np.stack([left, right], 1))
         length_of = np.concatenate([length_of, length_of[left] + length_of[right]])
-        seq = seq.copy()
-        seq[places] = new_id[rank]
         stay = np.ones(len(seq), bool)
         stay[places + 1] = False
         seq = seq[stay]
-        beside = np.zeros(len(seq) + 1, bool)  # places in order: each moves up by those before it
-        beside[places - np.arange(len(places)) + 1] = True
-        where = np.flatnonzero((beside[1:] | np.append(beside[2:], False))[:-1])
+        moved = places - np.arange(len(places))  # places in order: each moves up by those before it
+        seq[moved] = new_id[rank]
+        where = np.stack([moved - 1, moved], 1).ravel()
+        where = where[np.diff(where, prepend=-2) > 0]
+        where = where[(where >= 0) & (where < len(seq) - 1)]
     return first, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), length_of[first:].astype(np.uint32), seq
 
 
@@ -179,24 +182,26 @@ def decode_range(first: int, rules: np.ndarray, lengths: np.ndarray, sequence: n
 _PARTING = "<|endoftext|>"
 
 
-#: A worker's store, kept for the next tasks of the same tokenizer.
-_STORES: dict[int, PieceStore] = {}
+#: A worker's store and its library for special literals, kept for the next tasks of the same tokenizer.
+_STORES: dict[int, tuple[PieceStore, _Special]] = {}
 
 
-def _store(tokenizer: str) -> PieceStore:
+def _store(tokenizer: str) -> tuple[PieceStore, _Special]:
     key = hash(tokenizer)
     if key not in _STORES:
         _STORES.clear()
-        _STORES[key] = PieceStore(library_encoder(tokenizer))
+        _STORES[key] = PieceStore(library_encoder(tokenizer)), _Special(tokenizer)
     return _STORES[key]
 
 
 def library_encoder(tokenizer: str):
-    """encode(list of distinct pieces) by the tokenizers library; ``tokenizer`` is its JSON text.
+    """encode(list of distinct pieces) by the tokenizers library (see ``PieceStore``); ``tokenizer`` is its JSON text.
 
     Short pieces go in one call, parted by the special token, which the library always
-    takes for itself; pieces that could hold its text go one by one with special tokens off.
+    takes for itself; those that are one match of the pattern for sure aren't searched for matches again.
+    Pieces that could hold the token's text go one by one with special tokens off.
     """
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -204,23 +209,39 @@ def library_encoder(tokenizer: str):
 
     plain, parted = Tokenizer.from_str(tokenizer), Tokenizer.from_str(tokenizer)
     plain.encode_special_tokens = True
-    parting = parted.token_to_id(_PARTING)
-
-    def encode(pieces: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(pieces)
-        joined = [i for i, p in enumerate(pieces) if len(p) <= 64 and b"<|" not in p] if parting is not None else []
-        for k in range(0, len(joined), 4096):
-            some = joined[k : k + 4096]
-            text = _PARTING.join([pieces[i].decode("utf-8", "replace") for i in some])
-            ids = np.array(parted.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            for i, x in zip(some, np.split(ids, np.flatnonzero(ids == parting)), strict=True):
-                out[i] = x if i == some[0] else x[1:]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for k in range(0, len(rest), 64):
-            some = rest[k : k + 64]
-            for i, e in zip(some, plain.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in some], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, np.uint32)
-        return out
+    parting, between = parted.token_to_id(_PARTING), _PARTING.encode()
+    uncut, spec = parted, json.loads(tokenizer)
+    step = spec.get("pre_tokenizer") or {}
+    if step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space"):
+        step["use_regex"] = False
+        uncut = Tokenizer.from_str(json.dumps(spec))
+
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        one = simple(np.frombuffer(b"".join(pieces), np.uint8), places)
+        short = np.array([len(p) <= 64 and b"<|" not in p for p in pieces], bool) & (parting is not None)
+        kind = np.where(short, np.where(one, 0, 1), 2)
+        order, flat, per = np.argsort(kind, kind="stable"), [], []
+        m, n = np.searchsorted(kind[order], [1, 2]).tolist()
+        for library, k, stop in [(uncut, k, min(k + 4096, m)) for k in range(0, m, 4096)] + [(parted, k, min(k + 4096, n)) for k in range(m, n, 4096)]:
+            some = [pieces[i] for i in order[k:stop].tolist()]
+            text = between.join(some).decode("utf-8", "replace")
+            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            parts = ids == parting
+            per.append(np.diff(np.append(np.flatnonzero(parts), len(ids)), prepend=-1) - 1)
+            if len(per[-1]) != len(some):
+                raise ValueError("pieces were not parted")
+            flat.append(ids[~parts])
+        for k in range(n, len(order), 64):
+            some = [pieces[i].decode("utf-8", "replace") for i in order[k : k + 64].tolist()]
+            found = [np.array(e.ids, np.uint32) for e in plain.encode_batch_fast(some, add_special_tokens=False)]
+            per.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat += found
+        lengths, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        if per:
+            lengths[order] = np.concatenate(per)
+            starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate(flat or [np.zeros(0, np.uint32)]), starts, lengths
 
     return encode
 
@@ -270,7 +291,7 @@ def _writer(tokenizer: str, end_id: int, block_ids: int):
     def encode(batches):
         from pyspark import TaskContext
 
-        store, special = _store(tokenizer), _Special(tokenizer)
+        store, special = _store(tokenizer)
         shard, base = TaskContext.get().partitionId(), 0
         held, docs, counts, total = [], [], [], 0
 

@@ -129,6 +129,17 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert token_files.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_pieces_are_encoded_as_the_library_does_and_the_library_is_loaded_once():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        text = file.read()
+    assert token_files._store(text) is token_files._store(text)
+    plain = Tokenizer.from_str(text)
+    plain.encode_special_tokens = True
+    odd = [" word", "Zürich", "x" * 100, " 12345", "'s", "don't", "<|endoftext|>", "<|", "  ", "\n\t", "a b", "日本 語", "×÷", "!?", " ", ""]
+    flat, starts, lengths = token_files.library_encoder(text)([p.encode() for p in odd])
+    assert [flat[a : a + n].tolist() for a, n in zip(starts, lengths, strict=True)] == [plain.encode(p, add_special_tokens=False).ids for p in odd]
+
+
 def test_token_files_take_special_literals_as_the_library_does(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
