@@ -40,7 +40,7 @@ from .windows import SPAN, slices, stretches
 #: Different stretches of one owner that form one text.
 GROUP = 2048
 #: Bytes of stretches that are sorted together.
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 1 << 18
 #: Bits of the bitmap of owners that repeat.
 BITS = 1 << 24
 

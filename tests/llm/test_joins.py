@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import components, decontaminate, ngram_join, suffix_dedup, topk, url_filter
@@ -112,6 +114,20 @@ def test_bounded_expansion():
         assert set(suffix_dedup.repeated_starts(parts, least).tolist()) == want
 
 
+def test_expansion_holds_little_at_a_time():
+    rng = random.Random(5)
+    rows = []
+    for owner in range(150):
+        base = bytes(rng.choices(b"abcdefgh ", k=420))
+        rows += [(owner, i, 1, base[i : i + 300]) for i in range(0, 120, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["owner", "content", "n", "bytes"])
+    tracemalloc.start()
+    found = sum(len(b) for b in suffix_dedup._expand([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(rows) and peak < 64 << 20  # 2.7 MB of stretches
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)], i % 3) for i in range(400)]
