@@ -41,6 +41,8 @@ from .windows import SPAN, slices, stretches
 GROUP = 2048
 #: Bytes of stretches that are sorted together.
 SORTED_BYTES = 1 << 18
+#: Stretches of an Arrow batch that goes back to the JVM: about 1 MB with their bytes.
+FOUND_ROWS = 4096
 #: Bits of the bitmap of owners that repeat.
 BITS = 1 << 24
 
@@ -195,15 +197,16 @@ def _likely(bitmap):
             if not len(text):
                 continue
             alike = np.unique(np.stack([owner, content], 1).view([("a", "u8"), ("b", "u8")]).ravel(), return_index=True)[1]
+            taken = np.zeros(len(text), bool)
+            taken[alike] = True
             starts = offsets[text] + first
-            taken = [None] * len(text)
-            held = data.tobytes()
-            for i, s, n in zip(alike.tolist(), starts[alike].tolist(), count[alike].tolist(), strict=True):
-                taken[i] = held[s : s + n - 1 + SPAN]
-            docs, keys = batch["doc"].take(pa.array(text)), batch["key"].take(pa.array(text))
-            columns = [docs, keys, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), _signed(owner), _signed(content), pa.array(taken, pa.binary())]
-            for k in range(0, len(text), 50_000):
-                yield pa.RecordBatch.from_arrays([c.slice(k, 50_000) for c in columns], schema=_FOUND)
+            stops = starts + count - 1 + SPAN
+            held = memoryview(data)
+            for k in range(0, len(text), FOUND_ROWS):  # bytes are copied for the rows of one batch at a time
+                some = slice(k, k + FOUND_ROWS)
+                bytes_taken = [held[a:b].tobytes() if t else None for t, a, b in zip(taken[some].tolist(), starts[some].tolist(), stops[some].tolist(), strict=True)]
+                docs, keys = (batch[c].take(pa.array(text[some])) for c in ("doc", "key"))
+                yield pa.RecordBatch.from_arrays([docs, keys, pa.array(first[some].astype(np.int32)), pa.array(count[some].astype(np.int32)), _signed(owner[some]), _signed(content[some]), pa.array(bytes_taken, pa.binary())], schema=_FOUND)
 
     return run
 

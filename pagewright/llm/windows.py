@@ -21,10 +21,27 @@ _BASE = np.uint64(0xD1B54A32D192ED03)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+_LOW = 10  # a power is the product of two, of a place's low bits and of the others: no worker holds a table of all places
+
+
+def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.full(1 << _LOW, base, np.uint64), np.full((1 << (_PLACE - _LOW)) + 1, pow(base, 1 << _LOW, 1 << 64), np.uint64)
+    low[0] = high[0] = 1
+    return np.cumprod(low, dtype=np.uint64), np.cumprod(high, dtype=np.uint64)
+
+
+_UP, _DOWN = _tables(int(_BASE)), _tables(pow(int(_BASE), -1, 1 << 64))
+
+
+def _first_powers(size: int, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    low, high = tables
+    return (high[: (size >> _LOW) + 1, None] * low).ravel()[:size]
+
+
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, size + 1 at least."""
+    """Powers of the base and of its inverse modulo 2**64, size + 1 of each."""
     if size <= 1 << _PLACE:
-        return _UP, _DOWN
+        return _first_powers(size + 1, _UP), _first_powers(size + 1, _DOWN)
     return _powers(size + 1)
 
 
@@ -35,9 +52,6 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-_UP, _DOWN = _powers((1 << _PLACE) + 1)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     x = (x ^ (x >> np.uint64(29))) * _BASE
@@ -97,14 +111,14 @@ def stretches(data: np.ndarray, offsets: np.ndarray):
     if not len(first):
         return none
     place = limit - (low[first] & np.uint64(limit)).astype(np.int64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _UP[: len(x)], dtype=np.uint64)])
-    content = (sums[first + count - 1 + SPAN] - sums[first]) * _DOWN[first]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _first_powers(len(x), _UP), dtype=np.uint64)])
+    content = (sums[first + count - 1 + SPAN] - sums[first]) * _DOWN[0][first & ((1 << _LOW) - 1)] * _DOWN[1][first >> _LOW]
     content = mixed(content + mixed((place - first).astype(np.uint64) * _STEP[1] + count.astype(np.uint64) * _STEP[2]))
     text = np.searchsorted(offsets, first, "right") - 1
     return text, first - offsets[text], count, grams[place], content
 
 
-def slices(offsets: np.ndarray, most: int = (1 << 19)):
+def slices(offsets: np.ndarray, most: int = (1 << 17)):
     """Ranges of texts that together hold few bytes."""
     begin, n = 0, len(offsets) - 1
     while begin < n:

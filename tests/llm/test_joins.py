@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagewright.llm import components, decontaminate, ngram_join, suffix_dedup, topk, url_filter
+from pagewright.llm import components, decontaminate, ngram_join, suffix_dedup, topk, url_filter, windows
 
 
 def lower(text):
@@ -128,6 +128,38 @@ def test_expansion_holds_little_at_a_time():
     assert found == len(rows) and peak < 64 << 20  # 2.7 MB of stretches
 
 
+def test_scans_hold_little_at_a_time():
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefgh \n", k=100_000))
+    texts = [text[i * 1000 :] + text[: i * 1000] for i in range(40)]  # 4 MB whose stretches all count as repeated
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array([t.encode() for t in texts])], names=["doc", "key", "text"])
+
+    class Full:
+        value = np.full(suffix_dedup.BITS // 64, (1 << 64) - 1, np.uint64)
+
+    for scan in (suffix_dedup._owners, suffix_dedup._likely(Full)):
+        tracemalloc.start()
+        largest = max(b.nbytes for b in scan([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24 << 20 and largest < 4 << 20
+    found = pa.Table.from_batches(suffix_dedup._likely(Full)([batch])).to_pylist()
+    assert [(r["doc"], r["first"]) for r in found] == sorted((r["doc"], r["first"]) for r in found)
+    assert all(r["bytes"] == texts[r["doc"]].encode()[r["first"] : r["first"] + r["count"] + 199] for r in found if r["bytes"] is not None)
+    several = {(r["owner"], r["content"]) for r in found}
+    assert sorted(several) == sorted((r["owner"], r["content"]) for r in found if r["bytes"] is not None)
+
+
+def test_powers_without_tables_of_all_places():
+    assert sum(x.nbytes for v in vars(windows).values() for x in (v if isinstance(v, tuple) else [v]) if isinstance(x, np.ndarray)) < 1 << 20
+    base, whole = int(windows._BASE), 1 << 64
+    for size in (0, 1, 1023, 1024, 70_000, 1 << 20, (1 << 20) + 1):
+        up, down = windows.powers(size)
+        assert len(up) == len(down) == size + 1
+        for i in {0, size // 3, size - size // 1024, size}:
+            assert int(up[i]) == pow(base, i, whole) and int(down[i]) == pow(base, -i, whole)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6)], i % 3) for i in range(400)]
