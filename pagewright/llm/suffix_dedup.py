@@ -75,26 +75,28 @@ def repeated_starts(pieces: list[bytes], least: int) -> np.ndarray:
     sizes = np.fromiter(map(len, pieces), np.int64, m)
     ends = np.cumsum(sizes + 1) - 1
     n = int(ends[-1]) + 1
-    symbols = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + m
+    symbols = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int32) + np.int32(m)
     symbols[ends] = np.arange(m)  # every end is a symbol of its own, below all bytes
-    order = suffix_array(symbols)
+    order = suffix_array(symbols).astype(np.int32)  # places fit 32 bits: half the memory
     transform = symbols[order - 1]
-    columns = np.argsort(transform, kind="stable")  # place in the first column -> place in the transform
-    to_first = np.empty(n, np.int64)
-    to_first[columns] = np.arange(n)
-    previous = np.full(n, -1)  # last place before with the same symbol
+    columns = np.argsort(transform, kind="stable").astype(np.int32)  # place in the first column -> place in the transform
+    to_first, all_places = np.empty(n, np.int32), np.arange(n, dtype=np.int32)
+    to_first[columns] = all_places
+    previous = np.full(n, -1, np.int32)  # last place before with the same symbol
     same = transform[columns[1:]] == transform[columns[:-1]]
     previous[columns[1:][same]] = columns[:-1][same]
-    following = np.full(n, n)
+    following = np.full(n, n, np.int32)
     following[columns[:-1][same]] = columns[1:][same]
+    del columns, same
 
     common = np.full(n + 1, -1, np.int32)
     common[: m + 1] = 0
     common[n] = 0
-    low, high = np.arange(m), np.arange(m)  # intervals of the ends
+    low, high = all_places[:m], all_places[:m]  # intervals of the ends
     first_symbol = symbols[order]
-    starts = np.flatnonzero(np.diff(first_symbol[m:], prepend=-1)) + m
-    stops = np.append(starts[1:], n) - 1
+    starts = (np.flatnonzero(np.diff(first_symbol[m:], prepend=-1)) + m).astype(np.int32)
+    stops = np.append(starts[1:], np.int32(n)) - np.int32(1)
+    del first_symbol
     fresh = common[stops + 1] < 0
     fresh[-1:] = True
     common[stops + 1] = 0
@@ -108,13 +110,13 @@ def repeated_starts(pieces: list[bytes], least: int) -> np.ndarray:
         low, high = low[~one], high[~one]
         if len(low):
             size = high - low + 1
-            places = ragged(np.arange(n), low, size)
+            places = ragged(all_places, low, size)
             at_low, at_high = np.repeat(low, size), np.repeat(high, size)
             letter = transform[places] >= m
             firsts = letter & (previous[places] < at_low)
             lasts = letter & (following[places] > at_high)
             # a symbol's first and last place of an interval, both in order of symbol within the interval
-            which = np.repeat(np.arange(len(low)), size)
+            which = np.repeat(all_places[: len(low)], size)
             a, b = places[firsts], places[lasts]
             a = a[np.lexsort((transform[a], which[firsts]))]
             b = b[np.lexsort((transform[b], which[lasts]))]
