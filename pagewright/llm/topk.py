@@ -14,7 +14,8 @@ every row is indexed and the result is exact whatever the pivots are.  What the
 holds is one line per annulus, ``PIVOTS * (ANNULI + 1)`` a dimension at most.  Annuli are split
 by a hash of vec_id into blocks of about ``BLOCK`` vectors and queries into chunks, and block
 and chunk meet in a join on annulus and block, so no task holds more than one of each at a time,
-and a vector that repeats in a third of all rows is spread as any other.
+and a vector that repeats in a third of all rows is spread as any other.  The joins say that they
+are merges: chunks, written as Parquet, look small beside what they are in memory, and would be broadcast.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no
 part; queries are scored against vectors of their own length; a vec_id that repeats among
@@ -202,13 +203,13 @@ def top_k(embeddings: DataFrame, query_every: int = QUERY_EVERY, k: int = K) ->
         asked = queries.withColumn("least", F.lit(None).cast("long"))
         if found is not None:
             least = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-            asked = queries.join(least, "query_id", "left")
+            asked = queries.join(least.hint("merge"), "query_id", "left")
         asks = map_arrow(asked, _asks(indexes, rings, after, upto), "query_id long, q array<long>, dim int, pivot int, ring int, parts int")
         asks = materialize(asks, "topk-asks")
         if found is None or not asks.isEmpty():  # a large annulus may fill whole rounds: what lies behind it comes later
             part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
             grouped = asks.select("query_id", "q", "dim", "pivot", "ring", part).groupBy("dim", "pivot", "ring", "part", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-            met = grouped.join(blocks, ["dim", "pivot", "ring", "part"]).select("queries", "block")
+            met = grouped.join(blocks.hint("merge"), ["dim", "pivot", "ring", "part"]).select("queries", "block")
             scored = map_arrow(met, _pairs(k), "query_id long, vec_id long, score long")
             if found is not None:
                 scored = scored.unionByName(found.select("query_id", "vec_id", "score"))

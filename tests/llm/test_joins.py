@@ -190,6 +190,20 @@ def test_top_k_looks_on_where_one_ring_fills_whole_rounds(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_k(frame).collect()} == want
 
 
+def test_top_k_broadcasts_nothing_that_grows(spark, monkeypatch):
+    plans, write = {}, topk.materialize
+
+    def spy(frame, what):
+        plans.setdefault(what, []).append(frame._jdf.queryExecution().executedPlan().toString())
+        return write(frame, what)
+
+    monkeypatch.setattr(topk, "materialize", spy)
+    rng = np.random.default_rng(5)
+    topk.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(0, 0.3, (600, 6)))], "vec_id long, embedding array<double>")).count()
+    assert plans["topk-found"] and plans["topk-asks"]
+    assert not any("Broadcast" in p for p in [*plans["topk-found"], *plans["topk-asks"]])
+
+
 def test_top_k_of_large_components(spark):
     rows = [(1000, [3e6, 3e6]), (1, [2.0, 1.0]), (2, [-3.0, 1.0]), (2, [1.0, 1.0]), (3, [3e6, 2e6]), (1100, [1e25, -1e25, 1.0]), (3, [1e25, 1.0, 1.0])]
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
