@@ -2,7 +2,7 @@
 
 A document's blocks are read in order.  Blocks shaped like items chain by the family of their marker; a run is
 judged once all its blocks are known, by what its members say, and an accepted run becomes items of pieces
-that nothing interrupts.  The chain depends on what came before, so a document is one group: a grouped map in
+that nothing interrupts.  The chain depends on what came before, so a document is one group: an ordered fold in
 batch, and ``ListStream`` for blocks that arrive a page at a time, which lets go of a run three pages after its last member.
 """
 
@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .grouped import fold_groups
+
 # Bullets, the share of letters in an item, and what tells entries, problems and references from items.
 BULLETS = "•-+*"
 ITEM_SHARE = 0.35
@@ -23,6 +24,7 @@ ENTRY = re.compile(r"\s[0-9]{1,4}(?:\.[0-9]{1,2})?\s*$|\s[0-9]{1,2}\.[0-9]{1,2}\
 PROBLEM = re.compile(r"\b(?:[Ff]ind|[Hh]ow (?:much|many|long|far|wide|old))\b")
 REFERENCE = re.compile(r",\s(?:1[89]|20)[0-9]{2}[a-z]?:\s|https?://|doi\.org/|\bdoi:")
 AUTHOR = re.compile(r"^(?:[a-zß-ÿ]+\s)?[A-ZÀ-Þ][\w'’-]+(?:\s[A-ZÀ-Þ][\w'’-]+)?,\s+(?:[A-ZÀ-Þ]\.){1,3}[,\s]")
+WORDS = re.compile(r"[^\W\d_]{3,}")
 NUMBERED = re.compile(r"^([0-9]{1,3})([.)])")
 
 SCHEMA = "doc_id long, seq int, kind string, marker string, ordinal int, level int, opens boolean, text string"
@@ -37,10 +39,14 @@ class Marker:
 
 
 def reads_as_item(body: str) -> bool:
-    letters = sum(len(w) for w in re.findall(r"[^\W\d_]+", body) if len(w) >= 3)
+    letters = sum(map(len, WORDS.findall(body)))
     return letters > 0 and letters >= ITEM_SHARE * len(body)
 
 
+def holds_number(body: str) -> bool:
+    return any(c.isnumeric() for c in set(body))
+
+
 def plus_bullet(text: str) -> bool:
     return bool(re.match(r"\+\s+(?:[^\W\d_]{2}|[0-9]+%)", text)) and reads_as_item(text[2:])
 
@@ -75,7 +81,8 @@ class Block:
     recognized: bool = False
     edge: float | None = None
     size: float | None = None
-    # set while lists are built
+    # set while lists are built; place: which of the document's blocks it is
+    place: int = 0
     shaped: bool = False
     marker: Marker | None = None
     run: int | None = None
@@ -117,6 +124,7 @@ class Builder:
         self.settle(block.page - HORIZON)
 
     def _take(self, block: Block) -> None:
+        block.place = len(self.blocks)
         self.blocks.append(block)
         if block.kind == "heading":
             self.heading = block.text
@@ -163,12 +171,8 @@ class Builder:
         self.latest = {f: r for f, r in self.latest.items() if not any(r is d for d in done)}
         return done
 
-    def _at(self) -> dict[int, int]:
-        return {id(b): i for i, b in enumerate(self.blocks)}
-
     def _judge(self, run: Run) -> None:
-        at = self._at()
-        places = [at[id(b)] for b in run.members]
+        places = [b.place for b in run.members]
 
         def together(i: int, j: int, among: bool = False) -> bool:
             return all(b.kind == "page" or (among and b.marker is not None) for b in self.blocks[i + 1 : j])
@@ -197,7 +201,7 @@ class Builder:
         texts, n = [b.text for b in run.members], len(run.members)
         bodies = [b.text[b.marker.length :] for b in run.members]
         entries = sum(bool(ENTRY.search(t)) for t in texts)
-        problems = sum(any(c.isnumeric() for c in b) and ("?" in b or bool(PROBLEM.search(b))) for b in bodies)
+        problems = sum(holds_number(b) and ("?" in b or bool(PROBLEM.search(b))) for b in bodies)
         references = sum(bool(REFERENCE.search(t) or AUTHOR.search(b)) for t, b in zip(texts, bodies, strict=True))
         others = sum(self.apparatus.get((page, run.family), 0) for page in {b.page for b in run.members})
         after = next((b for b in self.blocks[places[-1] + 1 :] if b.shaped), None)
@@ -219,7 +223,8 @@ class Builder:
     def _level(self, block: Block, place: int) -> int:
         if not block.marker.family.startswith("letter") or block.edge is None or block.size is None:
             return 0
-        for above in reversed(self.blocks[:place]):
+        for i in range(place - 1, -1, -1):
+            above = self.blocks[i]
             if above.kind == "page":
                 continue
             if above.item is None or above.edge is None:
@@ -260,17 +265,16 @@ def rows_of(doc_id, blocks: list[Block]) -> list[tuple]:
 
 def build_lists(blocks: DataFrame) -> DataFrame:
     """doc_id, seq, kind, marker, ordinal, level, opens, text from doc_id, seq, page, kind, text, recognized, edge, size."""
-    names = ["doc_id", "seq", "kind", "marker", "ordinal", "level", "opens", "text"]
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
+    def one(group: list[tuple]) -> list[tuple]:
         builder = Builder()
-        for r in group.sort_values("seq").itertuples():
-            builder.accept(Block(int(r.seq), int(r.page), r.kind, r.text or "", bool(r.recognized), r.edge, r.size))
+        for _, seq, page, kind, text, recognized, edge, size in group:
+            builder.accept(Block(seq, page, kind, text or "", bool(recognized), edge, size))
         builder.settle()
-        frame = pd.DataFrame(rows_of(group["doc_id"].iloc[0], builder.blocks), columns=names)
-        return frame.astype({"ordinal": "Int32", "level": "Int32", "opens": "boolean"})
+        return rows_of(group[0][0], builder.blocks)
 
-    return blocks.groupBy("doc_id").applyInPandas(one, SCHEMA)
+    wanted = blocks.select("doc_id", "seq", "page", "kind", "text", "recognized", "edge", "size")
+    return fold_groups(wanted, ["doc_id"], ["seq"], one, SCHEMA)
 
 
 class ListStream:
@@ -289,8 +293,7 @@ class ListStream:
         return self._settled()
 
     def _settled(self) -> list[Block]:
-        at = self.builder._at()
-        held = min((at[id(r.members[0])] for r in self.builder.runs), default=len(at))
+        held = min((r.members[0].place for r in self.builder.runs), default=len(self.builder.blocks))
         out = self.builder.blocks[self.sent : held]
         self.sent = held
         return out

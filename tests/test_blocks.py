@@ -118,3 +118,22 @@ def test_headings_go_on_with_what_they_head():
     assert Packer(100).files([(90, False, False), (50, True, False), (50, False, False)]) == [1, 2, 2]
     assert Packer(100).files([(40, False, False), (5, True, True), (50, False, False)]) == [1, 2, 2]
     assert Packer(100).files([(250, False, False), (10, False, False)]) == [1, 2]
+
+
+def test_groups_are_folded_in_batches(spark):
+    from pagewright.operators.grouped import fold_groups
+
+    rows = [(k, i, f"{k}{i}") for k in (None, 1, 2, 5) for i in (7, 3, 11, 1, 5)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        frame = spark.createDataFrame(rows, "k int, i int, t string")
+        got = fold_groups(frame, ["k"], ["i"], lambda group: [(group[0][0], "".join(f"{t};" for _, _, t in group))], "k int, t string").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {tuple(r) for r in got} == {(k, "".join(f"{k}{i};" for i in (1, 3, 5, 7, 11))) for k in (None, 1, 2, 5)}
+
+    schema = "doc_id long, seq int, page int, kind string, text string, recognized boolean, edge double, size double"
+    lists = build_lists(spark.createDataFrame([(1, 2, 1, "preformatted", "• second item", False, 72.0, 11.0), (1, 1, 1, "preformatted", "• first item", False, 72.0, 11.0)], schema))
+    for frame in (lists,):
+        assert "InPandas" not in frame._jdf.queryExecution().toString()  # a data frame for each group costs more than its rows
+    assert [(r["kind"], r["opens"]) for r in lists.orderBy("seq").collect()] == [("unordered", True), ("unordered", False)]
