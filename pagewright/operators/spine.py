@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .grouped import fold_groups
+
 #: Bytes of a file's body, and the share of it that headings at its end may have to be carried on.
 TARGET = 60_000
 CARRIED = 10
@@ -55,9 +56,8 @@ class Packer:
 def pack(blocks: DataFrame, target: int = TARGET) -> DataFrame:
     """doc_id, seq, file, bytes from doc_id, seq, bytes, heading, chapter: a book is one group."""
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        files = Packer(target).files(list(zip(group["bytes"].tolist(), group["heading"].tolist(), group["chapter"].tolist(), strict=True)))
-        return pd.DataFrame({"doc_id": group["doc_id"], "seq": group["seq"], "file": files, "bytes": group["bytes"]})
+    def one(group: list[tuple]) -> list[tuple]:
+        files = Packer(target).files([row[2:] for row in group])
+        return [(doc, seq, file, size) for (doc, seq, size, _, _), file in zip(group, files, strict=True)]
 
-    return blocks.groupBy("doc_id").applyInPandas(one, SCHEMA)
+    return fold_groups(blocks.select("doc_id", "seq", "bytes", "heading", "chapter"), ["doc_id"], ["seq"], one, SCHEMA)
