@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .grouped import fold_groups
+
 COLUMN_GAP, ROW_GAP, DEPTH = 0.75, 1.1, 32
 
 
@@ -39,10 +40,9 @@ def ordered(boxes: list[tuple[float, float, float, float]], body: float, depth:
 def reading_order(lines: DataFrame, body: float = 11.0) -> DataFrame:
     """doc_id, page_no, row_no, ord for lines with x, y, w, h."""
 
-    def page(group: pd.DataFrame) -> pd.DataFrame:
-        order = ordered(list(zip(group["x"], group["y"], group["w"], group["h"], strict=True)), body)
-        out = group.iloc[order][["doc_id", "page_no", "row_no"]].reset_index(drop=True)
-        return out.assign(ord=range(len(out)))
+    def page(group: list[tuple]) -> list[tuple]:
+        order = ordered([row[3:] for row in group], body)
+        return [(*group[i][:3], k) for k, i in enumerate(order)]
 
     wanted = lines.select("doc_id", "page_no", "row_no", "x", "y", "w", "h")
-    return wanted.groupBy("doc_id", "page_no").applyInPandas(page, "doc_id long, page_no int, row_no int, ord int")
+    return fold_groups(wanted, ["doc_id", "page_no"], ["row_no"], page, "doc_id long, page_no int, row_no int, ord int")

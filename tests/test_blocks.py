@@ -121,7 +121,7 @@ def test_headings_go_on_with_what_they_head():
 
 
 def test_groups_are_folded_in_batches(spark):
-    from pagewright.operators import spine
+    from pagewright.operators import reading_order, spine
     from pagewright.operators.grouped import fold_groups
 
     rows = [(k, i, f"{k}{i}") for k in (None, 1, 2, 5) for i in (7, 3, 11, 1, 5)]
@@ -135,7 +135,8 @@ def test_groups_are_folded_in_batches(spark):
 
     schema = "doc_id long, seq int, page int, kind string, text string, recognized boolean, edge double, size double"
     lists = build_lists(spark.createDataFrame([(1, 2, 1, "preformatted", "• second item", False, 72.0, 11.0), (1, 1, 1, "preformatted", "• first item", False, 72.0, 11.0)], schema))
+    boxes = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 1.0, 1.0)], "doc_id long, page_no int, row_no int, x double, y double, w double, h double")
     packed = spine.pack(spark.createDataFrame([(1, 1, 5, False, False)], "doc_id long, seq int, bytes long, heading boolean, chapter boolean"))
-    for frame in (lists, packed):
+    for frame in (lists, packed, reading_order.reading_order(boxes)):
         assert "InPandas" not in frame._jdf.queryExecution().toString()  # a data frame for each group costs more than its rows
     assert [(r["kind"], r["opens"]) for r in lists.orderBy("seq").collect()] == [("unordered", True), ("unordered", False)]
