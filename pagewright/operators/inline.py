@@ -13,6 +13,10 @@ from ..functions import xml_text
 # Style bits, and the widths of deferred link targets.
 ITALIC, BOLD, UNDERLINE, SUPERSCRIPT, SUBSCRIPT = 1, 2, 4, 8, 16
 PAGE_WIDTH, NOTE_WIDTH = 48, 128
+#: What is trimmed.
+SPACE = " \t\r\n"
+#: What XML text can't hold as it is.
+NOT_PLAIN = "[&<>\"'\\x{0}-\\x{8}\\x{B}\\x{C}\\x{E}-\\x{1F}\\x{FFFE}\\x{FFFF}]"
 
 
 def has(style: Column, bit: int) -> Column:
@@ -40,42 +44,67 @@ def ends_replaced(runs: Column, end: Column) -> Column:
     return F.when(F.size(runs) == 0, runs).otherwise(F.filter(changed, lambda r: r["text"] != ""))
 
 
-def _measured(runs: Column) -> Column:
-    """The runs with where each begins, in characters."""
-    starts = F.aggregate(runs, F.array(F.lit(0)), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + F.length(r["text"]))))
-    return F.get(F.transform(F.array(starts), lambda s: F.transform(runs, lambda r, i: F.struct(F.get(s, i).alias("at"), r.alias("r")))), F.lit(0))
-
-
 def dropped(runs: Column, count: Column) -> Column:
     """Without the first characters; a link's remainder stays a link."""
     return cut_out(runs, count, F.lit(1 << 30))
 
 
 def cut_out(runs: Column, start: Column, stop: Column) -> Column:
-    """The characters from start up to stop, in their styles."""
+    """The characters from start up to stop, in their styles.
+
+    One pass finds the first and the last run that is kept, and where they are cut; no run is copied in it.
+    """
+    kind = "struct<at:int,i:int,first:int,begin:int,last:int,end:int>"
+
+    def step(bounds: Column):
+        def found(s: Column, r: Column) -> Column:
+            end = s["at"] + F.length(r["text"])
+            begin, until = F.greatest(bounds["start"], s["at"]), F.least(bounds["stop"], end)
+            kept = begin < until
+            opens = kept & (s["first"] < 0)
+            return F.struct(
+                end.alias("at"), (s["i"] + 1).alias("i"), F.when(opens, s["i"]).otherwise(s["first"]).alias("first"), F.when(opens, begin - s["at"]).otherwise(s["begin"]).alias("begin"),
+                F.when(kept, s["i"]).otherwise(s["last"]).alias("last"), F.when(kept, until - s["at"]).otherwise(s["end"]).alias("end"),
+            )
+
+        return found
+
+    def parts(b: Column) -> Column:
+        held = F.slice(runs, b["first"] + 1, b["last"] - b["first"] + 1)
 
-    def parts(b: Column) -> Column:  # the bounds are named once, so no run works them out again
-        def part(m: Column) -> Column:
-            first = F.greatest(b["start"] - m["at"], F.lit(0))
-            last = F.least(b["stop"] - m["at"], F.length(m["r"]["text"]))
-            return with_text(m["r"], F.substring(m["r"]["text"], first + 1, F.greatest(last - first, F.lit(0))))
+        def part(r: Column, i: Column) -> Column:
+            skipped = F.when(i == 0, b["begin"]).otherwise(0)
+            until = F.when(i == b["last"] - b["first"], b["end"]).otherwise(F.length(r["text"]))
+            return F.when((skipped == 0) & (until == F.length(r["text"])), r).otherwise(with_text(r, F.substring(r["text"], skipped + 1, until - skipped)))
 
-        return F.transform(_measured(runs), part)
+        return F.when(b["first"] < 0, F.slice(runs, 1, 0)).otherwise(F.transform(held, part))
 
+    # the bounds, and then the places, are named once, so no run works them out again
+    zero = F.lit(0)
     bounds = F.array(F.struct(start.alias("start"), stop.alias("stop")))
-    return F.filter(F.get(F.transform(bounds, parts), F.lit(0)), lambda r: r["text"] != "")
+    begun = F.struct(zero.alias("at"), zero.alias("i"), F.lit(-1).alias("first"), zero.alias("begin"), zero.alias("last"), zero.alias("end")).cast(kind)
+    places = F.transform(bounds, lambda b: F.aggregate(runs, begun, step(b)))
+    return F.filter(F.get(F.transform(places, parts), zero), lambda r: r["text"] != "")
 
 
 def trimmed(runs: Column) -> Column:
     """Without white space at both ends, whatever runs it is in."""
-    text = plain_text(runs)
-    lead = F.length(text) - F.length(F.regexp_replace(text, r"^[ \t\r\n]+", ""))
-    return cut_out(runs, lead, F.length(F.regexp_replace(text, r"[ \t\r\n]+$", "")))
+
+    def cut(text: Column) -> Column:
+        lead = F.length(text) - F.length(F.ltrim(text, F.lit(SPACE)))
+        return cut_out(runs, lead, F.length(F.rtrim(text, F.lit(SPACE))))
+
+    return F.get(F.transform(F.array(plain_text(runs)), cut), F.lit(0))
 
 
 def divided_at(runs: Column, count: Column) -> Column:
     """Whether the text may be divided after ``count`` characters: inside it, and not inside a link."""
-    inside = F.exists(_measured(runs), lambda m: m["r"]["href"].isNotNull() & (m["at"] < count) & (count < m["at"] + F.length(m["r"]["text"])))
+
+    def step(s: Column, r: Column) -> Column:
+        end = s["at"] + F.length(r["text"])
+        return F.struct(end.alias("at"), (s["inside"] | (r["href"].isNotNull() & (s["at"] < count) & (count < end))).alias("inside"))
+
+    inside = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside")), step, lambda s: s["inside"])
     return (count > 0) & (count < F.length(plain_text(runs))) & ~inside
 
 
@@ -106,12 +135,18 @@ def href(kind: Column, target: Column) -> Column:
 def markup(runs: Column) -> Column:
     """XHTML of the runs: emphasis inside strength inside underline, scripts and links around them."""
 
+    tags = [(ITALIC, "em"), (BOLD, "strong"), (UNDERLINE, "u"), (SUPERSCRIPT, "sup"), (SUBSCRIPT, "sub")]
+    styles = [[tag for bit, tag in tags if style & bit and not (bit == SUBSCRIPT and style & SUPERSCRIPT)] for style in range(2 * SUBSCRIPT)]
+    opening = F.array(*[F.lit("".join(f"<{tag}>" for tag in reversed(inner))) for inner in styles])
+    closing = F.array(*[F.lit("".join(f"</{tag}>" for tag in inner)) for inner in styles])
+
+    def said(text: Column) -> Column:  # most texts hold nothing to escape
+        return F.when(text.rlike(NOT_PLAIN), xml_text(text)).otherwise(text)
+
     def one(r: Column) -> Column:
-        out = xml_text(r["text"])
-        for bit, tag in ((ITALIC, "em"), (BOLD, "strong"), (UNDERLINE, "u"), (SUPERSCRIPT, "sup")):
-            out = F.when(has(r["style"], bit), F.concat(F.lit(f"<{tag}>"), out, F.lit(f"</{tag}>"))).otherwise(out)
-        out = F.when(has(r["style"], SUBSCRIPT) & ~has(r["style"], SUPERSCRIPT), F.concat(F.lit("<sub>"), out, F.lit("</sub>"))).otherwise(out)
-        return F.when(r["href"].isNotNull(), F.concat(F.lit('<a href="'), xml_text(r["href"]), F.lit('">'), out, F.lit("</a>"))).otherwise(out)
+        style = r["style"].bitwiseAND(F.lit(2 * SUBSCRIPT - 1))
+        out = F.concat(F.get(opening, style), said(r["text"]), F.get(closing, style))
+        return F.when(r["href"].isNotNull(), F.concat(F.lit('<a href="'), said(r["href"]), F.lit('">'), out, F.lit("</a>"))).otherwise(out)
 
     return F.array_join(F.transform(runs, one), "")
 
