@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import functions as X
@@ -142,10 +143,13 @@ SELECT doc_id, line_no, {_EN} AS en_dash, {_EM} AS em_dash, {_CJK} AS wide, {_RT
  {_m('line', '[-­]$')} AND {_m('n', r'^\p{Ll}')} AS broken_word FROM p"""
 )
 def printed_pairs(spark, sf_dir):
-    a, b = F.col("line"), F.col("next_line")
-    return sources.printed_lines(spark, sf_dir).where("next_line IS NOT NULL").select(
+    """Only what the rules read of a line's two ends is dealt to find the next one, not its text."""
+    line, order = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
+    ends = sources.printed(spark, sf_dir).select("doc_id", "line_no", L.last_of(line).alias("end"), L.first_of(line).alias("begin"))
+    a, b = F.col("end"), F.col("next")
+    return ends.select("doc_id", "line_no", "end", F.lead("begin").over(order).alias("next")).where("next IS NOT NULL").select(
         "doc_id", "line_no", L.breaks_at_closed_en_dash(a, b).alias("en_dash"), L.breaks_at_closed_em_dash(a, b).alias("em_dash"), L.wide_without_space(a, b).alias("wide"), L.arabic_without_space(a, b).alias("arabic"),
-        L.continues_citation(a, b).alias("citation"), (a.rlike("[-­]$") & b.rlike(r"^\p{Ll}")).alias("broken_word"),
+        L.continues_citation(a, b).alias("citation"), (a.rlike(r"[-­]\z") & b.rlike(r"^\p{Ll}")).alias("broken_word"),
     )
 
 

@@ -21,6 +21,11 @@ def runs(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def named(value: Column, function) -> Column:
+    """``function`` of the value, which is worked out once: a plain column is written out wherever it is read, in every round of a lambda as well, once a filter moves below it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def held(text: Column, pattern: str) -> Column:
     """Characters of the pattern's class in the text."""
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))

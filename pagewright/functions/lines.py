@@ -202,41 +202,61 @@ def repaired_script(text: Column, lang: Column) -> Column:
 # --- a line and the next ------------------------------------------------------------------------------
 
 
+def last_of(text: Column) -> Column:
+    """As much of a line's end as the rules of pairs read: four characters, or all where white space ends it."""
+    end = F.substring(text, -4, 4)
+    return F.when(end.rlike(rf"[^{WS}]\z"), end).otherwise(text)
+
+
+def first_of(text: Column) -> Column:
+    """As much of a line's beginning as the rules of pairs read: eleven characters, or all where white space opens it."""
+    begin = F.substring(text, 1, 11)
+    return F.when(begin.rlike(f"^[^{WS}]"), begin).otherwise(text)
+
+
 def breaks_at_closed_en_dash(left: Column, right: Column) -> Column:
-    return left.rlike(f"[{CLOSES_UP}]–$") & right.rlike(f"^[{CLOSES_UP}]")
+    return left.endswith("–") & left.rlike(rf"[{CLOSES_UP}]–\z") & right.rlike(f"^[{CLOSES_UP}]")
 
 
 def breaks_at_closed_em_dash(left: Column, right: Column) -> Column:
-    return left.rlike(rf"[^{WS}\p{{Pd}}]—$") & right.rlike(rf"^[{CLOSES_UP}\"'\p{{Pi}}]")
+    return left.endswith("—") & left.rlike(rf"[^{WS}\p{{Pd}}]—\z") & right.rlike(rf"^[{CLOSES_UP}\"'\p{{Pi}}]")
 
 
 def wide_without_space(left: Column, right: Column) -> Column:
-    return left.rlike(f"[{FULL_WIDTH}][{WS}]*$") & right.rlike(f"^[{WS}]*[{FULL_WIDTH}]")
+    return left.rlike(rf"[{FULL_WIDTH}][{WS}]*\z") & right.rlike(f"^[{WS}]*[{FULL_WIDTH}]")
 
 
 def arabic_without_space(left: Column, right: Column) -> Column:
     """An attaching mark follows a right-to-left letter."""
     marks = ATTACHING.replace("]", r"\]")
-    return F.regexp_replace(left, rf"[^{RTL_LETTERS}{WS}]", "x").rlike(rf"[{RTL_LETTERS}][{WS}]*$") & F.regexp_extract(left, rf"(.)[{WS}]*$", 1).rlike(r"\p{L}") & right.rlike(f"^[{WS}]*[{marks}]")
+    last = F.regexp_extract(left, rf"([{RTL_LETTERS}])[{WS}]*\z", 1)
+    return last.rlike(r"\p{L}") & right.rlike(f"^[{WS}]*[{marks}]")
 
 
 def continues_citation(left: Column, right: Column) -> Column:
-    return left.rlike(CITES_LEFT) & right.rlike(CITES_RIGHT)
+    return right.startswith("U. S. ") & left.rlike(CITES_LEFT) & right.rlike(CITES_RIGHT)
+
+
+def word_halves(left: Column, right: Column) -> tuple[Column, Column]:
+    """The letters before a line's last hyphen, and those that open the next line."""
+    return F.lower(F.regexp_extract(left, r"(\p{L}*)-\z", 1)), F.lower(F.regexp_extract(right, r"^(\p{L}*)", 1))
 
 
-def join_operation(left: Column, right: Column, knows) -> Column:
+def join_operation(left: Column, right: Column, knows, of_word: tuple[Column, Column] | None = None) -> Column:
     """space, concatenate or remove (the hyphen), for a line and the next.
 
-    ``knows`` tells whether the document's words hold a word; the order of the cases is the rule.
+    ``knows`` tells whether the document's words hold a word, ``of_word`` gives ``word_halves`` where they are known; the order of the cases is the rule.  Of its first three none
+    holds where the line ends in a printed ASCII character: such an end, the commonest, is asked for before them.
     """
-    prefix, suffix = F.lower(F.regexp_extract(left, r"(\p{L}*)-$", 1)), F.lower(F.regexp_extract(right, r"^(\p{L}*)", 1))
+    prefix, suffix = of_word or word_halves(left, right)
     vouched = knows(F.concat(prefix, suffix)) & ~knows(F.concat(prefix, F.lit("-"), suffix))
     halves = (F.length(prefix) >= 2) & (F.length(suffix) >= 2)
+    hyphen = F.when(vouched & (right.rlike(r"^\p{Ll}") | halves), "remove").otherwise("concatenate")
     return (
-        F.when(left.endswith("­"), "remove")
+        F.when(left.endswith("-"), hyphen)
+        .when(F.ascii(F.substring(left, -1, 1)).between(33, 126), "space")
+        .when(left.endswith("­"), "remove")
         .when(wide_without_space(left, right) | arabic_without_space(left, right), "concatenate")
         .when(breaks_at_closed_en_dash(left, right) | breaks_at_closed_em_dash(left, right), "concatenate")
-        .when(~left.endswith("-"), "space")
-        .when(vouched & (right.rlike(r"^\p{Ll}") | halves), "remove")
-        .otherwise("concatenate")
+        .otherwise("space")
     )

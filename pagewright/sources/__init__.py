@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import named
+
 LINES_PER_PAGE = 8
 MEASURE = 60
 
@@ -69,25 +71,28 @@ def wrapped_texts(spark: SparkSession, sf_dir: str, mark: str = "-", planted: bo
     ``planted`` sets other breaks among the marks (``BREAKS``), and an ideograph where a line of place 8 begins.
     """
     documents = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[\\p{L}-]+"), F.lit(0)), F.lower))
+    words = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit("[\\p{L}-]+"), F.lit(0))), F.lower))
     cut = documents.select("doc_id", words.alias("words"), F.regexp_extract_all(F.regexp_replace("text", "[ \n]+", " "), F.lit(f"(?s).{{1,{MEASURE}}}"), F.lit(0)).alias("cut"))
 
-    def marked(piece, i):
-        kind = F.pmod(i, F.lit(KINDS))
-        end = F.lit(mark)
-        for k, break_ in BREAKS.items() if planted else ():
-            end = F.when(kind == k, F.lit(break_)).otherwise(end)
-        broken = piece.rlike("\\p{L}$") & F.coalesce(F.get("cut", i + 1), F.lit("")).rlike("^\\p{L}")
-        line = F.when(broken, F.concat(piece, end)).otherwise(piece)
-        return F.when(kind == 8, F.concat(F.lit("文"), line)).otherwise(line) if planted else line
+    def marked(pieces):
+        def one(piece, i):
+            kind = F.pmod(i, F.lit(KINDS))
+            end = F.lit(mark)
+            for k, break_ in BREAKS.items() if planted else ():
+                end = F.when(kind == k, F.lit(break_)).otherwise(end)
+            broken = piece.rlike("\\p{L}\\z") & F.coalesce(F.get(pieces, i + 1), F.lit("")).rlike("^\\p{L}")
+            line = F.when(broken, F.concat(piece, end)).otherwise(piece)
+            return F.when(kind == 8, F.concat(F.lit("文"), line)).otherwise(line) if planted else line
+
+        return F.transform(pieces, one)
 
-    return cut.select("doc_id", "words", F.transform("cut", marked).alias("lines"))
+    return cut.select("doc_id", "words", named(F.col("cut"), marked).alias("lines"))
 
 
 def wrapped_lines(spark: SparkSession, sf_dir: str, mark: str = "-") -> DataFrame:
     """doc_id, line_no, line, next_line of ``wrapped_texts``."""
-    rows = wrapped_texts(spark, sf_dir, mark).select("doc_id", "lines", F.posexplode("lines").alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", "line", F.get("lines", F.col("line_no") + 1).alias("next_line"))
+    pairs = named(F.col("lines"), lambda lines: F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.get(lines, i + 1).alias("next_line"))))  # beside its lines a row would copy the whole text for each
+    return wrapped_texts(spark, sf_dir, mark).select("doc_id", F.posexplode_outer(pairs).alias("line_no", "p")).where("line_no IS NOT NULL").select("doc_id", "line_no", "p.line", "p.next_line")
 
 
 def wrapped_lines_sql(mark: str = "-", planted: bool = False) -> str:
@@ -110,15 +115,19 @@ FORMS = (
 )
 
 
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, line_no, line: every line of documents, set in one of ``FORMS`` by its place."""
+    lines = doc_lines(spark, sf_dir)
+    form = F.get(F.array(*[F.lit(f) for f in FORMS]), F.pmod(F.coalesce("doc_id", F.lit(0)) + F.col("line_no"), F.lit(len(FORMS))).cast("int"))
+    return lines.select("doc_id", "lang", "line_no", F.replace(form, F.lit("%"), F.col("line")).alias("line"))
+
+
 def printed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, line_no, line, next_line: every line of documents, set in one of ``FORMS`` by its place."""
+    """doc_id, lang, line_no, line, next_line of ``printed``."""
     from pyspark.sql import Window
 
-    lines = doc_lines(spark, sf_dir)
-    form = F.get(F.array(*[F.lit(f) for f in FORMS]), F.pmod(F.coalesce("doc_id", F.lit(0)) + F.col("line_no"), F.lit(len(FORMS))).cast("int"))
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    printed = lines.select("doc_id", "lang", "line_no", F.replace(form, F.lit("%"), F.col("line")).alias("line"))
-    return printed.withColumn("next_line", F.lead("line").over(order))
+    return printed(spark, sf_dir).withColumn("next_line", F.lead("line").over(order))
 
 
 def _forms_sql() -> str:

@@ -195,3 +195,41 @@ def test_word_classes(spark):
     assert {k: got[1][k] for k in ("tokens", "numeric_tokens", "number_tokens", "english", "neutral", "lonely")} == {"tokens": 17, "numeric_tokens": 2, "number_tokens": 1, "english": 6, "neutral": 2, "lonely": 2}
     assert (got[1]["damaged"], got[1]["misread"]) == (8, 2)  # th, mis, xq, zzq, a foreign word, wo, rd and b; of them mis and zzq are long enough and join to nothing
     assert got[2]["tokens"] == got[2]["english"] == 0
+
+
+def test_line_ends_are_the_text_ends(spark, rule):
+    """A line separator ends no text: what stands before it isn't the end."""
+    from pagewright.operators import inline
+
+    frame = spark.createDataFrame([([("a \u2028", 0, None)],), ([(" ", 0, None), ("b", 0, None), (" \t", 0, "u")],)], "r array<struct<text:string,style:int,href:string>>")
+    assert [r[0] for r in frame.select(inline.plain_text(inline.trimmed(F.col("r")))).collect()] == ["a \u2028", "b"]
+    assert rule(L.breaks_at_closed_en_dash, ("a–\u2028", "b"), ("a–", "b")) == [False, True]
+
+
+def test_wrapped_texts_break_words_at_the_end_only(spark, tmp_path):
+    from pagewright import sources
+
+    spark.createDataFrame([(1, "x" * 59 + "\r" + "y" * 59 + "z" + "word")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r)[1:] for r in sources.wrapped_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [(0, "x" * 59 + "\r", "y" * 59 + "z-"), (1, "y" * 59 + "z-", "word"), (2, "word", None)]
+    assert line_joins.paragraph_join(sources.wrapped_texts(spark, str(tmp_path))).first()["n_chars"] == 59 + 1 + 1 + 60 + 4
+
+
+def test_ends_of_a_line_say_what_the_line_says(rule):
+    rules = (L.breaks_at_closed_en_dash, L.breaks_at_closed_em_dash, L.wide_without_space, L.arabic_without_space, L.continues_citation)
+    pairs = [("long line 1990–", "1995 and on and on"), ("he said at last—", "“no”, and so on, long"), ("文字文字文字  ", "   中文 and more and more"), ("سلام سلام  ", " \t، xxxxxxxxxxxxx"), ("see 384", "U. S. 4361 (1966)"), ("see 1384", "U. S. 436 (1966)"), ("384", "U. S. 43612"), ("", "")]
+    for of in rules:
+        assert rule(lambda a, b, of=of: of(L.last_of(a), L.first_of(b)), *pairs) == rule(of, *pairs)
+    assert [rule(of, *pairs).index(True) for of in rules] == [0, 1, 2, 3, 4]
+
+
+def test_long_texts_take_time_in_proportion(spark, tmp_path):
+    """Twenty thousand runs on a line, and as many lines of a text: quadratic forms took minutes."""
+    import time
+
+    from pagewright import catalog
+
+    spark.createDataFrame([(1, "en", "a " * 60_000 + "b"), (2, "en", ("= word" * 20_000))], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("inline_ends", "inline_markup", "line_end_substitute", "hyphen_join"):
+        began = time.time()
+        catalog.queries()[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+        assert time.time() - began < 20, name
