@@ -63,9 +63,13 @@ def word_findings(spark, sf_dir):
     """Findings of each document; its neighbour's counts stand for a second reading of the page."""
     counts = _counts(spark, sf_dir)
     texts = sources.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", X.foreign_letters(F.col("text")).alias("fl"), X.held(F.col("text"), r"\p{L}").alias("nl"), F.size(F.split("text", "\n")).alias("n_lines"))
-    other = counts.select(*[F.col(c).alias(f"o_{c}") for c in counts.columns])
+    # each count goes to its own document and to the one before, so that the words are counted once
+    count, d = F.struct(*counts.columns), F.col("doc_id")
+    told = counts.select(F.explode(F.array(F.struct(d.alias("key"), F.lit(True).alias("own"), count.alias("c")), F.struct((d - 1).alias("key"), F.lit(False).alias("own"), count.alias("c")))).alias("t")).select("t.*")
+    met = told.groupBy("key").agg(F.collect_list(F.when(F.col("own"), F.col("c"))).alias("a"), F.collect_list(F.when(~F.col("own"), F.col("c"))).alias("b"))
+    met = met.select("b", F.explode("a").alias("a")).select("a", F.explode_outer("b").alias("b"))
+    both = met.select("a.*", *[F.col(f"b.{c}").alias(f"o_{c}") for c in counts.columns]).join(texts.hint("merge"), "doc_id")
     a, b = F.col, lambda c: F.col(f"o_{c}")
-    both = counts.join(texts, "doc_id").join(other, F.col("o_doc_id") == F.col("doc_id") + 1, "left")
     words = lambda c: c("english") + c("damaged") + c("neutral")
     rows = F.least(F.lit(8), F.col("n_lines"))  # rows of writing and the share outside every line are measured on images: stand-ins
     ink = plans.ink_finding(rows, (F.col("doc_id") % 8) / 8, F.col("english"))
@@ -99,7 +103,7 @@ def _planned(spark, sf_dir):
     )
     c = F.col
     judged = c("image_backed") & ~c("requires_image") & ~c("damaged_encoding")
-    evidence = _counts(spark, sf_dir).join(said, "doc_id").select(
+    evidence = _counts(spark, sf_dir).join(said.hint("merge"), "doc_id").select(
         "doc_id", "requires_image", "image_backed", "drawn", "damaged_encoding", F.when(judged, _finding(c)).alias("finding"),
         (judged & plans.sparse_layer(c("english")) & F.coalesce(X.english_declared(c("lang")), F.lit(False))).alias("sparse"), (c("unreadable") | c("drawn") | c("damaged_encoding")).alias("lacks_text"),
     )

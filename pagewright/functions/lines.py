@@ -51,7 +51,8 @@ def squeezed(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{WS}]+"), lambda t: t != "")
+    """What white space parts: the property holds ``WS`` and is asked once a character, where a class asks for each of its ranges."""
+    return F.filter(F.split(text, r"\p{IsWhite_Space}+"), lambda t: t != "")
 
 
 def is_typed_rule(text: Column) -> Column:

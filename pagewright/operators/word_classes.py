@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import LATIN, letter_words
+from ..functions import LATIN, letter_words, named, runs
 from ..functions.lines import tokens
 
 # Endings that a word may carry, and the length from which a lower-case word can be misread.
@@ -24,36 +24,41 @@ def lexicon(texts: DataFrame) -> DataFrame:
 
 def words(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, at, word of every piece of every token."""
-    inner = F.filter(F.transform(F.col("t"), lambda x: F.regexp_replace(x, r"^[^\p{L}]+|[^\p{L}]+$", "")), lambda x: x != "")
-    pieces = F.filter(F.flatten(F.transform(inner, lambda x: F.split(x, "-"))), lambda x: x != "")
-    plain = F.transform(pieces, lambda x: F.regexp_replace(F.translate(x, "’", "'"), CLITIC, "$1"))
-    return lines.select("doc_id", "line_no", tokens(F.col("line")).alias("t")).select("doc_id", "line_no", F.posexplode(plain).alias("at", "word"))
+    line = F.col("line")
+    inner = runs(line, r"\p{L}(?:\P{IsWhite_Space}*\p{L})?")  # each token from its first letter to its last
+    parted = F.filter(F.flatten(F.transform(inner, lambda x: F.split(x, "-"))), lambda x: x != "")
+    bare = lambda x: F.when(x.contains("'") | x.contains("’"), F.regexp_replace(F.translate(x, "’", "'"), CLITIC, "$1")).otherwise(x)
+    pieces = named(F.when(line.contains("-"), parted).otherwise(inner), lambda x: F.when(line.contains("'") | line.contains("’"), F.transform(x, bare)).otherwise(x))
+    # outer, or the optimizer asks for the array's size first and cuts every line twice
+    return lines.select("doc_id", "line_no", F.posexplode_outer(pieces).alias("at", "word")).where("at IS NOT NULL")
 
 
 def word_counts(lines: DataFrame, known: DataFrame) -> DataFrame:
     """Counts of each document: tokens, numeric_tokens, number_tokens, english, damaged, neutral, misread, lonely."""
-    t = lines.select("doc_id", tokens(F.col("line")).alias("t"))
-    numeric = F.filter("t", lambda x: x.rlike(r"\p{N}"))
-    per_line = t.select("doc_id", F.size("t").alias("n"), F.size(numeric).alias("m"), F.size(F.filter(numeric, lambda x: ~x.rlike(r"\p{L}"))).alias("k"))
+    numeric = lambda t: F.filter(t, lambda x: x.rlike(r"\p{N}"))
+    sizes = lambda t: named(numeric(t), lambda m: F.struct(F.size(t).alias("n"), F.size(m).alias("m"), F.size(F.filter(m, lambda x: ~x.rlike(r"\p{L}"))).alias("k")))
+    per_line = lines.select("doc_id", named(tokens(F.col("line")), sizes).alias("s")).select("doc_id", "s.n", "s.m", "s.k")
     token_sums = per_line.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.sum("m").alias("numeric_tokens"), F.sum("k").alias("number_tokens"))
 
     order = Window.partitionBy("doc_id").orderBy("line_no", "at")
-    joined = lambda a, b: F.when(F.concat(a, b).rlike(r"^\p{L}+$"), F.lower(F.concat(a, b)))
     w = words(lines).select("doc_id", "line_no", "word", F.lag("word").over(order).alias("before"), F.lead("word").over(order).alias("after"))
-    w = w.select("doc_id", "line_no", "word", F.lower("word").alias("k0"), joined("before", "word").alias("k1"), joined("word", "after").alias("k2"))
-    for i in range(3):
-        w = w.join(known.select(F.col("word").alias(f"k{i}"), F.lit(True).alias(f"in{i}")), f"k{i}", "left")
-    word = F.col("word")
-    foreign = F.regexp_replace("word", f"[{LATIN}]", "").rlike(r"\p{L}")
+    word, asked = F.col("word"), lambda key, i: known.select(F.col("word").alias(key), F.lit(True).alias(f"in{i}"))
+    w = w.withColumn("k0", F.lower("word")).join(asked("k0", 0), "k0", "left")
+    foreign = ~word.rlike(f"^[{LATIN}]*$") & F.regexp_replace("word", f"[{LATIN}]", "").rlike(r"\p{L}")
     letters, lower, upper, capital = word.rlike(r"^\p{L}+$"), word.rlike(r"^\p{Ll}+$"), word.rlike(r"^\p{Lu}+$"), word.rlike(r"^\p{Lu}\p{Ll}*$")
     bare = word.isin("a", "A", "i", "I")
     single = F.when(bare, "bare").when(lower, "damaged").otherwise("neutral")
-    in_place = (~lower | (F.length("word") >= MISREAD_LENGTH)) & F.col("in1").isNull() & F.col("in2").isNull()
-    unknown = F.when(~lower & (upper | capital | word.rlike(r"^(\p{Lu}\p{Ll}+){2,}$")), "neutral").when(in_place, "misread").otherwise("damaged")
-    kind = (
+    unknown = F.when(~lower & (upper | capital | word.rlike(r"^(\p{Lu}\p{Ll}+){2,}$")), "neutral").when(lower & (F.length("word") < MISREAD_LENGTH), "damaged")
+    alone = (
         F.when(foreign, "damaged").when(~letters, "neutral").when(F.length("word") == 1, single)
-        .when((lower | upper | capital) & F.col("in0").isNotNull(), "english").otherwise(unknown)
+        .when(F.col("in0").isNotNull() & (lower | upper | capital), "english").otherwise(unknown)
     )
+    # what a word says by itself comes first: only where that leaves it open are its neighbours asked for
+    w = w.select("doc_id", "line_no", "word", "before", "after", alone.alias("alone"))
+    joined = lambda a, b: F.when(F.col("alone").isNull() & F.concat(a, b).rlike(r"^\p{L}+$"), F.lower(F.concat(a, b)))
+    w = w.select("doc_id", "line_no", "alone", joined("before", "word").alias("k1"), joined("word", "after").alias("k2"))
+    w = w.join(asked("k1", 1), "k1", "left").join(asked("k2", 2), "k2", "left")
+    kind = F.coalesce("alone", F.when(F.col("in1").isNull() & F.col("in2").isNull(), "misread").otherwise("damaged"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     k = F.col("kind")
     by_line = w.select("doc_id", "line_no", kind.alias("kind")).groupBy("doc_id", "line_no").agg(
@@ -64,4 +69,4 @@ def word_counts(lines: DataFrame, known: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("known") == 0, F.col("bare")).otherwise(0)).alias("lonely"),
     )
     zero = F.lit(0).cast("bigint")
-    return token_sums.join(sums, "doc_id", "left").select("doc_id", "tokens", "numeric_tokens", "number_tokens", *[F.coalesce(c, zero).alias(c) for c in ("english", "damaged", "neutral", "misread", "lonely")])
+    return token_sums.join(sums.hint("merge"), "doc_id", "left").select("doc_id", "tokens", "numeric_tokens", "number_tokens", *[F.coalesce(c, zero).alias(c) for c in ("english", "damaged", "neutral", "misread", "lonely")])

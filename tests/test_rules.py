@@ -233,3 +233,15 @@ def test_long_texts_take_time_in_proportion(spark, tmp_path):
         began = time.time()
         catalog.queries()[name](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
         assert time.time() - began < 20, name
+
+
+def test_words_are_counted_once_and_documents_not_broadcast(spark):
+    import re
+
+    from pagewright import catalog
+
+    for name in ("word_counts", "word_findings", "recognition_plan", "recognition_resolve"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        lines = re.findall(r"Generate posexplode\(split\(text", plan.optimizedPlan().toString())
+        assert len(lines) == 2, name  # of a document's lines: once for tokens, once for words
+        assert not re.search(r"BroadcastHashJoin \[(doc_id|o_doc_id)", plan.executedPlan().toString()), name
